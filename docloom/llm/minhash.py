@@ -8,12 +8,14 @@ set is filled, and equal coordinates estimate Jaccard similarity with concentrat
 Flow
 1. One Python pass over the texts: shingle set, its size, a 128-bit digest of the set and the band keys.
 2. Documents of one set form a class (pre-aggregated on the map side); from here on only classes are dealt with.
-3. Rounds.  In the first, each bucket compares its members with the one that shares most buckets with others.  In later rounds only buckets whose
-   members are not yet one component go on: small ones compare all pairs across components, large ones compare
-   members of their smallest components with all others.  It ends when every pair of a bucket is either compared or
-   connected, so banding and not a cap decides what is compared, and no large bucket emits all of its pairs.  Pairs
-   whose set sizes alone rule a link out are not compared.
-4. Every candidate is confirmed on the full sets, and confirmed links are joined to components by label
+3. Sets of the classes that share a bucket with others are made from the texts, found through a bitmap of hashed ids
+   that has a fixed size: where it fills up, more sets than needed are made and dropped by a join.
+4. Rounds.  In the first, each bucket compares its members with the one that shares most buckets with others.  In later
+   rounds only buckets whose members are not yet one component go on: up to SMALL members compare all pairs across
+   components, larger buckets compare members of their smallest components with all others.  It ends when every pair of
+   a bucket is compared, connected or ruled out, so no cap decides what is compared.  A pair is ruled out by its set
+   sizes, or by elements that no other member of an open bucket has: they are in no intersection.
+5. Every candidate is confirmed on the full sets, and confirmed links are joined to components by label
    propagation with pointer jumping.
 
 Defined cases: null texts and texts without words have the empty set: no link, their own component.  Repeated rows
@@ -40,7 +42,9 @@ ROWS = 5
 #: A pair at the threshold shares no band with this probability at most.
 MISS = 1e-7
 #: Buckets of up to so many members compare all pairs across components at once; larger ones so many members a round.
-SMALL, CENTERS = 64, 64
+SMALL, CENTERS = 2048, 256
+#: Bits of the bitmap of ids whose sets are wanted (1 MB, whatever the input).
+BITS = 1 << 23
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -112,21 +116,30 @@ def _sketched(bands: int, rows: int, width: int):
                 sizes.append(len(s))
                 keys.append(digest(s) if len(s) else None)
                 all_bands.append(band_keys(sketch(s, bands * rows), bands, rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(all_bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(all_bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "bands"])
 
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, bitmap: dict):
+    """Sets of the rows (hash, text) whose hash is in the bitmap."""
+    fields = {number: np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little") for number, data in bitmap.items()}
+
     def run(batches):
         for batch in batches:
-            nodes, sets = [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = shingles(text.as_py(), width)
-                if len(s) and digest(s) == node:
-                    nodes.append(node)
-                    sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "elements"])
+            keys, sets = [], []
+            for place, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                bits = fields.get(place // 32768 + 1)
+                if bits is not None and bits[place % 32768]:
+                    s = shingles(text.as_py(), width)
+                    if len(s):
+                        keys.append(digest(s))
+                        sets.append(s.view(np.int64))
+                if len(sets) >= 512:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "elements"])
+                    keys, sets = [], []
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "elements"])
 
     return run
 
@@ -153,65 +166,90 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, rows
     """
     bands = bands_for(percent, rows, miss)
     texts = docs.select("doc_id", "text")
-    rows_of = cut(texts.mapInArrow(_sketched(bands, rows, width), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, bands array<long>"))
-    classes = cut(rows_of.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "bands")).alias("r")).select("node", "r.doc_id", "r.n_shingles", "r.bands"))
-    members = classes.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("size"))
-    links = _links(texts, classes, members, percent, width)
-    comps = classes.select("node", "doc_id").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows_of = cut(texts.mapInArrow(_sketched(bands, rows, width), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_shingles long, key binary, bands array<long>"))
+    alike = rows_of.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "bands")).alias("r"))
+    # numbers are given once, when the table is written
+    classes = cut(alike.select("key", "r.doc_id", F.col("r.n_shingles").cast("int").alias("size"), "r.bands", F.monotonically_increasing_id().alias("node")))
+    links = _links(texts, classes, percent, width)
+    comps = classes.select("node", "key", "doc_id").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = comps.join(least, "comp").select("node", "component_id")
-    out = rows_of.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    named = comps.join(least, "comp").select("key", "component_id")
+    out = rows_of.select("doc_id", "n_shingles", "key").join(named, "key", "left")
+    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
-    """Confirmed links (a, b) between classes: of each component at least a spanning set, which is all that counts."""
+def _sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, elements) of the classes ``wanted`` (node, key, doc_id)."""
+
+    def place(doc_id):
+        return F.pmod(F.xxhash64(doc_id), F.lit(BITS))
+
+    at = place(F.col("doc_id"))
+    bitmap = wanted.groupBy(F.bitmap_bucket_number(at + 1).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1)).alias("bits"))
+    held = {r["number"]: bytes(r["bits"]) for r in bitmap.collect()}
+    made = texts.select(at.alias("place"), "text").mapInArrow(_sets(width, held), "key binary, elements array<long>")
+    return cut(made.join(wanted.select("key", "node"), "key").groupBy("key", "node").agg(F.first("elements").alias("elements")).select("node", "elements"))
 
-    def alike(x: str, y: str):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    stats = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def _links(texts: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
+    """Confirmed links (a, b) between classes: of each component at least a spanning set, which is all that counts."""
+    members = classes.select(F.explode("bands").alias("bucket"), "node", "size")
+    stats = members.groupBy("bucket").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
     crowd = cut(members.join(stats, "bucket"))
     # the member that shares most buckets with others is the likeliest original of its bucket
-    weights = crowd.groupBy("node").agg(F.sum("n").alias("weight"))
+    weights = cut(crowd.groupBy("node").agg(F.sum("n").alias("weight")))
+    sets = _sets_of(texts, classes.select("node", "key", "doc_id").join(weights, "node"), width)
     crowd = crowd.drop("n").join(weights, "node")
     centers = crowd.groupBy("bucket").agg(F.max(F.struct("weight", "node", "size")).alias("c")).select("bucket", F.col("c.node").alias("center"), F.col("c.size").alias("center_size"))
     crowd = cut(crowd.drop("weight").join(centers, "bucket").where("node <> center"))
-    pairs = crowd.where(alike("size", "center_size")).select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
-    open_members = crowd.select("bucket", "node", "size")
+    near = F.least("size", "center_size") * 100 >= F.greatest("size", "center_size") * percent
+    pairs = crowd.where(near).select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
+    open_members = crowd.select("bucket", "node", "size").withColumn("most", F.col("size"))
     checked = links = None
+
+    def possible(x: str, y: str):
+        """May sets x and y be linked, by their sizes and by how many of their elements may be shared?"""
+        shared = F.least(f"most{x}", f"most{y}").cast("long")
+        return shared * (100 + percent) >= (F.col(f"size{x}") + F.col(f"size{y}")).cast("long") * percent
+
     while True:
         pairs = cut(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
-        found = _confirmed(texts, classes, pairs, percent, width)
+        found = _confirmed(sets, pairs, percent)
         links = found if links is None else links.union(found)
-        checked = pairs if checked is None else checked.union(pairs)
-        labels = components(links)
-        # a bucket stays open while members not yet compared with all others lie in several components
-        own = open_members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        parts = own.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-        still = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("members")).where("comps > 1")
-        left = cut(own.join(still, "bucket"))
+        first, checked = checked is None, pairs if checked is None else checked.union(pairs)
+        left = _open(open_members, components(links))
+        if first:
+            # what is still open is little: count each element among it, and drop what cannot be linked any more
+            sets = cut(sets.join(left.select("node").distinct(), "node"))
+            alone = sets.select("node", F.explode("elements").alias("element")).groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+            private = alone.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("private"))
+            bounded = left.drop("most", "members").join(private, "node", "left").withColumn("most", F.col("size") - F.coalesce("private", F.lit(0))).drop("private")
+            left = _open(cut(bounded.where(F.col("most") * 100 >= F.col("size") * percent)).drop("comp"), components(links))
         if left.isEmpty():
             return links
         small = left.where(F.col("members") <= SMALL)
-        one, two = (small.select("bucket", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("size").alias(f"s{x}")) for x in "ab")
-        pairs = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike("sa", "sb")).select("a", "b")
+        one, two = (small.select("bucket", F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("comp", "size", "most")]) for x in "ab")
+        pairs = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("compa") != F.col("compb")) & possible("a", "b")).select("a", "b")
         large = left.where(F.col("members") > SMALL)
-        least = large.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("c"))
+        least = large.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "most")).alias("c"))
         chosen = least.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("n", "c.node"))).where(F.col("i") <= CENTERS)
-        chosen = cut(chosen.select("bucket", F.col("c.node").alias("center"), F.col("c.size").alias("center_size"), F.col("comp").alias("own")))
-        star = large.join(chosen, "bucket").where((F.col("comp") != F.col("own")) & alike("size", "center_size"))
+        chosen = cut(chosen.select("bucket", F.col("c.node").alias("center"), F.col("c.size").alias("sizec"), F.col("c.most").alias("mostc"), F.col("comp").alias("own")))
+        star = large.select("bucket", "node", "comp", F.col("size").alias("sizen"), F.col("most").alias("mostn")).join(chosen, "bucket").where((F.col("comp") != F.col("own")) & possible("n", "c"))
         pairs = pairs.union(star.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))).distinct()
-        open_members = cut(large.select("bucket", "node", "size").join(chosen.select("bucket", F.col("center").alias("node")), ["bucket", "node"], "left_anti"))
+        open_members = cut(large.select("bucket", "node", "size", "most").join(chosen.select("bucket", F.col("center").alias("node")), ["bucket", "node"], "left_anti"))
+
+
+def _open(open_members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that lie in several components, with comp and the bucket's members."""
+    own = open_members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = own.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    still = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("members")).where("comps > 1")
+    return cut(own.join(still.select("bucket", "members"), "bucket"))
 
 
-def _confirmed(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs of classes that are as similar as asked, by their full sets."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    source = classes.select("node", "doc_id").join(asked, "node")
-    shipped = texts.join(source, texts["doc_id"].eqNullSafe(source["doc_id"])).select("node", "text")
-    sets = cut(shipped.mapInArrow(_sets(width), "node binary, elements array<long>").groupBy("node").agg(F.first("elements").alias("elements")))
     first = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
     both = first.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
     shared = F.size(F.array_intersect("ea", "eb"))
