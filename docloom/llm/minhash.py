@@ -229,8 +229,11 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, width: int) -> Da
         if left.isEmpty():
             return links
         small = left.where(F.col("members") <= SMALL)
-        one, two = (small.select("bucket", F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("comp", "size", "most")]) for x in "ab")
-        pairs = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("compa") != F.col("compb")) & possible("a", "b")).select("a", "b")
+        # a pair is made in the first bucket that it shares, of at most one for each band
+        small = small.join(small.groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "node")
+        one, two = (small.select("bucket", F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("comp", "size", "most", "buckets")]) for x in "ab")
+        apart = (F.col("a") < F.col("b")) & (F.col("compa") != F.col("compb")) & possible("a", "b")
+        pairs = one.join(two, "bucket").where(apart & (F.array_min(F.array_intersect("bucketsa", "bucketsb")) == F.col("bucket"))).select("a", "b")
         large = left.where(F.col("members") > SMALL)
         least = large.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "most")).alias("c"))
         chosen = least.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("n", "c.node"))).where(F.col("i") <= CENTERS)

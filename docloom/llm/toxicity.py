@@ -1,7 +1,7 @@
 """Toxicity by a chain of linear classifiers.
 
-Categories are predicted one after another.  Each is a logistic regression on the presence of words, with the
-probabilities of the categories before it as further features.  In training those probabilities are out of fold: they
+Categories are predicted one after another.  Each is a logistic regression on the presence of words and of word
+beginnings (so that inflected and compound forms count), with the probabilities of the categories before it as further features.  In training those probabilities are out of fold: they
 come from models fitted without the row, so a later model sees them as it will see them at prediction.
 
 Models are fitted on the driver from a bounded sample: up to ``SAMPLE`` labelled documents with the smallest hashes of
@@ -25,14 +25,17 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import cut
 
-SAMPLE, WORDS, FOLDS, RIDGE, ROUNDS = 8000, 128, 5, 1.0, 12
+SAMPLE, WORDS, FOLDS, RIDGE, ROUNDS = 8000, 192, 5, 0.3, 12
+#: Lengths of the word beginnings that are features.
+STEMS = (3, 4, 5, 6)
 CHAIN = ("low_quality", "toxic")
 THRESHOLD = 0.5
 
 
 def words_of(text: str | None) -> set:
-    """The distinct lower-case words: runs of letters."""
-    return set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    """The distinct lower-case words (runs of letters), and their beginnings marked with a star."""
+    whole = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    return whole.union(*[{w[:n] + "*" for w in whole if len(w) >= n} for n in STEMS])
 
 
 def _worded(batches):
