@@ -109,6 +109,10 @@ class BlobLedger:
         return docs.withColumn("_blob", _address(F.col(text))).join(entries, "_blob", "left")
 
 
+def _count(found: Column, rank: int) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == rank)).cast("long")
+
+
 def _address(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
@@ -117,5 +121,5 @@ def findings(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
     """doc_id, counts by kind, the digest of the base spans and all spans of each row."""
     ledger = ledger or BlobLedger(docs.sparkSession)
     rows = ledger.scan(docs.select("doc_id", "text")).select("doc_id", F.col("_spans").alias("spans")).withColumn("named", named(F.col("spans")))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [_count(F.col("spans"), i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2("named", 256).alias("base_sha256"), F.col("named").alias("spans"))
