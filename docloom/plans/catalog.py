@@ -1,9 +1,740 @@
-"""All queries of the engine, and their SQL."""
+"""All queries of the engine over the test tables, each with equal SQL for DuckDB where SQL can express it."""
+
+from __future__ import annotations
+
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from docloom.functions import text as T
+from docloom.operators import chunking, generation, metadata, quality, search, tables, telemetry, terms
+from docloom.sources import readers
+from docloom.streaming import telemetry as streams
+
+_QUERIES: dict = {}
+_ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (read, spark) under its name; ``read`` gives a table of the folder."""
+
+    def add(f):
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_ORACLES)
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _values(rows, columns: str) -> str:
+    def one(v) -> str:
+        return f"[{', '.join(map(one, v))}]::VARCHAR[]" if isinstance(v, list) else "NULL" if v is None else str(v) if isinstance(v, (int, float)) else _text(v)
+
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) v({columns}))"
+
+
+# ---- ranked retrieval ------------------------------------------------------------------------------------------------
+
+_TOKENS = r"regexp_extract_all(lower({0}), '[一-鿿]|[a-z0-9_\-\.]+')"
+_BM25 = rf"""
+toks AS (SELECT doc_id, lang, {_TOKENS.format("text")} t FROM documents),
+post AS (SELECT doc_id, lang, len_t dl, term, count(*) tf FROM (SELECT doc_id, lang, len(t) len_t, unnest(t) term FROM toks) GROUP BY ALL),
+tot AS (SELECT count(*) n, avg(coalesce(len(t), 0)) avgdl FROM toks),
+raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) idf FROM post, tot GROUP BY term, n),
+idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END idf FROM raw),
+q AS (SELECT query_id, term, count(*) qtf FROM (SELECT item_id query_id, unnest({_TOKENS.format("text")}) term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT query_id, doc_id, lang, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) score FROM q JOIN post USING (term) JOIN idf USING (term), tot GROUP BY ALL),
+bm AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM sc WHERE score > 0) WHERE rank <= 20)"""
+
+
+def _asked(read) -> DataFrame:
+    return read("benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(f"WITH {_BM25} SELECT bm.query_id, bm.doc_id, score, rank, substring(text, 1, 100) preview FROM bm JOIN documents USING (doc_id) WHERE rank <= 10")
+def bm25_topk(read, spark):
+    """BM25 search of every benchmark passage, with previews joined after ranking."""
+    docs = read("documents")
+    hits = search.bm25(docs, _asked(read), 10)
+    return hits.join(docs.select("doc_id", F.substring("text", 1, 100).alias("preview")), "doc_id").select("query_id", "doc_id", "score", "rank", "preview")
+
+
+@query(f"WITH {_BM25} SELECT term, count(*) df, sum(tf)::BIGINT cf FROM post GROUP BY term")
+def bm25_stats(read, spark):
+    return search.term_stats(search.postings(read("documents"))).withColumn("cf", F.col("cf").cast("long"))
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM sc WHERE score > 0 AND lang IN ('de', 'fr')) WHERE rank <= 10")
+def bm25_filtered(read, spark):
+    """The filter goes before ranking, so k results are found where there are k."""
+    return search.bm25(read("documents"), _asked(read), 10, F.col("lang").isin("de", "fr"))
+
+
+@query(f"WITH {_BM25} SELECT bm.query_id, bm.doc_id, bm.score, bm.rank FROM bm JOIN documents USING (doc_id) WHERE lang IN ('de', 'fr')")
+def bm25_post_filtered(read, spark):
+    """The filter goes after the cut to twice k, so fewer than k may be left."""
+    docs = read("documents")
+    return search.bm25(docs, _asked(read), 20).join(docs.where(F.col("lang").isin("de", "fr")).select("doc_id"), "doc_id", "left_semi").select("query_id", "doc_id", "score", "rank")
+
+
+def _cos(where: str = "TRUE", k: int = 10) -> str:
+    return f"""SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM (
+SELECT q.vec_id query_id, d.vec_id doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) score FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id < 20 AND {where})) WHERE rank <= {k}"""
+
+
+def _vectors(read, k: int = 10, keep: Column | None = None) -> DataFrame:
+    rows = read("embeddings")
+    asked = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return search.nearest(rows if keep is None else rows.where(keep), asked, k).select("query_id", "doc_id", "score", "rank")
+
+
+@query(_cos())
+def vector_topk(read, spark):
+    return _vectors(read)
+
+
+@query(_cos("d.label IN (1, 2)"))
+def vector_filtered(read, spark):
+    return _vectors(read, 10, F.col("label").isin(1, 2))
+
+
+_LISTS = f"WITH {_BM25}, vec AS ({_cos(k=20)}), bq AS (SELECT * FROM bm WHERE query_id < 20), bo AS (SELECT coalesce(v.query_id, b.query_id) query_id, coalesce(v.doc_id, b.doc_id) doc_id, v.score vs, b.score bs, v.rank rv, b.rank rb, CASE WHEN v.rank IS NULL THEN 'bm25' WHEN b.rank IS NULL THEN 'vector' ELSE 'both' END source FROM vec v FULL JOIN bq b ON v.query_id = b.query_id AND v.doc_id = b.doc_id)"
+_RRF = "rrf AS (SELECT query_id, doc_id, source, round(coalesce(0.6 / (60 + rv), 0) + coalesce(0.4 / (60 + rb), 0), 8) score FROM bo)"
+
+
+def _two_lists(read):
+    """The vector list and the BM25 list of queries below 20; vec_id stands for doc_id, as the tables have no link."""
+    return _vectors(read, 20), search.bm25(read("documents"), _asked(read).where("query_id < 20"), 20)
+
+
+@query(f"{_LISTS}, {_RRF} SELECT * FROM rrf")
+def rrf_fusion(read, spark):
+    return search.rrf(*_two_lists(read))
+
+
+@query(f"{_LISTS}, s AS (SELECT *, min(vs) OVER w lv, max(vs) OVER w hv, min(bs) OVER w lb, max(bs) OVER w hb FROM bo WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, source, round(0.6 * coalesce((vs - lv) / CASE WHEN hv > lv THEN hv - lv ELSE 1 END, 0) + 0.4 * coalesce((bs - lb) / CASE WHEN hb > lb THEN hb - lb ELSE 1 END, 0), 6) score FROM s")
+def weighted_fusion(read, spark):
+    return search.weighted(*_two_lists(read))
+
+
+@query(f"{_LISTS}, {_RRF} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM rrf) WHERE rank <= 10")
+def fused_topk(read, spark):
+    return search.best(search.rrf(*_two_lists(read)), 10)
+
+
+_RERANK = r"list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: x <> ''))"
+
+
+@query(f"{_LISTS}, {_RRF}, r AS (SELECT rrf.*, round(0.7 * score + 0.3 * len(list_filter({_RERANK}, lambda x: contains(lower(d.text), x))) / len({_RERANK}), 6) rerank_score FROM rrf JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = rrf.query_id) SELECT query_id, doc_id, score, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) rank FROM r) WHERE rank <= 5")
+def keyword_rerank(read, spark):
+    fused = search.rrf(*_two_lists(read)).join(read("documents").select("doc_id", "text"), "doc_id").join(_asked(read).select("query_id", F.col("text").alias("query")), "query_id")
+    return search.keyword_rerank(fused.withColumn("rank", F.lit(0)), 5).select("query_id", "doc_id", "score", "rerank_score", "rank")
+
+
+# variants of a query: the whole passage, its first 60 and its last 60 characters
+_VARIANTS = _BM25.replace("FROM benchmark)", "FROM (SELECT item_id * 10 + v item_id, CASE v WHEN 0 THEN text WHEN 1 THEN substring(text, 1, 60) ELSE right(text, 60) END AS text FROM benchmark, (VALUES (0), (1), (2)) x(v)))")
+_BY_VARIANT = f"WITH {_VARIANTS}, va AS (SELECT query_id // 10 query_id, query_id % 10 variant, doc_id, score, rank FROM bm)"
+
+
+def _variants(read) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("v"), t.alias("text")) for i, t in enumerate((F.col("text"), F.substring("text", 1, 60), F.right("text", F.lit(60))))]))
+    asked = read("benchmark").select("item_id", each.alias("e")).select((F.col("item_id") * 10 + F.col("e.v")).alias("query_id"), "e.text")
+    hits = search.bm25(read("documents"), asked, 20)
+    return hits.select(F.expr("query_id div 10").alias("query_id"), (F.col("query_id") % 10).alias("variant"), "doc_id", "score", "rank")
+
+
+@query(f"{_BY_VARIANT}, f AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 8) score, count(*) hits, max(score) best_score FROM va GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM f) WHERE rank <= 10")
+def multi_query_rrf(read, spark):
+    """All variants of all queries are searched in one plan, then fused."""
+    return search.best(search.multi_rrf(_variants(read)), 10)
+
+
+@query(f"{_BY_VARIANT} SELECT query_id, variant, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY variant, rank) n FROM va) WHERE n = 1")
+def variant_dedup(read, spark):
+    return search.first_variant(_variants(read))
+
+
+@query(f"WITH {_BM25}, a AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM sc WHERE score > 0 AND lang = 'es'), s AS (SELECT *, 0 step FROM a WHERE rank <= 10 UNION ALL SELECT *, 1 FROM bm WHERE rank <= 10), c AS (SELECT *, count(*) OVER (PARTITION BY query_id, step) n FROM s), p AS (SELECT query_id, arg_min(step, CASE WHEN n >= 3 THEN 0 ELSE 3 - n END * 10 + step) pick FROM c GROUP BY 1) SELECT query_id, doc_id, score, rank, step FROM c JOIN p USING (query_id) WHERE step = pick")
+def fallback_ladder(read, spark):
+    """Filtered results, or those without the filter where they are too few."""
+    docs = read("documents")
+    return search.ladder(search.bm25(docs, _asked(read), 10, F.col("lang") == "es"), search.bm25(docs, _asked(read), 10))
+
+
+# ---- text structure --------------------------------------------------------------------------------------------------
+
+_LINES = "ln AS (SELECT doc_id, unnest(range(len(l))) pos, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) l FROM documents)), el AS (SELECT doc_id, pos::INT pos, text FROM ln WHERE trim(text, ' ') <> '')"
+
+
+@query(f"WITH {_LINES} SELECT * FROM el")
+def line_elements(read, spark):
+    return readers.line_elements(read("documents"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, avg(len(trim(text, ' '))) < 100 AS scanned FROM el WHERE pos < 3 GROUP BY doc_id")
+def scanned_detect(read, spark):
+    """Lines stand for pages: does the mean length of the first three say that a file has no text?"""
+    return readers.line_elements(read("documents")).where("pos < 3").groupBy("doc_id").agg((F.avg(F.length(F.trim("text"))) < 100).alias("scanned"))
+
+
+@query(r"""WITH e AS (SELECT page_id, regexp_extract_all(html, '(?is)(<(?:h1|h2|h3|p|li)(?:\s[^>]*)?>.*?</(?:h1|h2|h3|p|li)>)', 1) f FROM pages), r AS (SELECT page_id, unnest(range(len(f)))::INT pos, unnest(f) raw FROM e)
+SELECT page_id, pos, lower(regexp_extract(raw, '^<([A-Za-z0-9]+)', 1)) tag, trim(regexp_replace(regexp_replace(raw, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS text FROM r""")
+def html_elements(read, spark):
+    return readers.html_elements(read("pages"))
+
+
+_KINDS = [("1. Title", 11, False), ("1. !x", 11, False), ("1.1 Title", 15, False), ("1.1.1 Deep part", 11, False), ("第1章 概述", 18, True), ("- item", 10, False), ("def f():", 10, False), ("bold short", 13, True), ("plain text", 10, False), ("A. Appendix", 16, False), ("import os", 9, False), ("附录 A", 14, False), ("{ }", 9, False), ("$ ls", 9, False)]
+_KIND_ROWS = _values([(t, s, int(b)) for t, s, b in _KINDS], "txt, size, bold")
+_SQL_KIND = r"""CASE WHEN regexp_matches(t, '^[•\-*◦▪]\s+') OR regexp_matches(t, '^\d+[.)]\s+\w') THEN 'list'
+WHEN regexp_matches(t, '(?m)^\s*def\s+\w+') OR regexp_matches(t, '(?m)^\s*class\s+\w+') OR regexp_matches(t, '(?m)^\s*import\s+') OR regexp_matches(t, '(?m)^\s*#include') OR regexp_matches(t, '(?m)^\s*\$\s+') OR regexp_matches(t, '(?m)^\s*>\s+') OR regexp_matches(t, '(?m)^\s*\{.*\}\s*$') THEN 'code'
+WHEN regexp_matches(t, '^第[一二三四五六七八九十\d]+[章节]\s+') OR regexp_matches(t, '^\d+\.\s+') OR regexp_matches(t, '^\d+\.\d+\s+') OR regexp_matches(t, '^\d+\.\d+\.\d+\s+') OR regexp_matches(t, '^[A-Z]\.\s+') OR regexp_matches(t, '^附录\s*[A-Z]?\s*') OR (size >= 12 AND bold = 1 AND len(t) < 100) THEN 'heading' ELSE 'paragraph' END"""
+_SQL_LEVEL = r"CASE WHEN regexp_matches(t, '^第[一二三四五六七八九十\d]+章') THEN 1 WHEN regexp_matches(t, '^\d+\.\d+\.\d+\s+') THEN 3 WHEN regexp_matches(t, '^\d+\.\d+\s+') THEN 2 WHEN regexp_matches(t, '^\d+\.\s+') THEN 1 WHEN size >= 18 THEN 1 WHEN size >= 16 THEN 2 WHEN size >= 14 THEN 3 ELSE 4 END"
+
+
+@query(f"WITH {_LINES}, k AS (SELECT doc_id, pos, 10 AS size, 0 AS bold, trim(text, ' ') t FROM el UNION ALL SELECT -1, 0, size, bold, txt FROM {_KIND_ROWS}) SELECT kind, level, count(*) n FROM (SELECT {_SQL_KIND} kind, {_SQL_LEVEL} level FROM k) GROUP BY ALL")
+def element_classify(read, spark):
+    """Kinds and heading levels of all lines and of hand-made ones."""
+    made = spark.createDataFrame([(t, float(s), b) for t, s, b in _KINDS], "text string, size double, bold boolean")
+    rows = readers.line_elements(read("documents")).select("text", F.lit(10.0).alias("size"), F.lit(False).alias("bold")).union(made)
+    kind, level = T.element_kind(F.col("text"), F.col("size"), F.col("bold")), T.heading_level(F.trim("text"), F.col("size"))
+    return rows.select(kind.alias("kind"), level.alias("level")).groupBy("kind", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+_HEADS = f"{_LINES}, h AS (SELECT doc_id, pos, (len(text) % 3 + 1)::INT AS level, (pos // 5)::INT + 1 AS page FROM el)"
+
+
+def _headings(read) -> DataFrame:
+    """Lines as headings whose level comes from their length; five lines make a page."""
+    return readers.line_elements(read("documents")).select("doc_id", "pos", (F.length("text") % 3 + 1).alias("level"), (F.floor(F.col("pos") / 5).cast("int") + 1).alias("page"))
+
+
+@query(f"""WITH {_HEADS}, a AS (SELECT *, (SELECT max(p.pos) FROM h p WHERE p.doc_id = h.doc_id AND p.pos < h.pos AND p.level < h.level) parent_pos FROM h),
+e AS (SELECT *, coalesce((SELECT min_by(n.page, n.pos) FROM h n WHERE n.doc_id = a.doc_id AND n.pos > a.pos AND n.level <= a.level) - 1, (SELECT max(m.page) FROM h m WHERE m.doc_id = a.doc_id)) page_end FROM a),
+g AS (SELECT *, sum((level < 1)::INT) OVER w g1, sum((level < 2)::INT) OVER w g2, sum((level < 3)::INT) OVER w g3 FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+c AS (SELECT *, sum((level = 1)::INT) OVER (PARTITION BY doc_id, g1 ORDER BY pos) c1, sum((level = 2)::INT) OVER (PARTITION BY doc_id, g2 ORDER BY pos) c2, sum((level = 3)::INT) OVER (PARTITION BY doc_id, g3 ORDER BY pos) c3 FROM g)
+SELECT doc_id, pos, level, page, parent_pos, page_end, array_to_string(list_filter(list_slice([c1, c2, c3], 1, level), lambda x: x > 0), '.') section_path FROM c""")
+def section_paths(read, spark):
+    return chunking.section_paths(_headings(read), 3)
+
+
+@query(r"SELECT doc_id, unnest(range(len(p)))::INT pos, unnest(p) AS text FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, ' ')), lambda x: x <> '') p FROM documents)")
+def paragraph_split(read, spark):
+    return read("documents").select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "text"))
+
+
+@query(r"SELECT doc_id, len(s)::INT n, sum_len::BIGINT chars FROM (SELECT doc_id, s, list_sum(list_transform(s, lambda x: len(x))) sum_len FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？；.!?;])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') s FROM documents)) WHERE len(s) > 0")
+def sentence_split(read, spark):
+    s = T.sentences(F.col("text"))
+    rows = read("documents").select("doc_id", s.alias("s")).where(F.size("s") > 0)
+    return rows.select("doc_id", F.size("s").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos, (starts_with(t, '|') AND contains(t, '---')) OR starts_with(t, '```') OR starts_with(t, '~~~') special FROM (SELECT doc_id, pos, trim(text, ' ') t FROM el)")
+def special_block(read, spark):
+    return readers.line_elements(read("documents")).select("doc_id", "pos", T.special_block(F.col("text")).alias("special"))
+
+
+def _chunks(read):
+    items = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    up = chunking.parents(read("documents").where("text is not null"), items)
+    return up, chunking.children(up)
+
+
+@query()
+def parent_chunks(read, spark):
+    """Lines packed to parent chunks of 1,500 tokens with 200 of overlap; tested against a plain loop."""
+    return _chunks(read)[0].select("doc_id", "parent_index", "chunk_id", "tokens", "content")
+
+
+@query()
+def child_chunks(read, spark):
+    """Sentences of parents packed to child chunks of 400 tokens with 50 of overlap; tested against a plain loop."""
+    return _chunks(read)[1].select("doc_id", "chunk_id", "parent_id", "parent_index", "child_index", "tokens", "content")
+
+
+@query()
+def parent_expand(read, spark):
+    """The best child chunk of each document with the text of its parent."""
+    up, down = _chunks(read)
+    chunks = up.select("chunk_id", F.lit(None).cast("string").alias("parent_id"), "content").union(down.select("chunk_id", "parent_id", "content"))
+    hits = down.where("child_index = 0").select(F.col("chunk_id").alias("doc_id"), "parent_index")
+    return search.expand_parents(hits, chunks).select(F.col("doc_id").alias("chunk_id"), "parent_index", F.md5("context").alias("context_md5"))
+
+
+@query()
+def ingestion_stats(read, spark):
+    """Chunks and tokens of each document."""
+    up, down = _chunks(read)
+    both = up.select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("c"), "tokens").union(down.select("doc_id", F.lit(0), F.lit(1), "tokens"))
+    return both.groupBy("doc_id").agg(F.sum("p").alias("parents"), F.sum("c").alias("children"), F.sum("tokens").alias("tokens"))
+
+
+@query("SELECT (SELECT count(*) FROM embeddings) vectors, (SELECT count(*) FROM documents) documents")
+def kb_stats(read, spark):
+    return read("embeddings").agg(F.count(F.lit(1)).alias("vectors")).join(read("documents").agg(F.count(F.lit(1)).alias("documents")), F.lit(True))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\b[A-Z]{2,}\b'), regexp_extract_all(text, '(?:0x[0-9A-Fa-f]+|ERROR_\w+|ERR_\w+)'), regexp_extract_all(text, '(?:/[\w/]+|--?\w+)')))), ' ') kw FROM documents WHERE text NOT SIMILAR TO '(?s).*[^\x00-\x7F].*'""")
+def ascii_keywords(read, spark):
+    """Acronyms, error codes and paths of ASCII texts, where the dialects' word borders agree."""
+    rows = read("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    found = [F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(1)) for p in (T.KEYWORD[0], r"(?:0x[0-9A-Fa-f]+|ERROR_\w+|ERR_\w+)", T.KEYWORD[5])]
+    return rows.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.concat(*found))), " ").alias("kw"))
+
+
+@query()
+def keywords(read, spark):
+    """All six families over all documents."""
+    return read("documents").select("doc_id", T.keywords(F.col("text")).alias("keywords"))
+
+
+@query("SELECT doc_id, substring(md5(doc_id || '_' || source), 1, 12) document_key, substring(md5(concat_ws('_', doc_id, lang, 'p0c1')), 1, 16) chunk_key, substring(text, 1, 200) preview FROM documents")
+def ids_and_previews(read, spark):
+    d = F.col("doc_id").cast("string")
+    return read("documents").select("doc_id", T.short_id(d, F.col("source"), size=12).alias("document_key"), T.short_id(d, F.col("lang"), F.lit("p0c1")).alias("chunk_key"), F.substring("text", 1, 200).alias("preview"))
+
+
+@query(f"WITH {_BM25} SELECT query_id, string_agg('[来源 ' || rank || ': [' || source || ' - ' || lang || ', 第1页]]' || chr(10) || substring(text, 1, 100), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) context FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id")
+def context_citations(read, spark):
+    """The context of each query: its five best documents with numbered sources."""
+    docs = read("documents").select("doc_id", "source", "lang", F.substring("text", 1, 100).alias("t"))
+    hits = search.bm25(read("documents"), _asked(read), 5).join(docs, "doc_id")
+    part = F.concat(F.lit("[来源 "), "rank", F.lit(": ["), "source", F.lit(" - "), "lang", F.lit(", 第1页]]\n"), "t")
+    return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))), lambda s: s["p"]), "\n\n---\n\n").alias("context"))
+
+
+# ---- terms -----------------------------------------------------------------------------------------------------------
+
+_DICT = _values([(i, t, c, a.split(";") if a else [], b.split(";") if b else [], r.split(";") if r else [], d) for i, (t, c, a, b, r, d) in enumerate(x.split("|") for x in terms.DICTIONARY.split("\n"))], "seq, term, canonical, aliases, abbreviations, related, domain")
+_FORMS = f"d AS {_DICT}, fo AS (SELECT seq, canonical, lower(unnest(list_concat([term, canonical], aliases, abbreviations))) form FROM d), fm AS (SELECT form, arg_max(canonical, seq) canonical FROM fo GROUP BY form)"
+_WORDS = ["api", "API", "py", "参数", "Db", "k8s", "unknown", "设置", "bug", "cicd", "json", "容器", "Large Language Model", "IP地址"]
+
+
+@query(f"WITH {_FORMS} SELECT * FROM fm")
+def term_build(read, spark):
+    return terms.forms(terms.dictionary(spark))
+
+
+@query(f"WITH {_FORMS}, w AS {_values([(w,) for w in _WORDS], 'word')} SELECT word, coalesce(canonical, word) canonical FROM w LEFT JOIN fm ON lower(word) = form")
+def term_normalize(read, spark):
+    return terms.normalize(spark.createDataFrame([(w,) for w in _WORDS], "word string"), terms.dictionary(spark))
+
+
+@query(f"WITH d AS {_DICT} SELECT canonical, array_to_string(list_sort(list_distinct(list_concat([term, canonical], aliases, abbreviations))), ';') forms, array_to_string(related, ';') related FROM d")
+def term_expand(read, spark):
+    return terms.all_forms(terms.dictionary(spark)).select("canonical", F.array_join("forms", ";").alias("forms"), F.array_join("related", ";").alias("related"))
+
+
+@query(f"WITH d AS {_DICT} SELECT domain, count(*) n FROM d GROUP BY domain")
+def term_domains(read, spark):
+    return terms.dictionary(spark).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH d AS {_DICT}, a AS (SELECT seq, canonical, unnest(abbreviations) abbr, unnest(range(len(abbreviations))) i FROM d) SELECT upper(abbr) abbr, arg_max(canonical, seq * 10 + i) canonical FROM a GROUP BY 1")
+def term_abbreviations(read, spark):
+    rows = terms.dictionary(spark).select("seq", "canonical", F.posexplode("abbreviations").alias("i", "a"))
+    return rows.groupBy(F.upper("a").alias("abbr")).agg(F.max_by("canonical", F.col("seq") * 10 + F.col("i")).alias("canonical"))
+
+
+_ASKS = ["API 配置", "http server", "安装 SDK", "hypertext transfer protocol", "方法 错误", "plain words", "数据库 DB", "API认证 ok", "python json"]
+
+
+@query()
+def simple_expand(read, spark):
+    """Variants by abbreviations and synonyms; tested against expected lists."""
+    return spark.createDataFrame([(q,) for q in _ASKS], "q string").select("q", F.array_join(terms.simple_expand(F.col("q")), " / ").alias("variants"))
+
+
+@query()
+def query_expand(read, spark):
+    """Variants by the dictionary, word by word; tested against expected lists."""
+    forms = terms.forms(terms.dictionary(spark)).join(terms.all_forms(terms.dictionary(spark)), "canonical").orderBy("form").collect()
+    entries = [(r["form"], r["canonical"], list(r["forms"])) for r in forms]
+    return spark.createDataFrame([(q,) for q in _ASKS], "q string").select("q", F.array_join(terms.expand_query(F.col("q"), entries), " / ").alias("variants"))
+
+
+_GLOSSED = ["use the api and the DB now", "the UI of a CLI", "config of a Config", "rapid apis stay"]
+
+
+def _replaced(column: str) -> str:
+    for a, t in terms.glossary():
+        if a.isascii():
+            column = f"regexp_replace({column}, '(?i)\\b{a}\\b', '{t}', 'g')"
+    return column
+
+
+@query(f"SELECT txt, {_replaced('txt')} standard FROM {_values([(t,) for t in _GLOSSED], 'txt')}")
+def glossary_normalize(read, spark):
+    return spark.createDataFrame([(t,) for t in _GLOSSED], "txt string").select("txt", terms.normalize_text(F.col("txt")).alias("standard"))
+
+
+@query()
+def term_detect(read, spark):
+    """Every alias with its place; tested against a plain search."""
+    made = spark.createDataFrame(list(enumerate(_GLOSSED + ["用户界面 API，api"])), "doc_id long, text string")
+    return terms.detect(read("documents").select("doc_id", "text").union(made.select(-F.col("doc_id") - 1, "text")))
+
+
+@query()
+def term_variants(read, spark):
+    """Terms that occur in more than one surface form."""
+    made = spark.createDataFrame(list(enumerate(_GLOSSED)), "doc_id long, text string")
+    found = terms.detect(made).groupBy("term").agg(F.array_sort(F.collect_set("variant")).alias("variants"))
+    return found.where(F.size("variants") > 1)
+
+
+# ---- tables ----------------------------------------------------------------------------------------------------------
+
+_TABLE_SQL = "tb AS (SELECT p_brand table_id, list_concat([['part', 'name', 'type', 'price']], list([p_partkey::VARCHAR, p_name, p_type, p_size::VARCHAR || '%'] ORDER BY p_partkey)) raw FROM part GROUP BY p_brand)"
+
+
+def _raw(read) -> DataFrame:
+    """A table of strings for each brand: a header and a row for each part."""
+    row = F.array(F.col("p_partkey").cast("string"), "p_name", "p_type", F.concat(F.col("p_size").cast("string"), F.lit("%")))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda s: s["r"])
+    head = F.array(F.array(*[F.lit(x) for x in ("part", "name", "type", "price")]))
+    return read("part").groupBy(F.col("p_brand").alias("table_id")).agg(F.concat(head, body).alias("raw"))
+
+
+@query(f"WITH {_TABLE_SQL} SELECT table_id, len(raw) n_rows, len(raw) >= 2 AND len(raw[1]) >= 2 valid, round(len(list_filter(flatten(raw), lambda c: trim(c) = '')) / len(flatten(raw)), 6) empty_share, len(flatten(raw)) - len(list_distinct(flatten(raw))) repeated FROM tb")
+def table_validate(read, spark):
+    raw = tables.clean(F.col("raw"))
+    rows = _raw(read).select("table_id", raw.alias("raw"))
+    cells = F.flatten("raw")
+    return rows.select("table_id", F.size("raw").cast("long").alias("n_rows"), tables.valid(F.col("raw")).alias("valid"), F.round(tables.empty_share(F.col("raw")), 6).alias("empty_share"), (F.size(cells) - F.size(F.array_distinct(cells))).cast("long").alias("repeated"))
+
+
+_HEADERS = [(1, "name;type;说明"), (2, "1;2;3"), (3, "this is a very long cell of more than thirty;12;7"), (4, "100%;;参数")]
+
+
+@query(r"SELECT id, list_sum(list_transform(string_split(cells, ';'), lambda c: (len(c) < 30)::INT + (c <> '' AND NOT regexp_matches(c, '^[\d,.\-+%]+$'))::INT + 2 * (" + " OR ".join(f"contains(lower(c), '{w}')" for w in tables.HEADER_WORDS) + f")::INT))::INT score FROM {_values(_HEADERS, 'id, cells')}")
+def header_detect(read, spark):
+    rows = spark.createDataFrame(_HEADERS, "id int, cells string")
+    return rows.select("id", tables.header_score(F.split("cells", ";")).alias("score"))
+
+
+_COLUMNS = [(1, ["1", "2.5", "-3", "1e5", "4"]), (2, ["10%", "20 %", "5%"]), (3, ["2024-01-15", "01/15/2024", "2024年1月15日"]), (4, ["yes", "no", "是"]), (5, ["MAX_SIZE", "--flag", "x = 1", "some words"]), (6, ["a b", "c", "1"]), (7, ["", " "]), (8, ["1,000", "$5", "7"])]
+
+
+@query(rf"""WITH c AS {_values(_COLUMNS, "id, vals")}, h AS (SELECT id, list_filter(vals, lambda v: trim(v) <> '') v FROM c), s AS (SELECT id, v, greatest(len(v), 1) n,
+len(list_filter(v, lambda x: regexp_matches(regexp_replace(x, '[,%$€¥ ]', '', 'g'), '{tables.NUMBER}'))) num, len(list_filter(v, lambda x: regexp_matches(x, '{tables.DATES}'))) dat,
+len(list_filter(v, lambda x: lower(x) IN ({", ".join(map(_text, tables.BOOLEAN_WORDS))}))) boo, len(list_filter(v, lambda x: regexp_matches(x, '{tables.CODES}'))) cod FROM h)
+SELECT id, CASE WHEN len(v) = 0 THEN 'text' WHEN num / n > 0.8 THEN CASE WHEN len(list_filter(v, lambda x: contains(x, '%'))) > 0 THEN 'percentage' ELSE 'number' END WHEN dat / n > 0.8 THEN 'date' WHEN boo / n > 0.8 THEN 'boolean' WHEN cod / n > 0.5 THEN 'code' ELSE 'text' END kind FROM s""")
+def column_types(read, spark):
+    return spark.createDataFrame(_COLUMNS, "id int, v array<string>").select("id", tables.column_type(F.col("v")).alias("kind"))
+
+
+_TYPED = [(1, [["参数", "值"], ["a", "1"]]), (2, [["x", "y", "z"], ["a", "1", "2"]]), (3, [["错误码", "说明"], ["1", "b"]]), (4, [["步骤", "做法"], ["1", "b"]]), (5, [["x", "y"], ["1", "2"]])]
+
+
+@query("SELECT * FROM (VALUES (1, 'specification'), (2, 'comparison'), (3, 'mapping'), (4, 'procedure'), (5, 'data')) t(id, kind)")
+def table_classify(read, spark):
+    """Against expected kinds, one for each rule."""
+    rows = spark.createDataFrame(_TYPED, "id int, raw array<array<string>>")
+    return rows.select("id", tables.table_type(tables.headers(F.col("raw")), F.col("raw")).alias("kind"))
+
+
+@query(f"WITH {_TABLE_SQL} SELECT table_id, array_to_string(list_concat(['| ' || array_to_string(raw[1], ' | ') || ' |', '| --- | --- | --- | --- |'], list_transform(raw[2:], lambda r: '| ' || array_to_string(r, ' | ') || ' |')), chr(10)) md FROM tb")
+def table_markdown(read, spark):
+    return _raw(read).select("table_id", tables.markdown(F.col("raw")).alias("md"))
+
+
+@query(f"WITH {_TABLE_SQL}, r AS (SELECT table_id, unnest(raw[2:]) r, unnest(range(len(raw) - 1))::INT i FROM tb) SELECT table_id, i, table_id || '_row_' || i chunk_id, 'part: ' || r[1] || ' | name: ' || r[2] || ' | type: ' || r[3] || ' | price: ' || r[4] AS content FROM r")
+def row_chunks(read, spark):
+    rows = _raw(read).select("table_id", tables.headers(F.col("raw")).alias("h"), F.posexplode(F.slice("raw", F.lit(2), F.size("raw") - 1)).alias("i", "r"))
+    return rows.select("table_id", "i", F.concat("table_id", F.lit("_row_"), "i").alias("chunk_id"), tables.described(F.col("h"), F.col("r")).alias("content"))
+
+
+@query(f"""WITH {_TABLE_SQL}, r AS (SELECT table_id, raw[2:] b FROM tb), p AS (SELECT table_id, b, unnest(range((len(b) + 19) // 20))::INT part FROM r) SELECT table_id, part, len(b[part * 20 + 1 : part * 20 + 20])::INT n_rows, CASE WHEN len(b) <= 20 THEN table_id || '_full' ELSE table_id || '_part' || part END chunk_id FROM p""")
+def table_parts(read, spark):
+    """Slices of 20 rows of long tables."""
+    body = F.slice("raw", F.lit(2), F.size("raw") - 1)
+    rows = _raw(read).select("table_id", body.alias("b")).withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.size("b") / 20).cast("int") - 1)))
+    name = F.when(F.size("b") <= 20, F.concat("table_id", F.lit("_full"))).otherwise(F.concat("table_id", F.lit("_part"), "part"))
+    return rows.select("table_id", "part", F.size(F.slice("b", F.col("part") * 20 + 1, F.lit(20))).alias("n_rows"), name.alias("chunk_id"))
+
+
+@query(f"WITH {_TABLE_SQL}, r AS (SELECT table_id, unnest(raw[2:]) r FROM tb) SELECT table_id, r[1] part FROM r WHERE contains(lower(r[3]), 'a')")
+def query_by_column(read, spark):
+    rows = _raw(read).select("table_id", F.explode(F.slice("raw", F.lit(2), F.size("raw") - 1)).alias("r"))
+    return rows.where(F.contains(F.lower(F.col("r")[2]), F.lit("a"))).select("table_id", F.col("r")[0].alias("part"))
+
+
+@query(f"WITH {_TABLE_SQL}, r AS (SELECT table_id, unnest(raw[2:]) r FROM tb) SELECT table_id, count(DISTINCT r[3]) n_types, min(r[3]) least FROM r GROUP BY 1")
+def column_uniques(read, spark):
+    values = F.array_distinct(F.transform(F.slice("raw", F.lit(2), F.size("raw") - 1), lambda r: r[2]))
+    return _raw(read).select("table_id", F.size(values).cast("long").alias("n_types"), F.array_min(values).alias("least"))
+
+
+@query(f"WITH {_TABLE_SQL} SELECT table_id, '表格共有 ' || len(raw) || ' 行 4 列。' || chr(10) || '列包括：' || array_to_string(raw[1], ', ') || '。' AS head FROM tb")
+def table_nl(read, spark):
+    return _raw(read).select("table_id", F.concat(F.lit("表格共有 "), F.size("raw"), F.lit(" 行 "), F.size(F.col("raw")[0]), F.lit(" 列。\n列包括："), F.array_join(tables.headers(F.col("raw")), ", "), F.lit("。")).alias("head"))
+
+
+@query()
+def table_json(read, spark):
+    """Rows of each table as JSON records."""
+    body = F.slice("raw", F.lit(2), F.size("raw") - 1)
+    return _raw(read).select("table_id", F.to_json(F.transform(body, lambda r: F.map_from_arrays(tables.headers(F.col("raw")), r))).alias("json"))
+
+
+# ---- telemetry -------------------------------------------------------------------------------------------------------
+
+_LOG = "lg AS (SELECT event_id, ts, CASE WHEN event_type IN ('view', 'click') THEN k ELSE 0 END num_vector_hits, CASE WHEN event_type IN ('click', 'purchase') THEN k ELSE 0 END num_bm25_hits, value * 20 latency_ms FROM (SELECT *, (props::JSON ->> 'k')::INT k FROM events)), lo AS (SELECT *, num_vector_hits + num_bm25_hits num_results FROM lg)"
+_CLASS = "CASE WHEN num_vector_hits > 0 AND num_bm25_hits > 0 THEN 'hybrid' WHEN num_vector_hits > 0 THEN 'vector_only' WHEN num_bm25_hits > 0 THEN 'bm25_only' ELSE 'none' END"
+
+
+def _log(read) -> DataFrame:
+    return telemetry.search_log(read("events"))
+
+
+@query(f"WITH {_LOG} SELECT {_CLASS} source, count(*) n FROM lo GROUP BY 1")
+def source_class(read, spark):
+    return streams.class_counts(_log(read))
+
+
+@query(f"WITH {_LISTS}, {_RRF} SELECT query_id, count(*) num_results, count(*) FILTER (source = 'both') num_both, count(*) FILTER (source = 'vector') num_vector, count(*) FILTER (source = 'bm25') num_bm25, round(max(score), 6) max_score, round(min(score), 6) min_score FROM rrf GROUP BY 1".replace("WITH WITH", "WITH"))
+def retrieval_metrics(read, spark):
+    """A log row for each fused search."""
+    r = search.rrf(*_two_lists(read))
+    counts = [F.count_if(F.col("source") == s).alias(f"num_{s}") for s in ("both", "vector", "bm25")]
+    return r.groupBy("query_id").agg(F.count(F.lit(1)).alias("num_results"), *counts, F.round(F.max("score"), 6).alias("max_score"), F.round(F.min("score"), 6).alias("min_score"))
+
+
+@query(f"WITH {_LOG} SELECT count(*) total, round(avg((num_results = 0)::INT), 6) zero_rate, round(avg(latency_ms), 4) avg_latency, round(avg((num_vector_hits > 0 AND num_bm25_hits > 0)::INT), 6) hybrid_rate, round(avg((num_vector_hits > 0 AND num_bm25_hits = 0)::INT), 6) vector_only_rate, round(avg((num_bm25_hits > 0 AND num_vector_hits = 0)::INT), 6) bm25_only_rate, count(*) FILTER (num_results < 3) low_recall FROM lo WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'")
+def recall_report(read, spark):
+    return telemetry.report(_log(read).where((F.col("ts") >= "2024-01-10") & (F.col("ts") < "2024-01-20")))
+
+
+@query(f"WITH {_LOG} SELECT round(avg(latency_ms), 4) avg_latency, count(*) n FROM (SELECT latency_ms FROM lo ORDER BY ts DESC, event_id DESC LIMIT 5000)")
+def stats_summary(read, spark):
+    """Mean latency of the last 5,000 searches."""
+    last = _log(read).orderBy(F.desc("ts"), F.desc("event_id")).limit(5000)
+    return last.agg(F.round(F.avg("latency_ms"), 4).alias("avg_latency"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_LOG}, s AS (SELECT list(latency_ms ORDER BY latency_ms) l, count(*) n FROM lo) SELECT l[least((n * 50) // 100, n - 1) + 1] p50, l[least((n * 90) // 100, n - 1) + 1] p90, l[least((n * 99) // 100, n - 1) + 1] p99 FROM s")
+def percentile_floor(read, spark):
+    return telemetry.floor_percentiles(_log(read), "latency_ms")
+
+
+@query(f"WITH {_LOG}, r AS (SELECT event_id, count(*) OVER w seen, round(sum((num_results = 0)::INT) OVER w / count(*) OVER w, 6) zero_rate FROM lo WINDOW w AS (ORDER BY ts, event_id)) SELECT * FROM r WHERE seen >= 100 AND zero_rate > 0.1")
+def zero_rate_alert(read, spark):
+    return telemetry.zero_alerts(_log(read))
+
+
+@query(f"WITH {_LOG} SELECT event_id, latency_ms FROM lo WHERE latency_ms > 5000")
+def latency_alert(read, spark):
+    return streams.slow(_log(read))
+
+
+@query(f"WITH {_LOG} SELECT event_id, ts::VARCHAR AS seen_at, num_results FROM lo WHERE num_results < 3 QUALIFY row_number() OVER (ORDER BY ts, event_id) <= 20")
+def low_recall(read, spark):
+    """The first 20 searches with few results."""
+    rows = _log(read).where(F.col("num_results") < telemetry.LOW_RECALL).orderBy("ts", "event_id").limit(20)
+    return rows.select("event_id", F.regexp_replace(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.?0*$", "").alias("seen_at"), "num_results")
+
+
+def _shared(spark: SparkSession) -> str:
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-")
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _streamed(read, spark, transform, mode: str = "append") -> DataFrame:
+    root = _shared(spark)
+    _log(read).write.json(f"{root}/in")
+    return streams.run_once(transform(streams.read_log(spark, f"{root}/in")), f"{root}/out", f"{root}/state", mode)
+
+
+@query(f"WITH {_LOG} SELECT {_CLASS} source, count(*) n FROM lo GROUP BY 1")
+def stream_source_class(read, spark):
+    return _streamed(read, spark, streams.class_counts, "complete")
+
+
+@query()
+def stream_hourly_window(read, spark):
+    """Hours that the watermark has closed; tested against the batch aggregate."""
+    return _streamed(read, spark, streams.hourly)
+
+
+@query(f"WITH {_LOG} SELECT event_id, latency_ms FROM lo WHERE latency_ms > 5000")
+def stream_slow(read, spark):
+    return _streamed(read, spark, streams.slow)
+
+
+# ---- quality ---------------------------------------------------------------------------------------------------------
+
+_PAIRS = "pr AS (SELECT u.conv_id, u.turn, u.text q, a.text a, d.text c FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 LEFT JOIN documents d ON d.doc_id = u.conv_id WHERE u.role = 'user' AND a.role = 'assistant')"
+
+
+def _w(column: str) -> str:
+    return rf"list_distinct(list_filter(regexp_split_to_array(lower({column}), '\s+'), lambda x: x <> ''))"
+
+
+def _inside(column: str) -> str:
+    return f"round(coalesce(len(list_filter({_w(column)}, lambda x: contains(lower(coalesce(c, '')), x))) / nullif(len({_w(column)}), 0), 0), 6)"
+
+
+@query(f"WITH {_PAIRS}, m AS (SELECT conv_id, turn, {_inside('a')} faithfulness, round(coalesce(len(list_intersect({_w('q')}, {_w('a')})) / nullif(len({_w('q')}), 0), 0), 6) relevance, CASE WHEN list_has_any({_w('q')}, {_w('coalesce(c, chr(32))')}) THEN 1.0 ELSE 0.0 END::DOUBLE AS ctx_precision, {_inside('q')} ctx_recall FROM pr) SELECT *, round((faithfulness + relevance + ctx_precision + ctx_recall) / 4, 4) overall FROM m")
+def rag_metrics(read, spark):
+    """Question and answer turns, with the document of the conversation's number as context."""
+    c = read("conversations")
+    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    docs = read("documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("c"))
+    rows = u.join(a, ["conv_id", "turn"]).join(docs, "conv_id", "left").withColumn("c", F.coalesce("c", F.lit("")))
+    rows = rows.select("conv_id", "turn", quality.share_inside(F.col("a"), F.col("c")).alias("faithfulness"), quality.relevance(F.col("q"), F.col("a")).alias("relevance"), quality.precision(F.col("q"), F.array("c")).alias("ctx_precision"), quality.share_inside(F.col("q"), F.col("c")).alias("ctx_recall"))
+    return rows.withColumn("overall", F.round((F.col("faithfulness") + F.col("relevance") + F.col("ctx_precision") + F.col("ctx_recall")) / 4, 4))
+
+
+@query(f"WITH r AS ({_cos(k=20)}), f AS (SELECT q.vec_id query_id, min(rank) f FROM embeddings q LEFT JOIN (SELECT r.*, a.label la, b.label lb FROM r JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id) x ON x.query_id = q.vec_id AND la = lb WHERE q.vec_id < 20 GROUP BY 1) SELECT k, round(avg(coalesce(f <= k, FALSE)::INT), 6) hit_rate FROM f, (VALUES (1), (3), (5), (10), (20)) t(k) GROUP BY k")
+def hit_rate_at_k(read, spark):
+    """Vectors of the query's label are relevant."""
+    labels = read("embeddings").select("vec_id", "label")
+    asked = labels.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
+    relevant = asked.join(labels.withColumnRenamed("vec_id", "doc_id"), "label").where("query_id <> doc_id").select("query_id", "doc_id")
+    return quality.hit_rates(_vectors(read, 20), relevant)
+
+
+@query(r"WITH s AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[。.!?！？]'), lambda x: len(x) >= 10 AND (regexp_matches(x, '\d+') OR regexp_matches(x, '必须|应该|需要|要求|规定|默认|配置|参数|设置')) AND NOT regexp_matches(x, '\[资料\d+\]|\[\d+\]'))) lacking FROM documents) SELECT doc_id, lacking, round(least(1.0, 2 / lacking), 6) coverage, 2 / lacking < 0.8 flagged FROM s WHERE lacking > 0")
+def citation_coverage(read, spark):
+    """Documents as sections with two citations each."""
+    lacking = F.size(F.filter(F.split("text", "[。.!?！？]"), quality.uncited)).cast("long")
+    rows = read("documents").where("text is not null").select("doc_id", lacking.alias("lacking")).where("lacking > 0")
+    return rows.select("doc_id", "lacking", F.round(F.least(F.lit(1.0), 2 / F.col("lacking")), 6).alias("coverage"), (2 / F.col("lacking") < 0.8).alias("flagged"))
+
+
+_SECTIONS = [(1, "端口: 8080 and 端口: 9090"), (2, "版本: 1.2 版本: 1.2"), (3, "内存 16 GB 磁盘 32 GB"), (4, "默认值: a 默认: b\n```\nx\n```\n    y")]
+
+
+@query("SELECT * FROM (VALUES (1, '端口号', 2, '端口: 8080', '端口: 9090'), (3, '数值参数', 2, '16 GB', '32 GB'), (4, '默认值', 2, '默认: b', '默认值: a')) t(doc_id, category, n_values, least, greatest)")
+def contradictions(read, spark):
+    return quality.contradictions(spark.createDataFrame(_SECTIONS, "doc_id int, content string"))
+
+
+@query(f"SELECT doc_id, contains(txt, '```') AND regexp_matches(txt, '(?m)^    \\S') mixed FROM {_values(_SECTIONS, 'doc_id, txt')}")
+def code_style_mix(read, spark):
+    rows = spark.createDataFrame(_SECTIONS, "doc_id int, content string")
+    return rows.select("doc_id", (F.contains("content", F.lit("```")) & F.col("content").rlike(r"(?m)^    \S")).alias("mixed"))
+
+
+@query("SELECT quality, count(*) n, count(*) FILTER (toxic = 1) errors, count(*) FILTER (toxic = 1) = 0 passed FROM labels GROUP BY quality")
+def issue_summary(read, spark):
+    """Labels stand for issues: toxic ones are errors."""
+    errors = F.count_if(F.col("toxic") == 1)
+    return read("labels").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), errors.alias("errors"), (errors == 0).alias("passed"))
+
+
+# ---- metadata tables and generation ----------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT c_custkey, 'UPDATED' FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT -1, 'NEW'")
+def doc_upsert(read, spark):
+    table = read("customer").select("c_custkey", "c_mktsegment")
+    rows = table.where("c_custkey % 10 = 0").select("c_custkey", F.lit("UPDATED").alias("c_mktsegment")).union(spark.createDataFrame([(-1, "NEW")], "c_custkey long, c_mktsegment string"))
+    return metadata.upsert(table, rows, "c_custkey")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'deleted' ELSE 'active' END status FROM documents")
+def soft_delete(read, spark):
+    return metadata.soft_delete(read("documents").select("doc_id", F.lit("active").alias("status")), read("labels").where("toxic = 1"), "doc_id")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def hard_delete_cascade(read, spark):
+    gone = read("labels").where("toxic = 1").select(F.col("doc_id").alias("conv_id"))
+    return metadata.delete(read("conversations").select("conv_id", "turn"), gone, "conv_id")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def list_documents(read, spark):
+    """Filter, newest first, limit."""
+    return metadata.listed(read("orders"), {"o_orderstatus": ["O", "F"], "o_orderpriority": "1-URGENT"}, F.col("o_orderdate"), "o_orderkey", 100).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def latest_version(read, spark):
+    return metadata.latest(read("orders"), "o_custkey", F.struct("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderkey")
+
+
+@query(f"WITH d AS {_DICT} SELECT term, canonical FROM d WHERE term = 'js' OR contains(array_to_string(aliases, ','), 'js') ORDER BY seq LIMIT 1")
+def get_term_like(read, spark):
+    return metadata.find_term(terms.dictionary(spark), "js").select("term", "canonical")
+
+
+@query(f"WITH d AS {_DICT} SELECT term, array_to_string(aliases, ',') aliases FROM d WHERE domain = 'general'")
+def list_terms(read, spark):
+    return terms.dictionary(spark).where("domain = 'general'").select("term", F.array_join("aliases", ",").alias("aliases"))
+
+
+_SECTION_ROWS = [(d, i, *x.split("|")) for d, t in generation.TEMPLATES.items() for i, x in enumerate(t.split("\n"))]
+
+
+@query(f"SELECT doc_type, pos, title, description, len(string_split(topics, ','))::INT n_topics, words::INT words FROM {_values(_SECTION_ROWS, 'doc_type, pos, title, description, topics, words')}")
+def templates(read, spark):
+    return generation.templates(spark).select("doc_type", "pos", "title", "description", F.size("topics").alias("n_topics"), "words")
+
+
+@query(f"WITH t AS {_values(_SECTION_ROWS, 'doc_type, pos, title, description, topics, words')}, n AS {_values(list(generation.TYPE_NAMES.items()), 'doc_type, nm')} SELECT doc_type, '# Acme ' || any_value(nm) || chr(10) || chr(10) || string_agg('## ' || title || chr(10) || description, chr(10) || chr(10) ORDER BY pos) outline FROM t JOIN n USING (doc_type) GROUP BY doc_type")
+def outline_markdown(read, spark):
+    return generation.outlines(generation.templates(spark), "Acme")
+
+
+_PROMPTS = ["write an install guide for \"Foo\"", "产品：Bar 的 API 文档", "release notes for admins", "help", "如何快速入门", "troubleshoot 'Baz' for the user"]
+
+
+@query("SELECT * FROM (VALUES ('write an install guide for \"Foo\"', 'installation_guide', 'developer', 'Foo'), ('产品：Bar 的 API 文档', 'api_reference', 'developer', 'Bar'), ('release notes for admins', 'release_notes', 'admin', 'Product'), ('help', 'user_manual', 'developer', 'Product'), ('如何快速入门', 'quick_start', 'developer', 'Product'), ('troubleshoot ''Baz'' for the user', 'troubleshooting', 'end_user', 'Baz')) t(prompt, doc_type, audience, product)")
+def prompt_route(read, spark):
+    p = F.col("prompt")
+    rows = spark.createDataFrame([(x,) for x in _PROMPTS], "prompt string")
+    return rows.select("prompt", generation.first_kind(p, generation.ROUTES, "user_manual").alias("doc_type"), generation.first_kind(p, generation.AUDIENCES, "developer").alias("audience"), generation.product(p).alias("product"))
+
+
+@query("SELECT text AS txt, 'unknown' AS kind FROM benchmark WHERE FALSE UNION ALL SELECT * FROM (VALUES ('a flow of parts', 'diagram'), ('Screenshot of x', 'screenshot'), ('a bar chart', 'chart'), ('the table', 'table_image'), ('an equation', 'formula'), ('code', 'code'), ('an icon', 'logo'), ('photo', 'photo'), ('none', 'unknown')) t(txt, kind)")
+def image_type_classify(read, spark):
+    rows = spark.createDataFrame([(x,) for x in ("a flow of parts", "Screenshot of x", "a bar chart", "the table", "an equation", "code", "an icon", "photo", "none")], "txt string")
+    return rows.select("txt", generation.first_kind(F.col("txt"), generation.IMAGES, "unknown").alias("kind"))
+
+
+@query("SELECT * FROM (VALUES ('a', 1, 'b', 't1,t2', 200), ('c', 1, 'd', '', 300)) t(title, level, description, topics, words)")
+def outline_parse(read, spark):
+    rows = spark.createDataFrame([("a | 1 | b | t1,t2 | 200",), ("c | x | d | ",), ("too | few | parts",), ("# comment | 1 | b | c",)], "line string")
+    p = rows.select(generation.parse_outline(F.col("line")).alias("p")).where("p is not null")
+    return p.select("p.title", "p.level", "p.description", F.array_join("p.topics", ",").alias("topics"), "p.words")
+
+
+@query(f"WITH {_BM25}, u AS (SELECT query_id % 5 doc_id, doc_id chunk_id, min(query_id * 100 + rank) pos FROM bm WHERE rank <= 5 GROUP BY ALL) SELECT doc_id, chunk_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos, chunk_id)::INT number FROM u")
+def citations_dedup(read, spark):
+    """Benchmark queries as sections of five documents: each cited chunk once, numbered by first use."""
+    hits = search.bm25(read("documents"), _asked(read), 5)
+    uses = hits.select((F.col("query_id") % 5).alias("doc_id"), F.col("doc_id").alias("chunk_id"), (F.col("query_id") * 100 + F.col("rank")).alias("pos"))
+    return generation.numbered_citations(uses)
+
+
+@query("SELECT label, count(*) n FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label")
+def image_vectors(read, spark):
+    """Two rows for each image, told apart by type; even vectors stand for descriptions."""
+    rows = read("embeddings").withColumn("type", F.when(F.col("vec_id") % 2 == 0, "image_description").otherwise("image_clip"))
+    return rows.where("type = 'image_description'").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
