@@ -10,11 +10,9 @@ Flow
 2. Documents of one set form a class (pre-aggregated on the map side); from here on only classes are dealt with.
 3. Sets of the classes that share a bucket with others are made from the texts, found through a bitmap of hashed ids
    that has a fixed size: where it fills up, more sets than needed are made and dropped by a join.
-4. Rounds.  In the first, each bucket compares its members with the one that shares most buckets with others.  In later
-   rounds only buckets whose members are not yet one component go on: up to SMALL members compare all pairs across
-   components, larger buckets compare members of their smallest components with all others.  It ends when every pair of
-   a bucket is compared, connected or ruled out, so no cap decides what is compared.  A pair is ruled out by its set
-   sizes, or by elements that no other member of an open bucket has: they are in no intersection.
+4. First, each bucket compares its members with the one that shares most buckets with others.  Members of buckets that
+   are then one component are done.  The others are few, and all links among them are found by an exact set join with
+   prefixes of rare elements: elements that no other set has rule pairs out without making them, and no cap decides.
 5. Every candidate is confirmed on the full sets, and confirmed links are joined to components by label
    propagation with pointer jumping.
 
@@ -33,7 +31,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docloom.llm.common import cut
 
@@ -41,8 +38,6 @@ WIDTH = 5
 ROWS = 5
 #: A pair at the threshold shares no band with this probability at most.
 MISS = 1e-7
-#: Buckets of up to so many members compare all pairs across components at once; larger ones so many members a round.
-SMALL, CENTERS = 2048, 256
 #: Bits of the bitmap of ids whose sets are wanted (1 MB, whatever the input).
 BITS = 1 << 23
 
@@ -205,50 +200,45 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, width: int) -> Da
     crowd = cut(crowd.drop("weight").join(centers, "bucket").where("node <> center"))
     near = F.least("size", "center_size") * 100 >= F.greatest("size", "center_size") * percent
     pairs = crowd.where(near).select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
-    open_members = crowd.select("bucket", "node", "size").withColumn("most", F.col("size"))
-    checked = links = None
+    pairs = cut(pairs)
+    links = _confirmed(sets, pairs, percent)
+    open_nodes = _open(crowd.select("bucket", "node", "size"), components(links))
+    if open_nodes.isEmpty():
+        return links
+    rest = cut(_by_prefix(cut(sets.join(open_nodes, "node")), percent).join(pairs, ["a", "b"], "left_anti"))
+    return links.union(_confirmed(sets, rest, percent))
 
-    def possible(x: str, y: str):
-        """May sets x and y be linked, by their sizes and by how many of their elements may be shared?"""
-        shared = F.least(f"most{x}", f"most{y}").cast("long")
-        return shared * (100 + percent) >= (F.col(f"size{x}") + F.col(f"size{y}")).cast("long") * percent
 
-    while True:
-        pairs = cut(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
-        found = _confirmed(sets, pairs, percent)
-        links = found if links is None else links.union(found)
-        first, checked = checked is None, pairs if checked is None else checked.union(pairs)
-        left = _open(open_members, components(links))
-        if first:
-            # what is still open is little: count each element among it, and drop what cannot be linked any more
-            sets = cut(sets.join(left.select("node").distinct(), "node"))
-            alone = sets.select("node", F.explode("elements").alias("element")).groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
-            private = alone.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("private"))
-            bounded = left.drop("most", "members").join(private, "node", "left").withColumn("most", F.col("size") - F.coalesce("private", F.lit(0))).drop("private")
-            left = _open(cut(bounded.where(F.col("most") * 100 >= F.col("size") * percent)).drop("comp"), components(links))
-        if left.isEmpty():
-            return links
-        small = left.where(F.col("members") <= SMALL)
-        # a pair is made in the first bucket that it shares, of at most one for each band
-        small = small.join(small.groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "node")
-        one, two = (small.select("bucket", F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("comp", "size", "most", "buckets")]) for x in "ab")
-        apart = (F.col("a") < F.col("b")) & (F.col("compa") != F.col("compb")) & possible("a", "b")
-        pairs = one.join(two, "bucket").where(apart & (F.array_min(F.array_intersect("bucketsa", "bucketsb")) == F.col("bucket"))).select("a", "b")
-        large = left.where(F.col("members") > SMALL)
-        least = large.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "most")).alias("c"))
-        chosen = least.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("n", "c.node"))).where(F.col("i") <= CENTERS)
-        chosen = cut(chosen.select("bucket", F.col("c.node").alias("center"), F.col("c.size").alias("sizec"), F.col("c.most").alias("mostc"), F.col("comp").alias("own")))
-        star = large.select("bucket", "node", "comp", F.col("size").alias("sizen"), F.col("most").alias("mostn")).join(chosen, "bucket").where((F.col("comp") != F.col("own")) & possible("n", "c"))
-        pairs = pairs.union(star.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))).distinct()
-        open_members = cut(large.select("bucket", "node", "size", "most").join(chosen.select("bucket", F.col("center").alias("node")), ["bucket", "node"], "left_anti"))
-
-
-def _open(open_members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that lie in several components, with comp and the bucket's members."""
-    own = open_members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    parts = own.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    still = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("members")).where("comps > 1")
-    return cut(own.join(still.select("bucket", "members"), "bucket"))
+def _by_prefix(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, of (node, elements, size, comp): exact prefix filtering.
+
+    With each set's elements in the order (frequency, element), linked sets share an element among their first
+    size - ceil(size * percent / 100) + 1, and at the first that they share enough elements must follow in both.  A pair
+    is made at that element alone.  At each element, sets of its largest component meet only those of others.
+    """
+    each = sets.select("node", F.explode("elements").alias("element"))
+    often = each.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
+    sorted_sets = each.join(often, "element").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("e"))
+    length = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1
+    heads = cut(sorted_sets.join(sets.select("node", "size", "comp"), "node").select("node", "size", "comp", F.slice("e", F.lit(1), length).alias("e")))
+    places = heads.select("node", "size", "comp", F.transform("e", lambda x: x["element"]).alias("head"), F.posexplode("e").alias("at", "x")).where("x.n > 1")
+    places = places.select("node", "size", "comp", "head", "at", F.col("x.element").alias("element"))
+    most = places.groupBy("element", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("element").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    met = places.join(most.select("element", "main"), "element")
+    one = met.where("comp <> main").select("element", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("comp").alias("cx"), F.col("head").alias("hx"), F.col("at").alias("px"))
+    two = met.select("element", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("comp").alias("cy"), F.col("head").alias("hy"), F.col("at").alias("py"), (F.col("comp") == F.col("main")).alias("in_main"))
+    left = F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py")).cast("long")
+    enough = left * (100 + percent) >= (F.col("sx") + F.col("sy")).cast("long") * percent
+    apart = (F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & enough
+    first = F.array_intersect("hx", "hy")[0] == F.col("element")
+    return one.join(two, "element").where(apart & first).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, size, comp) of the members (bucket, node, size) of buckets that lie in several components."""
+    own = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    still = own.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return cut(own.join(still.select("bucket"), "bucket").select("node", "size", "comp").distinct())
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:

@@ -4,8 +4,9 @@ Spaces become U+2581 and one is put in front, as the model's own normalizer does
 matches at a place is an arc of the lattice; a character that no piece covers, and a literal U+2581, is one arc of its
 byte pieces.  The forward pass sums the probabilities of all segmentations of each prefix; the backward pass draws the
 arc into each place in proportion to what it carries.  No piece has a space inside, so the lattice factors at the
-first space of each run of spaces, forward passes are shared by equal units (spaces and the word after them), and the
-backward pass of all units of some documents runs at once.
+first space of each run of spaces into units (spaces and the word after them); forward passes run for all different
+units of one length at once, the backward pass for all units of some documents.  Pieces are looked up by a 64-bit hash;
+every row is decoded again, and one that is not its text is segmented by a plain loop over the vocabulary.
 
 The model file is of BPE kind, whose scores are merge ranks and not probabilities.  A piece of rank r gets probability
 in proportion to 1 / (r + 2), and all are raised to ``alpha`` (smaller: more variety).
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 0.5, 8
 SPACE, LITERAL = "▁", "\udc81"
-#: Characters of text that the backward pass takes at once, and nodes of the lattice that are kept for further units.
-CHUNK, KEPT = 1 << 20, 1 << 20
+#: Characters of text that are segmented at once, and cells of a forward pass.
+CHUNK, BLOCK = 1 << 21, 1 << 20
 
 
 def vocabulary(path: str = MODEL) -> dict:
@@ -63,51 +63,103 @@ class Lattice:
                 self.texts[i] = p[0].replace(SPACE, " ").encode()
         for b, i in enumerate(self.bytes):
             self.texts[i] = bytes([b])
-        self.clear()
-
-    def clear(self):
-        self.units, self.first, self.nodes = {}, array("q"), 0
-        self.up_to, self.back, self.ids, self.at, self.n = array("d"), array("q"), array("q"), array("q"), array("q")
-
-    def arcs(self, unit: str, j: int):
-        """(start, ids, log weight) of each arc into place j."""
-        out = []
-        for i in range(max(0, j - self.longest), j):
-            if (piece := self.arcs_of.get(unit[i:j])) is not None and LITERAL not in unit[i:j]:
-                out.append((i, (piece[0],), piece[1]))
-        c = unit[j - 1]
-        if c == LITERAL or c not in self.arcs_of:
-            raw = (SPACE if c == LITERAL else c).encode("utf-8", "surrogatepass")
-            out.append((j - 1, tuple(self.bytes[b] for b in raw), self.rare * len(raw)))
+        self._index()
+
+    def _index(self):
+        """Pieces by a hash of their code points: two tables, the second for those whose slot is taken in the first."""
+        self.slots = [(44, np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)), (20, np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32))]
+        self.weights = np.zeros(len(self.texts))
+        by_length: dict = {}
+        for text, (i, w) in self.arcs_of.items():
+            self.weights[i] = w
+            by_length.setdefault(len(text), []).append((text, i))
+        for n, own in by_length.items():
+            points = np.frombuffer("".join(t for t, _ in own).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
+            h = np.zeros(len(own), np.uint64)
+            for k in range(n):
+                h = _step(h, points[:, k])
+            left = np.arange(len(own))
+            for shift, keys, ids in self.slots:
+                at = ((h[left] >> np.uint64(shift)) & np.uint64((1 << 20) - 1)).astype(np.intp)
+                free = np.flatnonzero(ids[at] < 0)
+                free = free[np.unique(at[free], return_index=True)[1]]
+                keys[at[free]], ids[at[free]] = h[left[free]], np.array([i for _, i in own], np.int32)[left[free]]
+                left = np.delete(left, free)
+            if len(left):
+                raise ValueError("two pieces share both slots")
+
+    def _found(self, h):
+        """The piece of each hash, or -1."""
+        (shift, keys, ids), (shift2, keys2, ids2) = self.slots
+        at = ((h >> np.uint64(shift)) & np.uint64((1 << 20) - 1)).astype(np.intp)
+        out, same = ids[at], keys[at] == h
+        other = np.flatnonzero((out >= 0) & ~same)
+        if len(other):
+            again = ((h[other] >> np.uint64(shift2)) & np.uint64((1 << 20) - 1)).astype(np.intp)
+            out[other] = np.where(keys2[again] == h[other], ids2[again], -1)
         return out
 
-    def add(self, unit: str) -> int:
-        """The number of a unit, whose forward pass is made if it is new."""
-        number = self.units[unit] = len(self.first)
-        self.first.append(self.nodes)
-        ahead = [0.0]
-        for j in range(1, len(unit) + 1):
-            arcs = self.arcs(unit, j)
-            logs = [ahead[i] + w for i, _, w in arcs]
-            top = max(logs)
-            parts = [math.exp(x - top) for x in logs]
-            whole = sum(parts)
-            ahead.append(top + math.log(whole))
-            run = 0.0
-            for k, ((i, ids, _), p) in enumerate(zip(arcs, parts)):
-                run += p / whole
-                self.up_to.append(self.nodes + (1.0 if k == len(arcs) - 1 else min(run, 1.0)))
-                self.back.append(j - i)
-                self.at.append(len(self.ids))
-                self.n.append(len(ids))
-                self.ids.extend(ids)
-            self.nodes += 1
-        return number
+    def _raw(self, c: int) -> tuple:
+        """Byte pieces of a code point that no piece covers."""
+        return tuple(self.bytes[b] for b in (SPACE if chr(c) == LITERAL else chr(c)).encode("utf-8", "surrogatepass"))
+
+    def forward(self, units: list[str]):
+        """Arcs of units of one length: (unit, place from 0, span, piece or -1 - code point, running share) of each, in that order."""
+        n, m = len(units[0]), len(units)
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).astype(np.uint64)
+        width = min(n, self.longest)
+        pieces = np.full((m, n, width), -1, np.int64)  # by place of the last character and span - 1
+        logs = np.full((m, n, width), -np.inf)
+        for i in range(n):
+            h = np.zeros(m, np.uint64)
+            for span in range(1, min(width, n - i) + 1):
+                h = _step(h, points[:, i + span - 1])
+                hit = np.flatnonzero((found := self._found(h)) >= 0)
+                pieces[hit, i + span - 1, span - 1] = found[hit]
+                logs[hit, i + span - 1, span - 1] = self.weights[found[hit]]
+        for u, j in zip(*np.nonzero(np.isneginf(logs[:, :, 0]))):
+            c = int(points[u, j])
+            pieces[u, j, 0], logs[u, j, 0] = -1 - c, self.rare * len(self._raw(c))
+        ahead = np.zeros((m, n + 1))
+        for j in range(n):
+            back = min(width, j + 1)
+            parts = logs[:, j, :back] + ahead[:, j::-1][:, :back]
+            top = parts.max(axis=1)
+            whole = np.exp(parts - top[:, None])
+            sums = np.cumsum(whole, axis=1)
+            ahead[:, j + 1] = top + np.log(sums[:, -1])
+            logs[:, j, :back] = np.where(whole > 0, sums / sums[:, -1:], -np.inf)
+        u, j, span = np.nonzero(~np.isneginf(logs))
+        return u, j, span + 1, pieces[u, j, span], logs[u, j, span]
+
+    def arcs(self, units: list[str]):
+        """For all units: first node of each, and up_to (node + running share), span and piece of each arc by node."""
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        first = np.cumsum(lengths) - lengths
+        nodes, shares, spans, pieces = [], [], [], []
+        order = np.argsort(lengths, kind="stable")
+        ends = np.flatnonzero(np.append(np.diff(lengths[order]) != 0, True)) + 1 if len(units) else []
+        begin = 0
+        for end in ends:
+            size = max(1, BLOCK // (int(lengths[order[begin]]) * min(int(lengths[order[begin]]), self.longest)))
+            for at in range(begin, int(end), size):
+                some = order[at : min(at + size, int(end))]
+                u, j, span, piece, share = self.forward([units[k] for k in some])
+                nodes.append(first[some][u] + j)
+                shares.append(share)
+                spans.append(span)
+                pieces.append(piece)
+            begin = int(end)
+        if not nodes:
+            return first, np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        node, share = np.concatenate(nodes), np.concatenate(shares)
+        by = np.argsort(node, kind="stable")
+        node, share = node[by], share[by]
+        last = np.append(node[1:] != node[:-1], True)
+        return first, node + np.where(last, 1.0, np.minimum(share, 1.0)), np.concatenate(spans)[by], np.concatenate(pieces)[by]
 
     def encode(self, texts: list[str], keys: list[int]):
         """(ids of all texts in one array, ends of each text in it)."""
-        if self.nodes > KEPT:
-            self.clear()
         units, sizes, counts = [], [], []
         for text in texts:
             marked = SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE) if text else ""
@@ -115,14 +167,15 @@ class Lattice:
             units += own
             counts.append(len(own))
             sizes.append(len(marked))
-        known = self.units
-        number = np.fromiter((known[u] if u in known else self.add(u) for u in units), np.int64, len(units))
+        once = list(dict.fromkeys(units))
+        known = dict(zip(once, range(len(once))))
+        number = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        first, up_to, back, piece = self.arcs(once)
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         ends = np.cumsum(sizes) if sizes else np.empty(0, np.int64)
         out = np.full(int(ends[-1]) + 1 if len(ends) else 1, -1, np.int64)
         base = np.cumsum(lengths) - lengths
         key = np.repeat(np.array(keys, np.uint64) - (ends - np.array(sizes)).astype(np.uint64) if len(keys) else np.empty(0, np.uint64), counts)
-        up_to, back, first = np.array(self.up_to), np.array(self.back), np.array(self.first)
         start, left = first[number] - 1, lengths.copy()
         while len(left):
             place = base + left
@@ -132,18 +185,39 @@ class Lattice:
             if not (go := left > 0).all():
                 start, left, base, key = start[go], left[go], base[go], key[go]
         places = np.flatnonzero(out >= 0)
-        arcs = out[places]
-        n = np.array(self.n)[arcs]
+        ids = piece[out[places]]
+        n = np.ones(len(ids), np.int64)
+        for c in np.unique(ids[ids < 0]):
+            n[ids == c] = len(self._raw(int(-1 - c)))
         sums = np.cumsum(n)
-        offsets = np.repeat(np.array(self.at)[arcs] - (sums - n), n) + np.arange(int(sums[-1]) if len(sums) else 0)
+        spread = np.repeat(ids, n)
+        for c in np.unique(ids[ids < 0]):
+            raw, at = self._raw(int(-1 - c)), np.flatnonzero(ids == c)
+            for k, b in enumerate(raw):
+                spread[sums[at] - len(raw) + k] = b
         done = np.searchsorted(places, ends, side="right")
-        return np.array(self.ids, np.int64)[offsets].astype(np.int32), np.append(0, sums)[done]
+        return spread.astype(np.int32), np.append(0, sums)[done]
+
+    def plain(self, text: str) -> list[int]:
+        """Some segmentation by a plain loop, longest pieces first: for a row at which a hash failed."""
+        marked, out, i = SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE) if text else "", [], 0
+        while i < len(marked):
+            n = next((n for n in range(min(self.longest, len(marked) - i), 0, -1) if marked[i : i + n] in self.arcs_of), 0)
+            out += [self.arcs_of[marked[i : i + n]][0]] if n else self._raw(ord(marked[i]))
+            i += n or 1
+        return out
 
     def decode(self, ids) -> bytes:
         """The UTF-8 text of a sequence of ids."""
         return b"".join(map(self.texts.__getitem__, ids))[1:]
 
 
+def _step(h, points):
+    """The hash of a string and one more code point."""
+    h = (h ^ (points + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
 def _draw(key, place):
     """Numbers in [0, 1) from the row key and the place in the row (both counted over the chunk, so the offset cancels)."""
     x = key + place.astype(np.uint64)
@@ -178,6 +252,10 @@ def _encoded(vocab, alpha: float, seed: int):
                 ids, ends = lattice.encode(texts, [row_key(k, seed) for k in part.column(0).to_pylist()])
                 begins = np.append(0, ends)
                 same = [lattice.decode(ids[a:b].tolist()) == t.encode("utf-8", "surrogatepass") for a, b, t in zip(begins, ends, texts)]
+                if not all(same):
+                    rows = [ids[a:b].tolist() if ok else lattice.plain(t) for a, b, ok, t in zip(begins, ends, same, texts)]
+                    begins, ids = np.append(0, np.cumsum([len(r) for r in rows])), np.array([i for r in rows for i in r], np.int32)
+                    same = [lattice.decode(r) == t.encode("utf-8", "surrogatepass") for r, t in zip(rows, texts)]
                 lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(same)], ["doc_id", "ids", "lossless"])
 
