@@ -66,13 +66,15 @@ class Lattice:
         self._index()
 
     def _index(self):
-        """Pieces by a hash of their code points: two tables, the second for those whose slot is taken in the first."""
-        self.slots = [(44, np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)), (20, np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32))]
+        """Pieces, and beginnings of pieces as -2, by a hash of their code points: a table, and two for taken slots."""
+        self.slots = [(shift, np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)) for shift in (44, 20, 2)]
         self.weights = np.zeros(len(self.texts))
         by_length: dict = {}
         for text, (i, w) in self.arcs_of.items():
             self.weights[i] = w
             by_length.setdefault(len(text), []).append((text, i))
+        for text in {t[:k] for t in self.arcs_of for k in range(1, len(t))} - self.arcs_of.keys():
+            by_length.setdefault(len(text), []).append((text, -2))
         for n, own in by_length.items():
             points = np.frombuffer("".join(t for t, _ in own).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
             h = np.zeros(len(own), np.uint64)
@@ -81,22 +83,23 @@ class Lattice:
             left = np.arange(len(own))
             for shift, keys, ids in self.slots:
                 at = ((h[left] >> np.uint64(shift)) & np.uint64((1 << 20) - 1)).astype(np.intp)
-                free = np.flatnonzero(ids[at] < 0)
+                free = np.flatnonzero(ids[at] == -1)
                 free = free[np.unique(at[free], return_index=True)[1]]
                 keys[at[free]], ids[at[free]] = h[left[free]], np.array([i for _, i in own], np.int32)[left[free]]
                 left = np.delete(left, free)
             if len(left):
-                raise ValueError("two pieces share both slots")
+                raise ValueError("two pieces share all slots")
 
     def _found(self, h):
-        """The piece of each hash, or -1."""
-        (shift, keys, ids), (shift2, keys2, ids2) = self.slots
-        at = ((h >> np.uint64(shift)) & np.uint64((1 << 20) - 1)).astype(np.intp)
-        out, same = ids[at], keys[at] == h
-        other = np.flatnonzero((out >= 0) & ~same)
-        if len(other):
-            again = ((h[other] >> np.uint64(shift2)) & np.uint64((1 << 20) - 1)).astype(np.intp)
-            out[other] = np.where(keys2[again] == h[other], ids2[again], -1)
+        """The piece of each hash, -2 for a beginning of pieces, else -1."""
+        out, ask = np.full(len(h), -1, np.int32), np.arange(len(h))
+        for shift, keys, ids in self.slots:
+            at = ((h[ask] >> np.uint64(shift)) & np.uint64((1 << 20) - 1)).astype(np.intp)
+            found, same = ids[at], keys[at] == h[ask]
+            out[ask[same]] = found[same]
+            ask = ask[(found != -1) & ~same]
+            if not len(ask):
+                break
         return out
 
     def _raw(self, c: int) -> tuple:
@@ -111,12 +114,17 @@ class Lattice:
         pieces = np.full((m, n, width), -1, np.int64)  # by place of the last character and span - 1
         logs = np.full((m, n, width), -np.inf)
         for i in range(n):
-            h = np.zeros(m, np.uint64)
+            h, rows = np.zeros(m, np.uint64), np.arange(m)
             for span in range(1, min(width, n - i) + 1):
-                h = _step(h, points[:, i + span - 1])
-                hit = np.flatnonzero((found := self._found(h)) >= 0)
-                pieces[hit, i + span - 1, span - 1] = found[hit]
-                logs[hit, i + span - 1, span - 1] = self.weights[found[hit]]
+                h = _step(h, points[rows, i + span - 1])
+                found = self._found(h)
+                hit = found >= 0
+                pieces[rows[hit], i + span - 1, span - 1] = found[hit]
+                logs[rows[hit], i + span - 1, span - 1] = self.weights[found[hit]]
+                go = found != -1  # longer pieces begin so
+                h, rows = h[go], rows[go]
+                if not len(rows):
+                    break
         for u, j in zip(*np.nonzero(np.isneginf(logs[:, :, 0]))):
             c = int(points[u, j])
             pieces[u, j, 0], logs[u, j, 0] = -1 - c, self.rare * len(self._raw(c))
