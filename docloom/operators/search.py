@@ -96,7 +96,7 @@ def keyword_rerank(rows: DataFrame, k: int | None = None) -> DataFrame:
     """0.7 * score + 0.3 * share of the query's words that the text has as substrings; rows have query and text."""
     terms = T.words(F.col("query"))
     share = F.size(F.filter(terms, lambda w: F.contains(F.lower("text"), w))) / F.greatest(F.size(terms), F.lit(1))
-    out = rows.withColumn("rerank_score", F.round(0.7 * F.col("score") + 0.3 * share, 6)).drop("rank")
+    out = rows.withColumn("rerank_score", F.round(0.7 * F.col("score") + 0.3 * share, 4)).drop("rank")
     return best(out, k, "rerank_score") if k else out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "doc_id")))
 
 

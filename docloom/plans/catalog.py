@@ -13,6 +13,7 @@ from docloom.operators import chunking, generation, metadata, quality, search, t
 from docloom.sources import readers
 from docloom.streaming import telemetry as streams
 
+RANKED = ("bm25_topk", "bm25_filtered", "bm25_post_filtered", "vector_topk", "vector_filtered", "fused_topk", "keyword_rerank", "multi_query_rrf", "variant_dedup", "fallback_ladder")
 _QUERIES: dict = {}
 _ORACLES: dict = {}
 
@@ -27,7 +28,8 @@ def query(sql: str | None = None):
 
         _QUERIES[f.__name__] = run
         if sql:
-            _ORACLES[f.__name__] = sql
+            ranked = f.__name__ in RANKED  # ranks are INT in Spark
+            _ORACLES[f.__name__] = f"SELECT * REPLACE (rank::INT AS rank) FROM ({sql})" if ranked else sql
         return f
 
     return add
@@ -144,7 +146,7 @@ def fused_topk(read, spark):
 _RERANK = r"list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: x <> ''))"
 
 
-@query(f"{_LISTS}, {_RRF}, r AS (SELECT rrf.*, round(0.7 * score + 0.3 * len(list_filter({_RERANK}, lambda x: contains(lower(d.text), x))) / len({_RERANK}), 6) rerank_score FROM rrf JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = rrf.query_id) SELECT query_id, doc_id, score, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) rank FROM r) WHERE rank <= 5")
+@query(f"{_LISTS}, {_RRF}, r AS (SELECT rrf.*, round(0.7 * score + 0.3 * len(list_filter({_RERANK}, lambda x: contains(lower(d.text), x))) / len({_RERANK}), 4) rerank_score FROM rrf JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = rrf.query_id) SELECT query_id, doc_id, score, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) rank FROM r) WHERE rank <= 5")
 def keyword_rerank(read, spark):
     fused = search.rrf(*_two_lists(read)).join(read("documents").select("doc_id", "text"), "doc_id").join(_asked(read).select("query_id", F.col("text").alias("query")), "query_id")
     return search.keyword_rerank(fused.withColumn("rank", F.lit(0)), 5).select("query_id", "doc_id", "score", "rerank_score", "rank")
@@ -629,7 +631,7 @@ def citation_coverage(read, spark):
 _SECTIONS = [(1, "端口: 8080 and 端口: 9090"), (2, "版本: 1.2 版本: 1.2"), (3, "内存 16 GB 磁盘 32 GB"), (4, "默认值: a 默认: b\n```\nx\n```\n    y")]
 
 
-@query("SELECT * FROM (VALUES (1, '端口号', 2, '端口: 8080', '端口: 9090'), (3, '数值参数', 2, '16 GB', '32 GB'), (4, '默认值', 2, '默认: b', '默认值: a')) t(doc_id, category, n_values, least, greatest)")
+@query("SELECT * FROM (VALUES (1, '端口号', 2::BIGINT, '端口: 8080', '端口: 9090'), (3, '数值参数', 2::BIGINT, '16 GB', '32 GB'), (4, '默认值', 2::BIGINT, '默认: b', '默认值: a')) t(doc_id, category, n_values, least, greatest)")
 def contradictions(read, spark):
     return quality.contradictions(spark.createDataFrame(_SECTIONS, "doc_id int, content string"))
 
