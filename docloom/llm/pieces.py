@@ -5,8 +5,9 @@ matches at a place is an arc of the lattice; a character that no piece covers, a
 byte pieces.  The forward pass sums the probabilities of all segmentations of each prefix; the backward pass draws the
 arc into each place in proportion to what it carries.  No piece has a space inside, so the lattice factors at the
 first space of each run of spaces into units (spaces and the word after them); forward passes run for all different
-units of one length at once, the backward pass for all units of some documents.  Pieces are looked up by a 64-bit hash;
-every row is decoded again, and one that is not its text is segmented by a plain loop over the vocabulary.
+units of one length at once, the backward pass for all units of some documents.  A unit's forward pass is held for
+later documents of the task, up to a bound on the units held.  Pieces are looked up by a 64-bit hash; every row is
+decoded again, and one that is not its text is segmented by a plain loop over the vocabulary.
 
 The model file is of BPE kind, whose scores are merge ranks and not probabilities.  A piece of rank r gets probability
 in proportion to 1 / (r + 2), and all are raised to ``alpha`` (smaller: more variety).
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 0.5, 8
 SPACE, LITERAL = "▁", "\udc81"
-#: Characters of text that are segmented at once, and cells of a forward pass.
-CHUNK, BLOCK = 1 << 21, 1 << 20
+#: Characters of text that are segmented at once, cells of a forward pass, and characters of units whose passes are held.
+CHUNK, BLOCK, HELD = 1 << 21, 1 << 18, 3 << 20
+#: Bits of a slot of the piece table.
+SLOT = 18
 
 
 def vocabulary(path: str = MODEL) -> dict:
@@ -64,14 +68,18 @@ class Lattice:
         for b, i in enumerate(self.bytes):
             self.texts[i] = bytes([b])
         self._index()
+        self._forget()
 
     def _index(self):
-        """Pieces, and beginnings of pieces as -2, by a hash of their code points: a table, and two for taken slots."""
-        self.slots = [(shift, np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)) for shift in (44, 20, 2)]
+        """Pieces, and beginnings of pieces as -2, by a hash of their code points: a table, and three for taken slots.
+
+        A free slot has key 0 and piece -1, so a string that hashes to 0 is no piece there, which is right.
+        """
+        self.slots = [(shift, np.zeros(1 << SLOT, np.uint64), np.full(1 << SLOT, -1, np.int32)) for shift in (46, 28, 10, 2)]
         self.weights = np.zeros(len(self.texts))
         by_length: dict = {}
         for text, (i, w) in self.arcs_of.items():
-            self.weights[i] = w
+            self.weights[i] = math.exp(w)
             by_length.setdefault(len(text), []).append((text, i))
         for text in {t[:k] for t in self.arcs_of for k in range(1, len(t))} - self.arcs_of.keys():
             by_length.setdefault(len(text), []).append((text, -2))
@@ -82,24 +90,26 @@ class Lattice:
                 h = _step(h, points[:, k])
             left = np.arange(len(own))
             for shift, keys, ids in self.slots:
-                at = ((h[left] >> np.uint64(shift)) & np.uint64((1 << 20) - 1)).astype(np.intp)
+                at = ((h[left] >> np.uint64(shift)) & np.uint64((1 << SLOT) - 1)).astype(np.intp)
                 free = np.flatnonzero(ids[at] == -1)
                 free = free[np.unique(at[free], return_index=True)[1]]
                 keys[at[free]], ids[at[free]] = h[left[free]], np.array([i for _, i in own], np.int32)[left[free]]
                 left = np.delete(left, free)
-            if len(left):
-                raise ValueError("two pieces share all slots")
+            if len(left) or not h.all():
+                raise ValueError("two pieces share all slots, or a piece hashes to 0")
 
     def _found(self, h):
         """The piece of each hash, -2 for a beginning of pieces, else -1."""
-        out, ask = np.full(len(h), -1, np.int32), np.arange(len(h))
+        out, ask = np.full(len(h), -1, np.int32), None
         for shift, keys, ids in self.slots:
-            at = ((h[ask] >> np.uint64(shift)) & np.uint64((1 << 20) - 1)).astype(np.intp)
-            found, same = ids[at], keys[at] == h[ask]
-            out[ask[same]] = found[same]
-            ask = ask[(found != -1) & ~same]
-            if not len(ask):
+            at = ((h >> np.uint64(shift)) & np.uint64((1 << SLOT) - 1)).astype(np.intp)
+            held = keys[at]
+            same = np.flatnonzero(held == h)
+            out[same if ask is None else ask[same]] = ids[at[same]]
+            other = np.flatnonzero((held != h) & (held != 0))
+            if not len(other):
                 break
+            h, ask = h[other], other if ask is None else ask[other]
         return out
 
     def _raw(self, c: int) -> tuple:
@@ -107,64 +117,74 @@ class Lattice:
         return tuple(self.bytes[b] for b in (SPACE if chr(c) == LITERAL else chr(c)).encode("utf-8", "surrogatepass"))
 
     def forward(self, units: list[str]):
-        """Arcs of units of one length: (unit, place from 0, span, piece or -1 - code point, running share) of each, in that order."""
+        """Arcs of units of one length: how many end at each place, and running share, span and piece or -1 - code point of each."""
         n, m = len(units[0]), len(units)
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).astype(np.uint64)
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.uint64, order="C")
         width = min(n, self.longest)
-        pieces = np.full((m, n, width), -1, np.int64)  # by place of the last character and span - 1
-        logs = np.full((m, n, width), -np.inf)
+        pieces = np.full((n, width, m), -1, np.int32)  # by place of the last character and span - 1
+        shares = np.zeros((n, width, m))
         for i in range(n):
-            h, rows = np.zeros(m, np.uint64), np.arange(m)
-            for span in range(1, min(width, n - i) + 1):
-                h = _step(h, points[rows, i + span - 1])
+            h, rows = _step(np.uint64(0), points[i]), np.arange(m)
+            for span in range(min(width, n - i)):
+                if span:
+                    h = _step(h, points[i + span, rows])
                 found = self._found(h)
-                hit = found >= 0
-                pieces[rows[hit], i + span - 1, span - 1] = found[hit]
-                logs[rows[hit], i + span - 1, span - 1] = self.weights[found[hit]]
-                go = found != -1  # longer pieces begin so
+                hit = np.flatnonzero(found >= 0)
+                pieces[i + span, span, rows[hit]] = found[hit]
+                shares[i + span, span, rows[hit]] = self.weights[found[hit]]
+                go = np.flatnonzero(found != -1)  # longer pieces begin so
                 h, rows = h[go], rows[go]
                 if not len(rows):
                     break
-        for u, j in zip(*np.nonzero(np.isneginf(logs[:, :, 0]))):
-            c = int(points[u, j])
-            pieces[u, j, 0], logs[u, j, 0] = -1 - c, self.rare * len(self._raw(c))
-        ahead = np.zeros((m, n + 1))
+        for j, u in zip(*np.nonzero(shares[:, 0] == 0)):
+            c = int(points[j, u])
+            pieces[j, 0, u], shares[j, 0, u] = -1 - c, math.exp(self.rare * len(self._raw(c)))
+        some = np.ascontiguousarray((shares != 0).transpose(2, 0, 1))
+        ahead = np.ones((n + 1, m))
         for j in range(n):
             back = min(width, j + 1)
-            parts = logs[:, j, :back] + ahead[:, j::-1][:, :back]
-            top = parts.max(axis=1)
-            whole = np.exp(parts - top[:, None])
-            sums = np.cumsum(whole, axis=1)
-            ahead[:, j + 1] = top + np.log(sums[:, -1])
-            logs[:, j, :back] = np.where(whole > 0, sums / sums[:, -1:], -np.inf)
-        u, j, span = np.nonzero(~np.isneginf(logs))
-        return u, j, span + 1, pieces[u, j, span], logs[u, j, span]
-
-    def arcs(self, units: list[str]):
-        """For all units: first node of each, and up_to (node + running share), span and piece of each arc by node."""
+            own = shares[j, :back]
+            own *= ahead[j::-1][:back]
+            np.cumsum(own, axis=0, out=own)
+            ahead[j + 1] = own[-1]
+            own /= ahead[j + 1]
+            if j % 8 == 7:  # only quotients of neighbours count; this keeps them far from underflow
+                ahead[max(0, j + 2 - width) : j + 2] /= ahead[j + 1].copy()
+        counts, at = some.sum(axis=2).ravel(), np.flatnonzero(some)
+        shares = shares.transpose(2, 0, 1).ravel()[at]
+        shares[np.cumsum(counts) - 1] = 1.0  # above any draw
+        return counts, shares, (at % width + 1).astype(np.int8), pieces.transpose(2, 0, 1).ravel()[at]
+
+    def _forget(self):
+        """Hold no unit: number by unit, its length and first node; first arc by node; share, span and piece by arc."""
+        self.known, self.lengths, self.first = {}, np.empty(0, np.int64), np.empty(0, np.int64)
+        self.arc_of, self.shares, self.spans, self.pieces = (np.empty(0, t) for t in (np.int64, np.float64, np.int8, np.int32))
+        self.nodes = self.arcs = 0
+
+    def hold(self, units: list[str]):
+        """Forward passes of different units, in the order of their lengths, beside the ones that are held."""
+        units = sorted(units, key=len)
         lengths = np.fromiter(map(len, units), np.int64, len(units))
-        first = np.cumsum(lengths) - lengths
-        nodes, shares, spans, pieces = [], [], [], []
-        order = np.argsort(lengths, kind="stable")
-        ends = np.flatnonzero(np.append(np.diff(lengths[order]) != 0, True)) + 1 if len(units) else []
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units))))
+        self.lengths = np.append(self.lengths, lengths)
+        self.first = np.append(self.first, self.nodes + np.cumsum(lengths) - lengths)
         begin = 0
-        for end in ends:
-            size = max(1, BLOCK // (int(lengths[order[begin]]) * min(int(lengths[order[begin]]), self.longest)))
-            for at in range(begin, int(end), size):
-                some = order[at : min(at + size, int(end))]
-                u, j, span, piece, share = self.forward([units[k] for k in some])
-                nodes.append(first[some][u] + j)
-                shares.append(share)
-                spans.append(span)
-                pieces.append(piece)
-            begin = int(end)
-        if not nodes:
-            return first, np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
-        node, share = np.concatenate(nodes), np.concatenate(shares)
-        by = np.argsort(node, kind="stable")
-        node, share = node[by], share[by]
-        last = np.append(node[1:] != node[:-1], True)
-        return first, node + np.where(last, 1.0, np.minimum(share, 1.0)), np.concatenate(spans)[by], np.concatenate(pieces)[by]
+        for end in (np.flatnonzero(np.append(np.diff(lengths) != 0, True)) + 1).tolist() if units else ():
+            n = int(lengths[begin])
+            size = max(1, BLOCK // (n * min(n, self.longest)))
+            for at in range(begin, end, size):
+                counts, shares, spans, pieces = self.forward(units[at : min(at + size, end)])
+                ends, total = np.cumsum(counts), len(shares)
+                if self.nodes + len(counts) > len(self.arc_of):
+                    self.arc_of.resize(2 * (self.nodes + len(counts)), refcheck=False)
+                if self.arcs + total > len(self.shares):
+                    for held in (self.shares, self.spans, self.pieces):
+                        held.resize(2 * (self.arcs + total), refcheck=False)
+                self.arc_of[self.nodes : self.nodes + len(counts)] = self.arcs + ends - counts
+                for held, new in ((self.shares, shares), (self.spans, spans), (self.pieces, pieces)):
+                    held[self.arcs : self.arcs + total] = new
+                self.nodes, self.arcs = self.nodes + len(counts), self.arcs + total
+            begin = end
 
     def encode(self, texts: list[str], keys: list[int]):
         """(ids of all texts in one array, ends of each text in it)."""
@@ -175,25 +195,33 @@ class Lattice:
             units += own
             counts.append(len(own))
             sizes.append(len(marked))
-        once = list(dict.fromkeys(units))
-        known = dict(zip(once, range(len(once))))
-        number = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
-        first, up_to, back, piece = self.arcs(once)
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        number = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        ask = np.flatnonzero(number < 0).tolist()
+        new = dict.fromkeys(map(units.__getitem__, ask))
+        if self.nodes and self.nodes + sum(map(len, new)) > HELD:
+            self._forget()
+            ask, new = range(len(units)), dict.fromkeys(units)
+        self.hold(list(new))
+        number[ask] = [self.known[units[k]] for k in ask]
+        lengths = self.lengths[number]
         ends = np.cumsum(sizes) if sizes else np.empty(0, np.int64)
         out = np.full(int(ends[-1]) + 1 if len(ends) else 1, -1, np.int64)
         base = np.cumsum(lengths) - lengths
         key = np.repeat(np.array(keys, np.uint64) - (ends - np.array(sizes)).astype(np.uint64) if len(keys) else np.empty(0, np.uint64), counts)
-        start, left = first[number] - 1, lengths.copy()
+        start, left = self.first[number] - 1, lengths
         while len(left):
             place = base + left
-            arc = np.searchsorted(up_to, start + left + _draw(key, place), side="right")
+            arc, drawn = self.arc_of[start + left], _draw(key, place)
+            ask = np.flatnonzero(self.shares[arc] <= drawn)
+            while len(ask):
+                arc[ask] += 1
+                ask = ask[self.shares[arc[ask]] <= drawn[ask]]
             out[place] = arc
-            left = left - back[arc]
+            left = left - self.spans[arc]
             if not (go := left > 0).all():
                 start, left, base, key = start[go], left[go], base[go], key[go]
         places = np.flatnonzero(out >= 0)
-        ids = piece[out[places]]
+        ids = self.pieces[out[places]]
         n = np.ones(len(ids), np.int64)
         for c in np.unique(ids[ids < 0]):
             n[ids == c] = len(self._raw(int(-1 - c)))
