@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 0.5, 8
 SPACE, LITERAL = "▁", "\udc81"
 #: Characters of text that are segmented at once, cells of a forward pass, and characters of units whose passes are held.
-CHUNK, BLOCK, HELD = 1 << 21, 1 << 18, 3 << 20
+CHUNK, BLOCK, HELD = 1 << 21, 1 << 18, 2 << 20
 #: Bits of a slot of the piece table.
 SLOT = 18
 
@@ -176,10 +176,10 @@ class Lattice:
                 counts, shares, spans, pieces = self.forward(units[at : min(at + size, end)])
                 ends, total = np.cumsum(counts), len(shares)
                 if self.nodes + len(counts) > len(self.arc_of):
-                    self.arc_of.resize(2 * (self.nodes + len(counts)), refcheck=False)
+                    self.arc_of.resize(5 * (self.nodes + len(counts)) // 4, refcheck=False)
                 if self.arcs + total > len(self.shares):
                     for held in (self.shares, self.spans, self.pieces):
-                        held.resize(2 * (self.arcs + total), refcheck=False)
+                        held.resize(5 * (self.arcs + total) // 4, refcheck=False)
                 self.arc_of[self.nodes : self.nodes + len(counts)] = self.arcs + ends - counts
                 for held, new in ((self.shares, shares), (self.spans, spans), (self.pieces, pieces)):
                     held[self.arcs : self.arcs + total] = new
