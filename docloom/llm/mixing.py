@@ -6,7 +6,7 @@ level at which targets min(most * source, level * weight) sum to the budget; it
 the table of sources, and rounds go on until no source is newly full.
 
 Sampling: every document of a source is expected rate = target / source_size times.  With documents in the order
-(size, hash, doc_id), the prefix sum after the i-th is rate * i, and one random offset of the source is added to it;
+(size, MD5, doc_id), the prefix sum after the i-th is rate * i, and one random offset of the source is added to it;
 a document is taken once for each integer between the sums before and after it.  Order by size makes the words taken
 differ from the target by little more than the longest document's words.  Numbers within a source come from
 ``ranked``, so no source is brought into one task.
@@ -48,20 +48,30 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most:
     words = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     table = cut(words)
     aims = targets(table.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
-    placed = ranked(table.withColumn("_hash", F.xxhash64("doc_id", F.lit(seed))), ["source"], ["size", "_hash", "doc_id"]).drop("_hash")
+    placed = ranked(table.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), ["source"], ["size", "_hash", "doc_id"]).drop("_hash")
     aims = aims.withColumn("of", F.col("source")).drop("source")
     rows = placed.join(aims, placed["source"].eqNullSafe(aims["of"])).drop("of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64(F.lit(seed + 1), "source"), F.lit(1 << 52)) / float(1 << 52)
+    tagged = F.concat(F.lit(f"{seed + 1}"), F.coalesce(F.concat(F.lit(":"), "source"), F.lit("")))
+    offset = F.conv(F.substring(F.md5(tagged), 1, 13), 16, 10).cast("long") / float(1 << 52)
     copies = F.floor(rate * F.col("rank") + offset) - F.floor(rate * (F.col("rank") - 1) + offset)
     copies = F.least(copies, F.ceil(rate)).cast("int")
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, as often as it takes them, with the columns of ``docs``."""
-    plan = mix(docs, weights, budget, most, seed).where("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    same = docs["doc_id"].eqNullSafe(plan["_id"]) & size.eqNullSafe(plan["_size"]) & docs["source"].eqNullSafe(plan["_source"])
-    return docs.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` that the mix takes, as often as it takes them, with the columns of ``docs``.
+
+    Rows of one doc_id, source and size share what the mix takes of them as evenly as whole copies can.
+    """
+    plan = mix(docs, weights, budget, most, seed).groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words"), F.col("source").alias("of"))
+    plan = cut(plan.agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("n")).where("total > 0"))
+    rows = docs.select(F.struct("*").alias("row"))  # no other column of the table can clash with the plan's
+    size = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long")
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & size.eqNullSafe(F.col("words")) & F.col("row.source").eqNullSafe(F.col("of"))
+    out = rows.join(plan.where("n = 1"), same).select("row", F.col("total").alias("times"))
+    several = plan.where("n > 1")
+    if not several.isEmpty():
+        placed = ranked(rows.join(several, same).withColumn("hash", F.xxhash64("row.text")), ["id", "words", "of"], ["hash"])
+        out = out.union(placed.select("row", F.expr("total div n + int(rank <= total % n)").alias("times")).where("times > 0"))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
