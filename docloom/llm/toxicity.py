@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import cut
 
-SAMPLE, WORDS, FOLDS, RIDGE, ROUNDS = 8000, 192, 5, 0.3, 12
+SAMPLE, WORDS, FOLDS, RIDGE, ROUNDS = 8000, 256, 5, 1.0, 12
 #: Lengths of the word beginnings that are features.
-STEMS = (3, 4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 CHAIN = ("low_quality", "toxic")
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
 
 def words_of(text: str | None) -> set:
