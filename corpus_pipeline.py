@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import langid, minhash, mixing, pieces, secrets
-from docloom.llm.common import shared_folder
+from docloom.llm.common import shared_folder, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,19 +15,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8 or more) the smallest doc_id stays, once."""
-    kept = minhash.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    held = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    single = held.join(repeated, held["doc_id"].eqNullSafe(repeated["_again"]), "left_anti")
-    return single.union(held.join(repeated, held["doc_id"].eqNullSafe(repeated["_again"]), "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group of near duplicates (five words, similarity 0.8 or more) the document of smallest doc_id stays, once.
+
+    Documents without words are in no group and stay.  Equal ids may stand for different texts: rows are told apart by
+    id and hash of the text.
+    """
+    rows = minhash.grouped(docs, percent=80)
+    linked = rows.where("component is not null")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"))
+    kept = first.select("r.doc_id", "r.text_hash").union(rows.where("component is null").select("doc_id", "text_hash").distinct())
+    again = linked.groupBy("doc_id", "text_hash").count().where("count > 1")
+
+    def among(ids: DataFrame):
+        return docs["doc_id"].eqNullSafe(ids["doc_id"]) & (F.xxhash64(docs["text"]) == ids["text_hash"])
+
+    held = docs.join(kept, among(kept), "left_semi")
+    single = held.join(again, among(again), "left_anti")
+    return single.union(held.join(again, among(again), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced with a mark; all documents stay, others unchanged."""
-    rows = secrets.BlobLedger(spark).scan(docs)
-    clean = secrets.redacted(F.col("text"), F.col("_spans"))
-    changed = F.size("_spans") > 0
+    names = unused(docs, "_blob"), unused(docs, "_spans")
+    rows, found = secrets.BlobLedger(spark).scan(docs, names=names), F.col(names[1])
+    clean, changed = secrets.redacted(F.col("text"), found), F.size(found) > 0
     values = {"text": clean, "n_chars": F.when(changed, F.length(clean).cast("long")).otherwise(F.col("n_chars"))}
     return rows.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])
 

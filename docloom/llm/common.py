@@ -51,6 +51,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or if ``df`` has a column of that name, it with underscores in front."""
+    while name.lower() in map(str.lower, df.columns):
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, even where ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 from pyspark.sql.window import Window
 
+from docloom.llm.common import unused
+
 TOP, SAMPLE, LANGUAGES = 400, 2000, 1000
 UNKNOWN = "und"
 
@@ -129,7 +131,8 @@ def identify(docs: DataFrame, profiles: dict, top: int = TOP) -> DataFrame:
 
 def accepted(docs: DataFrame, profiles: dict, top: int = TOP) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with their columns."""
-    names = [c for c in docs.columns if c != "text"]
-    schema = StructType([docs.schema[c] for c in names]).add("_text", StringType()).add("_lang_pred", StringType()).add("_score", DoubleType())
-    rows = docs.select(*names, F.col("text").alias("_text"), "text").mapInArrow(_classified(profiles, top, ("_lang_pred", "_score")), schema)
-    return rows.where(F.col("_lang_pred") != UNKNOWN).select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    names, (lang, score) = [c for c in docs.columns if c != "text"], (unused(docs, c) for c in ("_lang_pred", "_score"))
+    held = unused(docs, "_text")
+    schema = StructType([docs.schema[c] for c in names]).add(held, StringType()).add(lang, StringType()).add(score, DoubleType())
+    rows = docs.select(*names, F.col("text").alias(held), "text").mapInArrow(_classified(profiles, top, (lang, score)), schema)
+    return rows.where(F.col(lang) != UNKNOWN).select(*[F.col(held).alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -111,7 +111,7 @@ def _sketched(bands: int, rows: int, width: int):
                 sizes.append(len(s))
                 keys.append(digest(s) if len(s) else None)
                 all_bands.append(band_keys(sketch(s, bands * rows), bands, rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(all_bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(all_bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "key", "bands"])
 
     return run
 
@@ -159,19 +159,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, rows
     Two documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest doc_id reachable over links, kept says that it is the row's own.
     """
+    return grouped(docs, percent, width, rows, miss).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, percent: int = 80, width: int = WIDTH, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """``near_duplicates`` with text_hash (xxhash64 of the text) and component, which tells components apart where ids
+    repeat or are null; it is null for empty sets, and its values may change between runs.
+    """
     bands = bands_for(percent, rows, miss)
     texts = docs.select("doc_id", "text")
-    rows_of = cut(texts.mapInArrow(_sketched(bands, rows, width), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_shingles long, key binary, bands array<long>"))
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    rows_of = cut(hashed.mapInArrow(_sketched(bands, rows, width), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, key binary, bands array<long>"))
     alike = rows_of.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "bands")).alias("r"))
     # numbers are given once, when the table is written
     classes = cut(alike.select("key", "r.doc_id", F.col("r.n_shingles").cast("int").alias("size"), "r.bands", F.monotonically_increasing_id().alias("node")))
     links = _links(texts, classes, percent, width)
     comps = classes.select("node", "key", "doc_id").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = comps.join(least, "comp").select("key", "component_id")
-    out = rows_of.select("doc_id", "n_shingles", "key").join(named, "key", "left")
+    named = comps.join(least, "comp").select("key", "component_id", F.col("comp").alias("component"))
+    out = rows_of.select("doc_id", "text_hash", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "component")
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

@@ -10,7 +10,7 @@ keyword, a separator and a value of 6 or more characters, the span is all of it.
 dropped after matching.
 
 Defined cases: a null text is the empty blob; a text without secrets has no spans; repeated rows keep their count; any
-other columns are passed on by ``scan`` and may have any name but ``_blob``, ``_spans`` and ``_text``.
+other columns are passed on by ``scan``, which raises ValueError if one has the name of a column that it adds.
 """
 
 from __future__ import annotations
@@ -103,10 +103,13 @@ class BlobLedger:
         once.select("blob", spans(F.col("_text")).alias("spans")).write.mode("append").parquet(self.path)
         return self.entries()
 
-    def scan(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Every row of ``docs`` with its blob and spans, as _blob and _spans."""
-        entries = self.update(docs, text).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-        return docs.withColumn("_blob", _address(F.col(text))).join(entries, "_blob", "left")
+    def scan(self, docs: DataFrame, text: str = "text", names: tuple = ("_blob", "_spans")) -> DataFrame:
+        """Every row of ``docs`` with its blob and spans, in columns of these names."""
+        if taken := {c.lower() for c in docs.columns} & {n.lower() for n in names}:
+            raise ValueError(f"columns named {sorted(taken)} are in the table; choose other names")
+        blob, found = names
+        entries = self.update(docs, text).select(F.col("blob").alias(blob), F.col("spans").alias(found))
+        return docs.withColumn(blob, _address(F.col(text))).join(entries, blob, "left")
 
 
 def _count(found: Column, rank: int) -> Column:
