@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
-from docloom.operators import chunking, generation, metadata, quality, search, tables, telemetry, terms
+from docloom.operators import chunking, generation, layout, metadata, quality, search, tables, telemetry, terms
 from docloom.sources import readers
 from docloom.streaming import telemetry as streams
 
@@ -740,3 +740,47 @@ def image_vectors(read, spark):
     """Two rows for each image, told apart by type; even vectors stand for descriptions."""
     rows = read("embeddings").withColumn("type", F.when(F.col("vec_id") % 2 == 0, "image_description").otherwise("image_clip"))
     return rows.where("type = 'image_description'").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- page layout; rows of other tables stand for images, scanned lines, blocks and elements ----------------------------
+
+
+@query("SELECT doc_id, page, pos, width, height FROM (SELECT p_partkey % 7 doc_id, p_size % 3 page, p_partkey pos, p_size * 3 width, p_size * 4 height, row_number() OVER (PARTITION BY p_partkey % 7, p_size % 3 ORDER BY p_partkey) n FROM part WHERE p_size * 3 >= 50 AND p_size * 4 >= 50) WHERE n <= 20")
+def page_images(read, spark):
+    """Parts as images of seven documents."""
+    size = F.col("p_size")
+    return layout.kept_images(read("part").select((F.col("p_partkey") % 7).alias("doc_id"), (size % 3).alias("page"), F.col("p_partkey").alias("pos"), (size * 3).alias("width"), (size * 4).alias("height")))
+
+
+@query("SELECT doc_id, count(*) pages, round(avg(c), 6) confidence FROM (SELECT l_orderkey doc_id, l_suppkey % 3 page, avg(0.5 + 4 * l_discount) c FROM lineitem WHERE 0.5 + 4 * l_discount >= 0.6 GROUP BY ALL) GROUP BY doc_id")
+def scan_confidence(read, spark):
+    """Line items as scanned lines of their orders."""
+    return layout.confidence(read("lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 3).alias("page"), (0.5 + 4 * F.col("l_discount")).alias("confidence")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity * 16 >= 800 * 0.05 AND l_quantity * 16 + 20 <= 800 * 0.95")
+def body_blocks(read, spark):
+    """Line items as blocks whose quantity tells the height on the page."""
+    y = F.col("l_quantity") * 16
+    return read("lineitem").where(layout.in_body(y, y + 20, F.lit(800.0))).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT * FROM (VALUES (1, 1, 'a', 'Figure 1-2 parts'), (1, 2, 'c', '图 3 流程'), (2, 1, 'd', 'TABLE 4. x')) t(doc_id, page, image, caption)")
+def image_captions(read, spark):
+    images = spark.createDataFrame([(1, 1, "a", 100.0), (1, 1, "b", 500.0), (1, 2, "c", 50.0), (2, 1, "d", 80.0)], "doc_id int, page int, image string, y1 double")
+    blocks = [(1, 1, 1, 95.0, "Figures are below"), (1, 1, 2, 110.0, " Figure 1-2 parts "), (1, 1, 3, 120.0, "Fig. 2 later"), (1, 1, 4, 530.0, "Figure 3 too far"), (1, 2, 1, 60.0, "图 3 流程"), (2, 1, 1, 51.0, "TABLE 4. x"), (2, 2, 1, 80.0, "Table 5")]
+    return layout.captions(images, spark.createDataFrame(blocks, "doc_id int, page int, pos int, y0 double, text string"))
+
+
+@query("SELECT * FROM (VALUES (1, 'Given'), (2, 'Largest'), (3, 'file.v2'), (4, 'none')) t(doc_id, title)")
+def doc_titles(read, spark):
+    documents = spark.createDataFrame([(1, " Given ", "a.pdf"), (2, "", "b.pdf"), (3, None, "file.v2.pdf"), (4, None, "none")], "doc_id int, title string, filename string")
+    spans = [(1, 1, 1, 20.0, "Not asked"), (2, 1, 1, 12.0, "small"), (2, 1, 2, 18.0, "Largest "), (2, 1, 3, 18.0, "Second"), (2, 2, 4, 30.0, "Later page"), (4, 1, 1, 9.0, "  ")]
+    return layout.titles(documents, spark.createDataFrame(spans, "doc_id int, page int, pos int, font_size double, text string"))
+
+
+@query("SELECT p_partkey % 50 doc_id, p_size page, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_size, p_brand = 'Brand#1', p_partkey)::INT place, p_name AS content FROM part")
+def tables_at_page_end(read, spark):
+    """Parts as elements, those of one brand as tables, of fifty documents."""
+    rows = read("part").select((F.col("p_partkey") % 50).alias("doc_id"), F.col("p_size").alias("page"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("content"), (F.col("p_brand") == "Brand#1").alias("table"))
+    return layout.merged(rows.where("not table"), rows.where("table"))
