@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ ROWS = 5
 MISS = 1e-7
 #: Bits of the bitmap of ids whose sets are wanted (1 MB, whatever the input).
 BITS = 1 << 23
+#: Bytes from which a text's words are read one by one, and elements that a sketch takes at once.
+LONG, BLOCK = 1 << 19, 1 << 16
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -58,11 +61,13 @@ def mix(x):
 
 def shingles(text: str | None, width: int = WIDTH):
     """Sorted distinct 64-bit hashes of the word shingles; A-Z lowered, words split at ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    # a very long text's words are taken one by one, as all of them as objects would need many times its size
+    words = data.split() if len(data) < LONG else (m[0] for m in re.finditer(rb"[^\x20\x09-\x0D]+", data))
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64)
+    n = len(w)
     if n == 0:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     length = min(n, width)
     h = np.full(n - length + 1, length, np.uint64)
     for i in range(length):
@@ -76,13 +81,14 @@ def sketch(elements, t: int):
     n, i = len(elements), 0
     while i < 2 * t:
         rounds = np.arange(i, min(2 * t, i + max(1, 2048 // n)), dtype=np.uint64)
-        x = mix(elements[None, :] + (mix(rounds + np.uint64(1)) | np.uint64(1))[:, None])
-        bins = (x & np.uint64(0xFFFFFFFF)) % np.uint64(t)
         forced = rounds >= t
-        if forced.any():
-            bins[forced] = (rounds[forced] - np.uint64(t))[:, None]
-        value = (rounds << np.uint64(32))[:, None] | (x >> np.uint64(32))
-        np.minimum.at(out, bins.ravel().astype(np.intp), value.ravel())
+        for k in range(0, n, BLOCK):
+            x = mix(elements[None, k : k + BLOCK] + (mix(rounds + np.uint64(1)) | np.uint64(1))[:, None])
+            bins = (x & np.uint64(0xFFFFFFFF)) % np.uint64(t)
+            if forced.any():
+                bins[forced] = (rounds[forced] - np.uint64(t))[:, None]
+            value = (rounds << np.uint64(32))[:, None] | (x >> np.uint64(32))
+            np.minimum.at(out, bins.ravel().astype(np.intp), value.ravel())
         i += len(rounds)
         if out.max() != np.iinfo(np.uint64).max:
             break
