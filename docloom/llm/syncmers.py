@@ -1,7 +1,9 @@
 """Document fingerprints of closed syncmers, in DataFrame functions only.
 
-A text is read as units: its runs of non-space characters cut into pieces of up to four code points.  Of every k
-consecutive units the k-mer is an anchor if the smallest hash of its inner s-unit substrings lies at its first or last
+A text is read as units: its runs of non-space characters cut into pieces of up to four code points.  In scripts that are
+written without spaces (Thai, Lao, Tibetan, Burmese, Khmer, kana, Han) every code point begins a unit of its own, with up
+to three that follow it, so that no unit's border depends on how many code points stand before.  Of every k consecutive
+units the k-mer is an anchor if the smallest hash of its inner s-unit substrings lies at its first or last
 position (at either, on ties).  Whether a k-mer is an anchor depends on the k-mer alone, so texts that share a passage
 share its anchors wherever it stands.  A text of fewer than k units has one anchor, all of its units.
 
@@ -19,6 +21,14 @@ from docloom.llm.common import let, partitions
 
 K, S = 9, 2
 
+#: Code points of scripts without spaces, for a class of characters.
+UNSPACED = (
+    r"\u0E00-\u109F\u1780-\u17FF\u1950-\u19FF\u2E80-\u2FDF\u3005-\u3007\u3021-\u3029\u3040-\u312F\u31A0-\u31BF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF"
+    r"\uA9E0-\uA9FF\uAA60-\uAA7F\uF900-\uFAFF\uFF66-\uFF9F\x{1AFF0}-\x{1B16F}\x{20000}-\x{3FFFF}"
+)
+_SPACED = rf"[^\x20\x09-\x0D{UNSPACED}]{{1,4}}"
+UNIT = rf"(?=({_SPACED}|[{UNSPACED}]{{1,4}}))(?:{_SPACED}|[{UNSPACED}])"
+
 
 def _pairs(a: Column, shift: int, join) -> Column:
     """join(a[i], a[i + shift]) for every i that has both."""
@@ -52,7 +62,7 @@ def _minima(values: Column, width: int, body) -> Column:
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """array<struct<position int, code bigint>>: the anchors in order; positions count units from 1."""
     width = k - s + 1
-    units = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([^\x20\x09-\x0D]{1,4})"), F.lit(1)), lambda u: F.xxhash64(u))
+    units = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(1)), lambda u: F.xxhash64(u))
 
     def chosen(h: Column) -> Column:
         n = F.size(h)

@@ -98,6 +98,24 @@ def test_fingerprints_equal_brute_force(request, table):
     assert sorted((str(r[0]), *r[1:]) for r in out) == sorted(expected)
 
 
+@pytest.mark.parametrize("first, last", [(0x4E00, 0x9FFF), (0x3041, 0x30FE), (0x0E01, 0x0E2E), (0x20000, 0x2A6D6)])
+def test_fingerprints_of_unspaced_texts_do_not_depend_on_offsets(spark, first, last):
+    rng = np.random.default_rng(3)
+
+    def made(n):
+        return "".join(map(chr, rng.integers(first, last + 1, n)))
+
+    text, shared = made(4000), made(2000)
+    pairs = [(text, made(n) + text) for n in (1, 2, 3, 4)] + [(text, text[:2000] + made(1) + text[2000:]), (text, "ab1" + text), (made(1001) + shared, made(1002) + shared), (text, made(4000))]
+    near = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(syncmers.likeness(syncmers.codes(F.col("a")), syncmers.codes(F.col("b")))).collect()]
+    assert min(near[:6]) > 0.98 and 0.4 < near[6] < 0.6 and near[7] < 0.01  # of 4,003 units two texts share 2,000: about a half
+
+
+def test_units_of_mixed_scripts(spark):
+    out = spark.createDataFrame([("abcdef 数据库管理API，データ x",)], "t string").select(F.regexp_extract_all("t", F.lit(syncmers.UNIT), F.lit(1))).first()[0]
+    assert out == ["abcd", "ef", "数据库管", "据库管理", "库管理", "管理", "理", "API，", "データ", "ータ", "タ", "x"]
+
+
 def test_archives_round_trip(spark):
     pages = [(1, "http://a/", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://c/\nd", None), (4, "u", ""), (None, "n", "<p>x</p>"), (5, "v", "é" * 50000)]
     frame = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, record_type string")
