@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +13,7 @@ from pyspark.sql.window import Window
 from docloom.functions import text as T
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+SHARD, BLOCK = 4096, 256
 
 
 def best(rows: DataFrame, k: int, score: str = "score", query: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -57,6 +62,57 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return best(scores, k)
 
 
+def _directions(vectors):
+    """A list of vectors as rows of length 1, and their widths; null, unbounded and zero vectors are rows of NaN."""
+    widths = np.array([len(v or ()) for v in vectors])
+    out = np.zeros((len(vectors), widths.max(initial=0)))
+    for i, v in enumerate(vectors):
+        out[i, : widths[i]] = [math.nan if x is None else x for x in v or ()]
+    norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where((norms > 0) & np.isfinite(norms), norms, math.nan), widths
+
+
+def _block_against_shard(k: int):
+    def run(batches):
+        for batch in batches:
+            for queries, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                (q, qw), (d, dw) = (_directions([r["v"] for r in x]) for x in (queries, rows))
+                width, ids, found = min(q.shape[1], d.shape[1]), np.array([r["id"] for r in rows], np.int64), []
+                scores = q[:, :width] @ d[:, :width].T
+                scores = np.copysign(np.floor(np.abs(scores) * 1e6 + 0.5) / 1e6, scores)
+                scores = np.where(np.isnan(scores) | (qw[:, None] != dw), -np.inf, scores)  # without a score: last
+                for row, score in zip(queries, scores):
+                    other = np.flatnonzero(ids != row["id"])
+                    kept = other[np.lexsort((ids[other], -score[other]))[:k]]
+                    found += [(row["id"], int(i), float(x) if np.isfinite(x) else None) for i, x in zip(ids[kept], score[kept])]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
+
+    return run
+
+
+def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """As ``nearest``, for query sets that grow with the table: blocks of queries meet every shard by an equality join.
+
+    Each pair of a block and a shard gives k rows a query, so neither all pairs of rows nor all queries are in one place.
+    """
+
+    def packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+        rows = rows.toDF("id", "v").where("id is not null")
+        parts = max(1, math.ceil(rows.count() / size))
+        key = F.pmod(F.xxhash64("id", "v"), F.lit(parts)).alias("key")
+        return rows.select(key, F.struct(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).alias("r")).groupBy("key").agg(F.collect_list("r").alias("rows")), parts
+
+    def every(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+
+    blocks, n_blocks = packed(queries.select("query_id", "q"), BLOCK)
+    shards, n_shards = packed(vectors.select("vec_id", "embedding"), SHARD)
+    left = blocks.select(F.col("key").alias("block"), every(n_shards).alias("shard"), F.col("rows").alias("asked"))
+    right = shards.select(every(n_blocks).alias("block"), F.col("key").alias("shard"), "rows")
+    met = left.join(right, ["block", "shard"]).select("asked", "rows")
+    return best(met.mapInArrow(_block_against_shard(k), "query_id long, doc_id long, score double"), k)
+
+
 def _both(vector: DataFrame, bm: DataFrame) -> DataFrame:
     v = vector.select("query_id", "doc_id", F.col("score").alias("vector_score"), F.col("rank").alias("rv"))
     b = bm.select("query_id", "doc_id", F.col("score").alias("bm25_score"), F.col("rank").alias("rb"))

@@ -18,18 +18,27 @@ _QUERIES: dict = {}
 _ORACLES: dict = {}
 
 
-def query(sql: str | None = None):
-    """Register a function of (read, spark) under its name; ``read`` gives a table of the folder."""
+def query(sql: str | None = None, whole: bool = False):
+    """Register a function of (read, spark) under its name; ``read`` gives a table of the folder.
+
+    ``whole`` also registers it as NAME_whole, with True as a third argument: a search of the whole query set.
+    """
 
     def add(f):
-        @wraps(f)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
-
-        _QUERIES[f.__name__] = run
-        if sql:
-            ranked = f.__name__ in RANKED  # ranks are INT in Spark
-            _ORACLES[f.__name__] = f"SELECT * REPLACE (rank::INT AS rank) FROM ({sql})" if ranked else sql
+        def register(name: str, sql: str | None, *more) -> None:
+            @wraps(f)
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark, *more)
+
+            run.__name__ = name
+            _QUERIES[name] = run
+            if sql:
+                ranked = f.__name__ in RANKED  # ranks are INT in Spark
+                _ORACLES[name] = f"SELECT * REPLACE (rank::INT AS rank) FROM ({sql})" if ranked else sql
+
+        register(f.__name__, sql)
+        if whole:
+            register(f"{f.__name__}_whole", sql.replace("q.vec_id < 20", "q.vec_id % 50 = 0").replace("FROM bm WHERE query_id < 20", "FROM bm"), True)
         return f
 
     return add
@@ -103,52 +112,57 @@ def _cos(where: str = "TRUE", k: int = 10) -> str:
 SELECT q.vec_id query_id, d.vec_id doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) score FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id < 20 AND {where})) WHERE rank <= {k}"""
 
 
-def _vectors(read, k: int = 10, keep: Column | None = None) -> DataFrame:
+def _vectors(read, k: int = 10, keep: Column | None = None, whole: bool = False) -> DataFrame:
+    """Vectors of ids below 20 are the queries, or of the whole query set, in blocks, every id divisible by 50."""
     rows = read("embeddings")
-    asked = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return search.nearest(rows if keep is None else rows.where(keep), asked, k).select("query_id", "doc_id", "score", "rank")
+    asked = rows.where("vec_id % 50 = 0" if whole else "vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return (search.nearest_in_blocks if whole else search.nearest)(rows if keep is None else rows.where(keep), asked, k).select("query_id", "doc_id", "score", "rank")
 
 
-@query(_cos())
-def vector_topk(read, spark):
-    return _vectors(read)
+@query(_cos(), whole=True)
+def vector_topk(read, spark, whole=False):
+    return _vectors(read, whole=whole)
 
 
-@query(_cos("d.label IN (1, 2)"))
-def vector_filtered(read, spark):
-    return _vectors(read, 10, F.col("label").isin(1, 2))
+@query(_cos("d.label IN (1, 2)"), whole=True)
+def vector_filtered(read, spark, whole=False):
+    return _vectors(read, 10, F.col("label").isin(1, 2), whole)
 
 
 _LISTS = f"WITH {_BM25}, vec AS ({_cos(k=20)}), bq AS (SELECT * FROM bm WHERE query_id < 20), bo AS (SELECT coalesce(v.query_id, b.query_id) query_id, coalesce(v.doc_id, b.doc_id) doc_id, v.score vs, b.score bs, v.rank rv, b.rank rb, CASE WHEN v.rank IS NULL THEN 'bm25' WHEN b.rank IS NULL THEN 'vector' ELSE 'both' END source FROM vec v FULL JOIN bq b ON v.query_id = b.query_id AND v.doc_id = b.doc_id)"
 _RRF = "rrf AS (SELECT query_id, doc_id, source, round(coalesce(0.6 / (60 + rv), 0) + coalesce(0.4 / (60 + rb), 0), 8) score FROM bo)"
 
 
-def _two_lists(read):
-    """The vector list and the BM25 list of queries below 20; vec_id stands for doc_id, as the tables have no link."""
-    return _vectors(read, 20), search.bm25(read("documents"), _asked(read).where("query_id < 20"), 20)
+def _two_lists(read, whole: bool = False):
+    """The vector list and the BM25 list of queries below 20, or of every fiftieth vector and of all passages.
+
+    vec_id stands for doc_id, as the tables have no link.
+    """
+    asked = _asked(read)
+    return _vectors(read, 20, whole=whole), search.bm25(read("documents"), asked if whole else asked.where("query_id < 20"), 20)
 
 
-@query(f"{_LISTS}, {_RRF} SELECT * FROM rrf")
-def rrf_fusion(read, spark):
-    return search.rrf(*_two_lists(read))
+@query(f"{_LISTS}, {_RRF} SELECT * FROM rrf", whole=True)
+def rrf_fusion(read, spark, whole=False):
+    return search.rrf(*_two_lists(read, whole))
 
 
-@query(f"{_LISTS}, s AS (SELECT *, min(vs) OVER w lv, max(vs) OVER w hv, min(bs) OVER w lb, max(bs) OVER w hb FROM bo WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, source, round(0.6 * coalesce((vs - lv) / CASE WHEN hv > lv THEN hv - lv ELSE 1 END, 0) + 0.4 * coalesce((bs - lb) / CASE WHEN hb > lb THEN hb - lb ELSE 1 END, 0), 6) score FROM s")
-def weighted_fusion(read, spark):
-    return search.weighted(*_two_lists(read))
+@query(f"{_LISTS}, s AS (SELECT *, min(vs) OVER w lv, max(vs) OVER w hv, min(bs) OVER w lb, max(bs) OVER w hb FROM bo WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, source, round(0.6 * coalesce((vs - lv) / CASE WHEN hv > lv THEN hv - lv ELSE 1 END, 0) + 0.4 * coalesce((bs - lb) / CASE WHEN hb > lb THEN hb - lb ELSE 1 END, 0), 6) score FROM s", whole=True)
+def weighted_fusion(read, spark, whole=False):
+    return search.weighted(*_two_lists(read, whole))
 
 
-@query(f"{_LISTS}, {_RRF} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM rrf) WHERE rank <= 10")
-def fused_topk(read, spark):
-    return search.best(search.rrf(*_two_lists(read)), 10)
+@query(f"{_LISTS}, {_RRF} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM rrf) WHERE rank <= 10", whole=True)
+def fused_topk(read, spark, whole=False):
+    return search.best(search.rrf(*_two_lists(read, whole)), 10)
 
 
 _RERANK = r"list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: x <> ''))"
 
 
-@query(f"{_LISTS}, {_RRF}, r AS (SELECT rrf.*, round(0.7 * score + 0.3 * len(list_filter({_RERANK}, lambda x: contains(lower(d.text), x))) / len({_RERANK}), 4) rerank_score FROM rrf JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = rrf.query_id) SELECT query_id, doc_id, score, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) rank FROM r) WHERE rank <= 5")
-def keyword_rerank(read, spark):
-    fused = search.rrf(*_two_lists(read)).join(read("documents").select("doc_id", "text"), "doc_id").join(_asked(read).select("query_id", F.col("text").alias("query")), "query_id")
+@query(f"{_LISTS}, {_RRF}, r AS (SELECT rrf.*, round(0.7 * score + 0.3 * len(list_filter({_RERANK}, lambda x: contains(lower(d.text), x))) / len({_RERANK}), 4) rerank_score FROM rrf JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = rrf.query_id) SELECT query_id, doc_id, score, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) rank FROM r) WHERE rank <= 5", whole=True)
+def keyword_rerank(read, spark, whole=False):
+    fused = search.rrf(*_two_lists(read, whole)).join(read("documents").select("doc_id", "text"), "doc_id").join(_asked(read).select("query_id", F.col("text").alias("query")), "query_id")
     return search.keyword_rerank(fused.withColumn("rank", F.lit(0)), 5).select("query_id", "doc_id", "score", "rerank_score", "rank")
 
 
@@ -514,10 +528,10 @@ def source_class(read, spark):
     return streams.class_counts(_log(read))
 
 
-@query(f"WITH {_LISTS}, {_RRF} SELECT query_id, count(*) num_results, count(*) FILTER (source = 'both') num_both, count(*) FILTER (source = 'vector') num_vector, count(*) FILTER (source = 'bm25') num_bm25, round(max(score), 6) max_score, round(min(score), 6) min_score FROM rrf GROUP BY 1".replace("WITH WITH", "WITH"))
-def retrieval_metrics(read, spark):
+@query(f"WITH {_LISTS}, {_RRF} SELECT query_id, count(*) num_results, count(*) FILTER (source = 'both') num_both, count(*) FILTER (source = 'vector') num_vector, count(*) FILTER (source = 'bm25') num_bm25, round(max(score), 6) max_score, round(min(score), 6) min_score FROM rrf GROUP BY 1".replace("WITH WITH", "WITH"), whole=True)
+def retrieval_metrics(read, spark, whole=False):
     """A log row for each fused search."""
-    r = search.rrf(*_two_lists(read))
+    r = search.rrf(*_two_lists(read, whole))
     counts = [F.count_if(F.col("source") == s).alias(f"num_{s}") for s in ("both", "vector", "bm25")]
     return r.groupBy("query_id").agg(F.count(F.lit(1)).alias("num_results"), *counts, F.round(F.max("score"), 6).alias("max_score"), F.round(F.min("score"), 6).alias("min_score"))
 
@@ -611,12 +625,16 @@ def rag_metrics(read, spark):
     return rows.withColumn("overall", F.round((F.col("faithfulness") + F.col("relevance") + F.col("ctx_precision") + F.col("ctx_recall")) / 4, 4))
 
 
-@query(f"WITH r AS ({_cos(k=20)}), f AS (SELECT q.vec_id query_id, min(rank) f FROM embeddings q LEFT JOIN (SELECT r.*, a.label la, b.label lb FROM r JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id) x ON x.query_id = q.vec_id AND la = lb WHERE q.vec_id < 20 GROUP BY 1) SELECT k, round(avg(coalesce(f <= k, FALSE)::INT), 6) hit_rate FROM f, (VALUES (1), (3), (5), (10), (20)) t(k) GROUP BY k")
-def hit_rate_at_k(read, spark):
+@query(f"WITH r AS ({_cos(k=20)}), f AS (SELECT q.vec_id query_id, min(rank) f FROM embeddings q LEFT JOIN (SELECT r.*, a.label la, b.label lb FROM r JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id) x ON x.query_id = q.vec_id AND la = lb WHERE q.vec_id < 20 GROUP BY 1) SELECT k, round(avg(coalesce(f <= k, FALSE)::INT), 6) hit_rate FROM f, (VALUES (1), (3), (5), (10), (20)) t(k) GROUP BY k", whole=True)
+def hit_rate_at_k(read, spark, whole=False):
     """Vectors of the query's label are relevant."""
     labels = read("embeddings").select("vec_id", "label")
-    asked = labels.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = asked.join(labels.withColumnRenamed("vec_id", "doc_id"), "label").where("query_id <> doc_id").select("query_id", "doc_id")
+    asked = labels.where("vec_id % 50 = 0" if whole else "vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
+    others = labels.withColumnRenamed("vec_id", "doc_id")
+    if whole:  # only pairs that were found: all pairs of a label grow with the square of the table
+        found = _vectors(read, 20, whole=True)
+        return quality.hit_rates(found, found.join(asked, "query_id").join(others, ["doc_id", "label"]).select("query_id", "doc_id"), asked=asked)
+    relevant = asked.join(others, "label").where("query_id <> doc_id").select("query_id", "doc_id")
     return quality.hit_rates(_vectors(read, 20), relevant)
 
 

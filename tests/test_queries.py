@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from docloom.operators import chunking, terms
+from docloom.operators import chunking, search, terms
 from docloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +38,25 @@ def test_equals_sql(spark, duck, name):
     assert got == sorted((tuple(rounded(r[i]) for i in at) for r in expected.fetchall()), key=repr)
 
 
+def test_whole_query_sets_are_searched(spark):
+    ids = {r[0] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
+    out = QUERIES["vector_topk_whole"](spark, "/root/testdata/sf0.1")
+    assert len(ids) > 20 and {r[0]: r[1] for r in out.groupBy("query_id").count().collect()} == dict.fromkeys(ids, 10)
+    passages = {r["query_id"] for r in QUERIES["bm25_topk"](spark, SF).collect()}
+    assert {r["query_id"] for r in QUERIES["rrf_fusion_whole"](spark, SF).collect()} >= passages
+    names = {n.removesuffix("_whole") for n in QUERIES if n.endswith("_whole")}
+    assert names == {"vector_topk", "vector_filtered", "rrf_fusion", "weighted_fusion", "fused_topk", "keyword_rerank", "retrieval_metrics", "hit_rate_at_k"}
+
+
+def test_blocks_equal_one_join(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD", 7)
+    monkeypatch.setattr(search, "BLOCK", 3)
+    rows = spark.createDataFrame([(i, [float(i % 5 + 1), float(i % 3), 1.0, -float(i % 7)]) for i in range(60)] + [(60, None)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    one, blocks = (sorted(map(tuple, f(rows, asked, 10).select("query_id", "doc_id", "score", "rank").collect()), key=repr) for f in (search.nearest, search.nearest_in_blocks))
+    assert blocks == one and len(one) == 130
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
