@@ -403,18 +403,28 @@ def glossary_normalize(read, spark):
     return spark.createDataFrame([(t,) for t in _GLOSSED], "txt string").select("txt", terms.normalize_text(F.col("txt")).alias("standard"))
 
 
+def _with_made(read, spark, texts: list[str]) -> DataFrame:
+    """(doc_id, text) of all documents, and of hand-made texts with ids from -1 down."""
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return read("documents").select("doc_id", "text").union(made.select(-F.col("doc_id") - 1, "text"))
+
+
+@query()
+def glossary_normalize_documents(read, spark):
+    """All documents and the hand-made texts; borders of words outside ASCII differ in SQL, so tested against a plain loop."""
+    return _with_made(read, spark, _GLOSSED).select("doc_id", terms.normalize_text(F.col("text")).alias("standard"))
+
+
 @query()
 def term_detect(read, spark):
     """Every alias with its place; tested against a plain search."""
-    made = spark.createDataFrame(list(enumerate(_GLOSSED + ["用户界面 API，api"])), "doc_id long, text string")
-    return terms.detect(read("documents").select("doc_id", "text").union(made.select(-F.col("doc_id") - 1, "text")))
+    return terms.detect(_with_made(read, spark, _GLOSSED + ["用户界面 API，api"]))
 
 
 @query()
 def term_variants(read, spark):
-    """Terms that occur in more than one surface form."""
-    made = spark.createDataFrame(list(enumerate(_GLOSSED)), "doc_id long, text string")
-    found = terms.detect(made).groupBy("term").agg(F.array_sort(F.collect_set("variant")).alias("variants"))
+    """Terms that occur in more than one surface form in all documents and the hand-made texts; tested against a plain loop."""
+    found = terms.detect(_with_made(read, spark, _GLOSSED)).groupBy("term").agg(F.array_sort(F.collect_set("variant")).alias("variants"))
     return found.where(F.size("variants") > 1)
 
 
@@ -660,6 +670,19 @@ def code_style_mix(read, spark):
     return rows.select("doc_id", (F.contains("content", F.lit("```")) & F.col("content").rlike(r"(?m)^    \S")).alias("mixed"))
 
 
+@query()
+def contradictions_documents(read, spark):
+    """All documents, and the hand-made sections; tested against a plain loop."""
+    return quality.contradictions(_with_made(read, spark, [t for _, t in _SECTIONS]).withColumnRenamed("text", "content"))
+
+
+@query(f"SELECT doc_id, contains(txt, '```') AND regexp_matches(txt, '(?m)^    \\S') mixed FROM (SELECT doc_id, text txt FROM documents UNION ALL SELECT -doc_id, txt FROM {_values(_SECTIONS, 'doc_id, txt')})")
+def code_style_mix_documents(read, spark):
+    """All documents, and the hand-made sections."""
+    rows = _with_made(read, spark, [t for _, t in _SECTIONS])
+    return rows.select("doc_id", (F.contains("text", F.lit("```")) & F.col("text").rlike(r"(?md)^    \S")).alias("mixed"))
+
+
 @query("SELECT quality, count(*) n, count(*) FILTER (toxic = 1) errors, count(*) FILTER (toxic = 1) = 0 passed FROM labels GROUP BY quality")
 def issue_summary(read, spark):
     """Labels stand for issues: toxic ones are errors."""

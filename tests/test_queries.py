@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from docloom.operators import chunking, search, terms
+from docloom.operators import chunking, quality, search, terms
 from docloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -111,6 +111,47 @@ def test_detection_equals_a_plain_search(spark):
     assert found == expected
 
 
+DOCUMENTS = [(1, "Cli first, then a cli; 端口: 80\n端口: 81"), (2, "the UI\n```\nx\n```\n    y"), (3, "plain, 8 GB or 16 GB, ünder, api"), (4, ""), (5, "DB " * 50 + "Db")]
+
+
+@pytest.fixture(scope="module")
+def written(spark, tmp_path_factory):
+    """The folder of a table of documents, and its rows with those that are made by hand."""
+    folder = str(tmp_path_factory.mktemp("documents"))
+    spark.createDataFrame(DOCUMENTS, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def with_made(texts):
+    return DOCUMENTS + [(-i - 1, t) for i, t in enumerate(texts)]
+
+
+def test_variants_and_normal_forms_of_documents(spark, written):
+    rows, forms, normal = with_made(catalog._GLOSSED), {}, {}
+    for i, t in rows:
+        for a, term in terms.glossary():
+            for m in re.finditer(rf"\b{re.escape(a)}\b", t, re.IGNORECASE):
+                forms.setdefault(term, set()).add(m[0])
+        for a, term in terms.glossary():
+            t = re.sub(rf"\b{re.escape(a)}\b", term, t, flags=re.IGNORECASE)
+        normal[i] = t
+    out = {r["term"]: r["variants"] for r in QUERIES["term_variants"](spark, written).collect()}
+    assert out == {t: sorted(f) for t, f in forms.items() if len(f) > 1} and out["Command Line Interface"] == ["CLI", "Cli", "cli"]
+    assert {r["doc_id"]: r["standard"] for r in QUERIES["glossary_normalize_documents"](spark, written).collect()} == normal
+
+
+def test_consistency_of_documents(spark, written):
+    rows, values = with_made([t for _, t in catalog._SECTIONS]), {}
+    for i, t in rows:
+        for c, p in quality.CONTRADICTIONS.items():
+            for m in re.finditer(p, t, re.ASCII):
+                values.setdefault((i, c), set()).add(m[1])
+    out = {(r["doc_id"], r["category"]): (r["n_values"], r["least"], r["greatest"]) for r in QUERIES["contradictions_documents"](spark, written).collect()}
+    assert out == {k: (len(v), min(v), max(v)) for k, v in values.items() if len(v) > 1} and {(1, "端口号"), (3, "数值参数")} <= set(out)
+    mixed = {r["doc_id"]: r["mixed"] for r in QUERIES["code_style_mix_documents"](spark, written).collect()}
+    assert mixed == {i: "```" in t and re.search(r"(?m)^    \S", t) is not None for i, t in rows} and mixed[2]
+
+
 def test_simple_expansion(spark):
     out = {r["q"]: r["variants"].split(" / ") for r in QUERIES["simple_expand"](spark, SF).collect()}
     assert out["API 配置"] == ["API 配置", "Application Programming Interface 配置", "API 设置", "API 参数"]
