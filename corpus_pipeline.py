@@ -10,7 +10,10 @@ from docloom.llm.common import shared_folder, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null texts, or no letter) go."""
+    """Documents without a language (null texts, or no letter) go, whether or not any document is labelled.
+
+    Any text with a letter has a nearest language, however far, so labels decide nothing but its name.
+    """
     return langid.accepted(docs, langid.train(docs))
 
 

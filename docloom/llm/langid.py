@@ -25,6 +25,8 @@ from docloom.llm.common import unused
 
 TOP, SAMPLE, LANGUAGES = 400, 2000, 1000
 UNKNOWN = "und"
+#: The profile of a language without a name, for ``accepted`` where nothing was learned: no n-gram has code 0.
+ANY = {"mis": [0]}
 
 
 def _letters():
@@ -130,9 +132,9 @@ def identify(docs: DataFrame, profiles: dict, top: int = TOP) -> DataFrame:
 
 
 def accepted(docs: DataFrame, profiles: dict, top: int = TOP) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with their columns."""
+    """The rows of ``docs`` whose text has a language, with their columns; without profiles, those whose text has a letter."""
     names, (lang, score) = [c for c in docs.columns if c != "text"], (unused(docs, c) for c in ("_lang_pred", "_score"))
     held = unused(docs, "_text")
     schema = StructType([docs.schema[c] for c in names]).add(held, StringType()).add(lang, StringType()).add(score, DoubleType())
-    rows = docs.select(*names, F.col("text").alias(held), "text").mapInArrow(_classified(profiles, top, (lang, score)), schema)
+    rows = docs.select(*names, F.col("text").alias(held), "text").mapInArrow(_classified(profiles or ANY, top, (lang, score)), schema)
     return rows.where(F.col(lang) != UNKNOWN).select(*[F.col(held).alias("text") if c == "text" else F.col(c) for c in docs.columns])

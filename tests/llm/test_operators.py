@@ -335,6 +335,14 @@ def test_stages_handle_edges(spark, edges, empty):
     assert kept == sorted(["1", "2", "3", "4", "6", "9", "10"])
 
 
+def test_unlabelled_texts_stay(spark, edges):
+    rows = edges.withColumn("lang", F.lit(None).cast("string"))
+    out = stage("language")(spark, rows, SF)
+    # rows 1 to 3 are null, empty and white space; all others have a letter
+    assert out.columns == rows.columns and sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(i) for i, t in EDGES if any(c.isalpha() for c in t or ""))
+    assert out.count() == len(EDGES) - 3 and out.exceptAll(rows).isEmpty()
+
+
 def test_one_id_for_different_texts(spark):
     rows = [(5, BASE), (5, "quite another text"), (5, "quite another text"), (3, BASE + " more"), (None, "a b"), (None, "c d")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
