@@ -67,8 +67,8 @@ def heading_level(text: Column, font_size: Column) -> Column:
 
 
 def keywords(text: Column) -> Column:
-    """Distinct keywords of six families, sorted."""
-    found = [F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in KEYWORD]
+    """Distinct keywords of six families, sorted; letters of all scripts are parts of words, as in Python."""
+    found = [F.regexp_extract_all(text, F.lit(f"(?U)({p})"), F.lit(1)) for p in KEYWORD]
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 

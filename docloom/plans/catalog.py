@@ -289,10 +289,10 @@ def child_chunks(read, spark):
 
 @query()
 def parent_expand(read, spark):
-    """The best child chunk of each document with the text of its parent."""
+    """Every child chunk with the text of its parent."""
     up, down = _chunks(read)
     chunks = up.select("chunk_id", F.lit(None).cast("string").alias("parent_id"), "content").union(down.select("chunk_id", "parent_id", "content"))
-    hits = down.where("child_index = 0").select(F.col("chunk_id").alias("doc_id"), "parent_index")
+    hits = down.select(F.col("chunk_id").alias("doc_id"), "parent_index")
     return search.expand_parents(hits, chunks).select(F.col("doc_id").alias("chunk_id"), "parent_index", F.md5("context").alias("context_md5"))
 
 

@@ -1,5 +1,6 @@
 """Every query against its SQL on the smallest tables, and those without SQL against plain loops."""
 
+import hashlib
 import os
 import re
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from docloom.functions import text as T
 from docloom.operators import chunking, quality, search, terms
 from docloom.plans import catalog
 
@@ -98,6 +100,19 @@ def test_children_have_parents(spark):
     assert all(r["parent_id"] in up for r in QUERIES["child_chunks"](spark, SF).collect())
 
 
+def test_all_children_are_expanded(spark):
+    up = {r["chunk_id"]: r["content"] for r in QUERIES["parent_chunks"](spark, SF).collect()}
+    expected = [(r["chunk_id"], r["parent_index"], hashlib.md5(up[r["parent_id"]].encode()).hexdigest()) for r in QUERIES["child_chunks"](spark, SF).collect()]
+    out = [tuple(r[c] for c in ("chunk_id", "parent_index", "context_md5")) for r in QUERIES["parent_expand"](spark, SF).collect()]
+    assert sorted(out) == sorted(expected) and any(r["child_index"] for r in QUERIES["child_chunks"](spark, SF).collect())
+
+
+def test_keywords_of_mixed_scripts_equal_python(spark):
+    texts = ["É API中文 API 中", "fooBar naïveBar größeÄnderung éfooBar", "snake_case_é a_b", "v1.2.3-béta ٣.٤ 1.2", "0xFFé 0xAB ERROR_Größe ERR_X", "/pfad/größe --größe -x 数据/库", "plain", ""]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select(T.keywords(F.col("t"))).collect()
+    assert [list(r[0]) for r in out] == [sorted({m[0] for p in T.KEYWORD for m in re.finditer(p, t)}) for t in texts]
+
+
 def test_hourly_stream_equals_batch(spark):
     batch = {(r["h"], r["n"]) for r in catalog._log(lambda t: spark.read.parquet(f"{SF}/{t}.parquet")).groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n")).collect()}
     stream = {(r["hour"], r["n"]) for r in QUERIES["stream_hourly_window"](spark, SF).collect()}
