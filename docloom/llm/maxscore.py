@@ -12,7 +12,8 @@ keys, so neither side is broadcast and no task holds more than one shard and one
 candidate's shard; what is skipped is skipped by bounds, so results are exact, ties to the smaller id.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; shorter vectors count as
-padded with zeros; of rows with the same id the one with the smallest vector stands; null ids take no part.
+padded with zeros; all rows with the same id are candidates of other ids, and as queries share the k best; null ids take
+no part.
 """
 
 from __future__ import annotations
@@ -116,9 +117,10 @@ def topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k best of ``docs`` for each of ``queries``, both (vec_id, v array<bigint>)."""
 
     def packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-        rows = cut(rows.where("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v")))
+        rows = cut(rows.where("vec_id is not null and v is not null").select("vec_id", "v"))
         parts = max(1, math.ceil(rows.count() / size))
-        keyed = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("key"), "vec_id", "v")
+        # dealt by place too, else rows that are repeated many times would fill one shard
+        keyed = rows.select(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts)).alias("key"), "vec_id", "v")
         return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_pack, "key long, ids array<long>, flat array<long>, sizes array<int>"), parts
 
     shards, n_shards = packed(docs, SHARD)

@@ -5,13 +5,14 @@ import hashlib
 import math
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import langid, maxscore, minhash, mixing, pieces, queries, secrets, syncmers, toxicity, urlfilter, warc
+from docloom.llm import langid, maxscore, minhash, mixing, oracle, pieces, queries, secrets, syncmers, toxicity, urlfilter, warc
 
 SF = "/root/testdata/sf0.001"
 BASE = " ".join(f"w{i}" for i in range(200))
@@ -270,6 +271,16 @@ def test_top_k_equals_brute_force(spark):
     assert maxscore.topk(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids_equals_sql(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in rng.integers(-9, 10, 4) / 4]) for i in rng.integers(0, 160, 400)] + [(50, [1.0, 0.0, 0.0, 1.0])] * 3 + [(100, [9.0, 9.0, 9.0, 9.0])] * 2
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    out = queries.op7_maxscore(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score")
+    assert sorted(map(tuple, out.collect())) == sorted(duck.sql(f"SELECT query_id, rank, vec_id, score FROM ({oracle.TOPK})").fetchall())
+
+
 def test_pieces_round_trip(spark, docs, edges, empty):
     for table in (docs, edges):
         out = pieces.encode(table)
