@@ -6,7 +6,7 @@ takes the language whose profile has the smallest out-of-place distance: for eac
 difference of ranks, or TOP if the profile lacks it.  ``score`` is 1 less the mean difference over TOP.
 
 Profiles are fitted on a bounded sample: up to about ``sample`` labelled documents a language, drawn by a hash of the
-id, of at most ``LANGUAGES`` languages.  Every text is then classified whole.
+id, of every language.  Every text is then classified whole.
 
 Defined cases: texts that are null or have no letter are ``und`` with score 0, and so is every text if nothing was
 learned; ties go to the language that sorts first; repeated rows keep their count; other columns are ignored.
@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from docloom.llm.common import unused
 
-TOP, SAMPLE, LANGUAGES = 400, 2000, 1000
+TOP, SAMPLE = 400, 2000
 UNKNOWN = "und"
 #: The profile of a language without a name, for ``accepted`` where nothing was learned: no n-gram has code 0.
 ANY = {"mis": [0]}
@@ -76,12 +76,9 @@ def _counted(batches):
 def train(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> dict:
     """Profiles {language: codes in order} from (doc_id, text, lang)."""
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return {}
-    rates = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample / r["count"]))])
+    rates = labelled.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count(F.lit(1))).alias("rate"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labelled.where(draw < F.try_element_at(rates, F.col("lang")))
+    drawn = labelled.join(F.broadcast(rates), "lang").where(draw < F.col("rate"))
     counts = drawn.select("lang", "text").mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

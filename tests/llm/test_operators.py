@@ -329,6 +329,16 @@ def test_language(spark, docs, edges, empty):
     assert langid.accepted(edges, profiles).columns == edges.columns
 
 
+def test_every_language_is_learned(spark):
+    # 1,005 languages of two letters of their own
+    rows = [(i, chr(0x4E00 + 2 * i) + chr(0x4E01 + 2 * i), f"l{i}") for i in range(1005)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.train(table)
+    assert len(profiles) == 1005
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identify(table.where("doc_id % 100 = 4 or doc_id > 990"), profiles).collect()}
+    assert len(out) > 20 and all(lang == f"l{i}" for i, lang in out.items())
+
+
 def stage(name):
     return dict(corpus_pipeline.STAGES)[name]
 
