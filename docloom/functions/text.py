@@ -8,9 +8,17 @@ TOKEN = r"[一-鿿]|[a-z0-9_\-\.]+"
 LIST_ITEM = (r"^[•\-*◦▪]\s+", r"^\d+[.)]\s+\w")
 CODE = (r"(?m)^\s*def\s+\w+", r"(?m)^\s*class\s+\w+", r"(?m)^\s*import\s+", r"(?m)^\s*#include", r"(?m)^\s*\$\s+", r"(?m)^\s*>\s+", r"(?m)^\s*\{.*\}\s*$")
 HEADING = (r"^第[一二三四五六七八九十\d]+章\s+", r"^第[一二三四五六七八九十\d]+节\s+", r"^\d+\.\s+", r"^\d+\.\d+\s+", r"^\d+\.\d+\.\d+\s+", r"^[A-Z]\.\s+", r"^附录\s*[A-Z]?\s*")
+#: Levels of headings by pattern, and by least font size.
+LEVELS = ((r"^第[一二三四五六七八九十\d]+章", 1), (r"^\d+\.\d+\.\d+\s+", 3), (r"^\d+\.\d+\s+", 2), (r"^\d+\.\s+", 1))
+SIZES, DEEPEST = ((18, 1), (16, 2), (14, 3)), 4
 KEYWORD = (r"\b[A-Z]{2,}\b", r"\b[a-z]+(?:[A-Z][a-z]+)+\b", r"\b[a-z]+(?:_[a-z]+)+\b", r"\bv?\d+\.\d+(?:\.\d+)?(?:-\w+)?\b", r"\b(?:0x[0-9A-Fa-f]+|ERROR_\w+|ERR_\w+)\b", r"(?:/[\w/]+|--?\w+)")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, even where ``body`` uses it inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matches_any(text: Column, patterns) -> Column:
     out = F.lit(False)
     for p in patterns:
@@ -54,16 +62,13 @@ def element_kind(text: Column, font_size: Column, bold: Column, min_size: float
 
 
 def heading_level(text: Column, font_size: Column) -> Column:
-    return (
-        F.when(text.rlike(r"^第[一二三四五六七八九十\d]+章"), 1)
-        .when(text.rlike(r"^\d+\.\d+\.\d+\s+"), 3)
-        .when(text.rlike(r"^\d+\.\d+\s+"), 2)
-        .when(text.rlike(r"^\d+\.\s+"), 1)
-        .when(font_size >= 18, 1)
-        .when(font_size >= 16, 2)
-        .when(font_size >= 14, 3)
-        .otherwise(4)
-    )
+    """Level of a heading: the first pattern that fits, else by font size."""
+    out = F.lit(DEEPEST)
+    for least, level in reversed(SIZES):
+        out = F.when(font_size >= least, level).otherwise(out)
+    for pattern, level in reversed(LEVELS):
+        out = F.when(text.rlike(pattern), level).otherwise(out)
+    return out
 
 
 def keywords(text: Column) -> Column:

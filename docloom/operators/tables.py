@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.text import matches_any
+
 # Keywords and patterns that decide results.
 HEADER_WORDS = ("名称", "参数", "说明", "类型", "值", "描述", "name", "type", "value", "description", "id")
 SPEC_WORDS = ("参数", "配置", "规格", "spec", "config", "parameter", "项目", "属性", "property", "setting")
 MAPPING_WORDS = ("错误码", "代码", "状态", "code", "error", "status", "id")
 STEP_WORDS = ("步骤", "序号", "step", "no", "#", "操作")
 BOOLEAN_WORDS = ("true", "false", "yes", "no", "是", "否", "√", "×", "✓", "✗")
-DATES = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{4}|\d{4}年\d{1,2}月\d{1,2}日"
-CODES = r"^[A-Za-z_][A-Za-z0-9_]*\s*\(|^[A-Za-z_][A-Za-z0-9_]*\s*=|^--\w+|^\$\w+|^[A-Z_]+$"
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+DATES = (r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", r"\d{1,2}[-/]\d{1,2}[-/]\d{4}", r"\d{4}年\d{1,2}月\d{1,2}日")
+CODES = (r"^[A-Za-z_][A-Za-z0-9_]*\s*\(", r"^[A-Za-z_][A-Za-z0-9_]*\s*=", r"^--\w+", r"^\$\w+", r"^[A-Z_]+$")
+NOT_A_NAME = r"^[\d,.\-+%]+$"
+#: What stands for a floating-point number, the words in any case.
+NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
 
 
 def has_word(text: Column, words) -> Column:
@@ -40,7 +44,7 @@ def valid(raw: Column, min_rows: int = 2, min_cols: int = 2) -> Column:
 def header_score(row: Column) -> Column:
     def cell(c: Column) -> Column:
         t = F.trim(F.coalesce(c, F.lit("")))
-        return (F.length(t) < 30).cast("int") + ((t != "") & ~t.rlike(r"^[\d,.\-+%]+$")).cast("int") + 2 * has_word(t, HEADER_WORDS).cast("int")
+        return (F.length(t) < 30).cast("int") + ((t != "") & ~t.rlike(NOT_A_NAME)).cast("int") + 2 * has_word(t, HEADER_WORDS).cast("int")
 
     return F.aggregate(row, F.lit(0), lambda s, c: s + cell(c))
 
@@ -68,9 +72,9 @@ def column_type(values: Column) -> Column:
     return (
         F.when(n == 0, "text")
         .when(share(numeric) > 0.8, F.when(F.exists(held, lambda v: F.contains(v, F.lit("%"))), "percentage").otherwise("number"))
-        .when(share(lambda v: v.rlike(DATES)) > 0.8, "date")
+        .when(share(lambda v: matches_any(v, DATES)) > 0.8, "date")
         .when(share(lambda v: F.lower(v).isin(*BOOLEAN_WORDS)) > 0.8, "boolean")
-        .when(share(lambda v: v.rlike(CODES)) > 0.5, "code")
+        .when(share(lambda v: matches_any(v, CODES)) > 0.5, "code")
         .otherwise("text")
     )
 

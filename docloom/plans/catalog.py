@@ -340,7 +340,7 @@ def context_citations(read, spark):
 
 # ---- terms -----------------------------------------------------------------------------------------------------------
 
-_DICT = _values([(i, t, c, a.split(";") if a else [], b.split(";") if b else [], r.split(";") if r else [], d) for i, (t, c, a, b, r, d) in enumerate(x.split("|") for x in terms.DICTIONARY.split("\n"))], "seq, term, canonical, aliases, abbreviations, related, domain")
+_DICT = _values([(i, *row) for i, row in enumerate(terms.DICTIONARY)], "seq, term, canonical, aliases, abbreviations, related, domain")
 _FORMS = f"d AS {_DICT}, fo AS (SELECT seq, canonical, lower(unnest(list_concat([term, canonical], aliases, abbreviations))) form FROM d), fm AS (SELECT form, arg_max(canonical, seq) canonical FROM fo GROUP BY form)"
 _WORDS = ["api", "API", "py", "参数", "Db", "k8s", "unknown", "设置", "bug", "cicd", "json", "容器", "Large Language Model", "IP地址"]
 
@@ -458,12 +458,12 @@ def header_detect(read, spark):
     return rows.select("id", tables.header_score(F.split("cells", ";")).alias("score"))
 
 
-_COLUMNS = [(1, ["1", "2.5", "-3", "1e5", "4"]), (2, ["10%", "20 %", "5%"]), (3, ["2024-01-15", "01/15/2024", "2024年1月15日"]), (4, ["yes", "no", "是"]), (5, ["MAX_SIZE", "--flag", "x = 1", "some words"]), (6, ["a b", "c", "1"]), (7, ["", " "]), (8, ["1,000", "$5", "7"])]
+_COLUMNS = [(1, ["1", "2.5", "-3", "1e5", "4"]), (2, ["10%", "20 %", "5%"]), (3, ["2024-01-15", "01/15/2024", "2024年1月15日"]), (4, ["yes", "no", "是"]), (5, ["MAX_SIZE", "--flag", "x = 1", "some words"]), (6, ["a b", "c", "1"]), (7, ["", " "]), (8, ["1,000", "$5", "7"]), (9, ["nan", "-Infinity", "INF", "2"])]
 
 
 @query(rf"""WITH c AS {_values(_COLUMNS, "id, vals")}, h AS (SELECT id, list_filter(vals, lambda v: trim(v) <> '') v FROM c), s AS (SELECT id, v, greatest(len(v), 1) n,
-len(list_filter(v, lambda x: regexp_matches(regexp_replace(x, '[,%$€¥ ]', '', 'g'), '{tables.NUMBER}'))) num, len(list_filter(v, lambda x: regexp_matches(x, '{tables.DATES}'))) dat,
-len(list_filter(v, lambda x: lower(x) IN ({", ".join(map(_text, tables.BOOLEAN_WORDS))}))) boo, len(list_filter(v, lambda x: regexp_matches(x, '{tables.CODES}'))) cod FROM h)
+len(list_filter(v, lambda x: regexp_matches(regexp_replace(x, '[,%$€¥ ]', '', 'g'), '{tables.NUMBER}'))) num, len(list_filter(v, lambda x: regexp_matches(x, '{'|'.join(tables.DATES)}'))) dat,
+len(list_filter(v, lambda x: lower(x) IN ({", ".join(map(_text, tables.BOOLEAN_WORDS))}))) boo, len(list_filter(v, lambda x: regexp_matches(x, '{'|'.join(tables.CODES)}'))) cod FROM h)
 SELECT id, CASE WHEN len(v) = 0 THEN 'text' WHEN num / n > 0.8 THEN CASE WHEN len(list_filter(v, lambda x: contains(x, '%'))) > 0 THEN 'percentage' ELSE 'number' END WHEN dat / n > 0.8 THEN 'date' WHEN boo / n > 0.8 THEN 'boolean' WHEN cod / n > 0.5 THEN 'code' ELSE 'text' END kind FROM s""")
 def column_types(read, spark):
     return spark.createDataFrame(_COLUMNS, "id int, v array<string>").select("id", tables.column_type(F.col("v")).alias("kind"))
@@ -732,10 +732,10 @@ def list_terms(read, spark):
     return terms.dictionary(spark).where("domain = 'general'").select("term", F.array_join("aliases", ",").alias("aliases"))
 
 
-_SECTION_ROWS = [(d, i, *x.split("|")) for d, t in generation.TEMPLATES.items() for i, x in enumerate(t.split("\n"))]
+_SECTION_ROWS = [(d, i, *row) for d, t in generation.TEMPLATES.items() for i, row in enumerate(t)]
 
 
-@query(f"SELECT doc_type, pos, title, description, len(string_split(topics, ','))::INT n_topics, words::INT words FROM {_values(_SECTION_ROWS, 'doc_type, pos, title, description, topics, words')}")
+@query(f"SELECT doc_type, pos, title, description, len(topics)::INT n_topics, words::INT words FROM {_values(_SECTION_ROWS, 'doc_type, pos, title, description, topics, words')}")
 def templates(read, spark):
     return generation.templates(spark).select("doc_type", "pos", "title", "description", F.size("topics").alias("n_topics"), "words")
 
