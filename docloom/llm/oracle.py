@@ -95,14 +95,15 @@ f AS (SELECT page_id, url, day, count(pattern) AS n_active, max(CASE WHEN patter
 SELECT page_id, url, day, n_active, best.pattern AS pattern, best.list AS list, coalesce(best.list = 'block', false) AS blocked FROM f
 """
 
-#: Targets by filling sources in the order of full / weight: the level is the first that leaves the next source short of full.
+#: Targets by filling sources in the order of full / weight: the level rises while the next source is filled and falls after,
+#: so it is the largest of the levels.
 MIX = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
 f AS (SELECT *, 2.0::DOUBLE * source_size AS most, 1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE AS total FROM s),
 c AS (SELECT most, weight, (total - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
       FROM f WINDOW before AS (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(most, weight * coalesce((SELECT min(level) FROM c WHERE level * weight < most), 0)) AS target FROM f),
+t AS (SELECT source, source_size, least(most, weight * coalesce((SELECT max(level) FROM c), 0)) AS target FROM f),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
              row_number() OVER (PARTITION BY d.source ORDER BY d.size, md5('17:' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id) AS n,
              ('0x' || substr(md5('18' || coalesce(':' || d.source, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shift
