@@ -2,8 +2,9 @@
 
 Targets: sources in code point order, null last, weigh 5, 2, 1 in turn and share ``budget`` times all words by weight;
 no target goes beyond ``most`` times its source, and what is over is shared again by weight.  The end of this is the one
-level at which targets min(most * source, level * weight) sum to the budget; it is approached from below by sums over
-the table of sources, and rounds go on until no source is newly full.
+level at which targets min(most * source, level * weight) sum to the budget.  With the sources in the order of their
+level when full, prefix sums give the level that is left once all sources before are full; it rises while the next
+source is filled and falls after, so the largest is the level, found in one pass however many sources there are.
 
 Sampling: every document of a source is expected rate = target / source_size times.  With documents in the order
 (size, MD5, doc_id), the prefix sum after the i-th is rate * i, and one random offset of the source is added to it;
@@ -31,16 +32,13 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET,
     """(source, source_size, target) from (source, source_size)."""
     placed = ranked(sizes.withColumn("last", F.col("source").isNull()), [], ["last", "source"]).drop("last")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    table = cut(placed.withColumn("weight", weight))
-    total = (table.agg(F.sum("source_size")).first()[0] or 0) * budget
-    level, full = 0.0, F.lit(most) * F.col("source_size")
-    while True:
-        over = full <= F.lit(level) * F.col("weight")
-        held, free = table.agg(F.sum(F.when(over, full).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
-        if not free or (risen := (total - held) / free) <= level:
-            break
-        level = risen
-    return table.select("source", "source_size", F.least(full, F.lit(level) * F.col("weight")).alias("target"))
+    full = F.lit(float(most)) * F.col("source_size")
+    placed = cut(placed.withColumn("weight", weight).withColumn("full", full).withColumn("by", F.col("full") / F.col("weight")).drop("rank"))
+    words, weights_sum = placed.agg(F.sum("source_size"), F.sum("weight")).first()
+    upto = ranked(placed.withColumn("last", F.col("source").isNull()), [], ["by", "last", "source"], sums={"full_upto": "full", "weight_upto": "weight"})
+    rest = (words or 0) * budget - (F.col("full_upto") - F.col("full"))
+    level = upto.agg(F.max(rest / (F.lit(weights_sum or 0.0) - (F.col("weight_upto") - F.col("weight"))))).first()[0] or 0.0
+    return placed.select("source", "source_size", F.least("full", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
