@@ -7,7 +7,8 @@ a revisit.  Every task gathers records up to ``archive_bytes``, trains a diction
 then renames it.  Names of files are returned as rows and written as a table, the manifest: what a lost attempt left
 behind is in no manifest, so it is never read.
 
-Reading.  Files of the manifest are dealt to tasks, and each is decompressed record by record.
+Reading.  Files of the manifest are dealt evenly to tasks, as many as the session's partitions or the files if fewer, and
+each is decompressed record by record.  A file that the manifest lists twice (two tasks had equal records) is read twice.
 
 Defined cases: a null payload is empty; a null or multi-line URL is written without it or with its line ends replaced;
 of equal payloads all rows with the smallest page_id are responses, so repeated rows are too; null page_ids revisit the
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, shared_folder
+from docloom.llm.common import cut, partitions, shared_folder
 
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 32 << 10
@@ -165,5 +166,6 @@ _READ = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": p
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """Every record of the manifest's archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
-    names = manifest.select("name").distinct()
+    files = manifest.count()
+    names = manifest.select("name").repartition(max(1, min(files, 4 * partitions(spark))))
     return names.mapInArrow(_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
