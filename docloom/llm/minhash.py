@@ -8,8 +8,8 @@ set is filled, and equal coordinates estimate Jaccard similarity with concentrat
 Flow
 1. One Python pass over the texts: shingle set, its size, a 128-bit digest of the set and the band keys.
 2. Documents of one set form a class (pre-aggregated on the map side); from here on only classes are dealt with.
-3. Sets of the classes that share a bucket with others are made from the texts, found through a bitmap of hashed ids
-   that has a fixed size: where it fills up, more sets than needed are made and dropped by a join.
+3. Sets of the classes that share a bucket with others are made from the texts.  Their rows are found through a bitmap of
+   hashed ids that has a fixed size, and where there are too many ids for that by a join of the texts with the ids.
 4. First, each bucket compares its members with the one that shares most buckets with others.  Members of buckets that
    are then one component are done.  The others are few, and all links among them are found by an exact set join with
    prefixes of rare elements: elements that no other set has rule pairs out without making them, and no cap decides.
@@ -39,8 +39,8 @@ WIDTH = 5
 ROWS = 5
 #: A pair at the threshold shares no band with this probability at most.
 MISS = 1e-7
-#: Bits of the bitmap of ids whose sets are wanted (1 MB, whatever the input).
-BITS = 1 << 23
+#: Bits of the bitmap of ids whose sets are wanted (1 MB, whatever the input), and the most ids it is used for.
+BITS, FEW = 1 << 23, 1 << 21
 #: Bytes from which a text's words are read one by one, and elements that a sketch takes at once.
 LONG, BLOCK = 1 << 19, 1 << 16
 
@@ -122,20 +122,21 @@ def _sketched(bands: int, rows: int, width: int):
     return run
 
 
-def _sets(width: int, bitmap: dict):
-    """Sets of the rows (hash, text) whose hash is in the bitmap."""
-    fields = {number: np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little") for number, data in bitmap.items()}
+def _sets(width: int, bitmap: dict | None):
+    """Sets of the rows (hash, text) whose hash is in the bitmap, or of all rows without one."""
 
     def run(batches):
         for batch in batches:
             keys, sets = [], []
             for place, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                bits = fields.get(place // 32768 + 1)
-                if bits is not None and bits[place % 32768]:
-                    s = shingles(text.as_py(), width)
-                    if len(s):
-                        keys.append(digest(s))
-                        sets.append(s.view(np.int64))
+                if bitmap is not None:
+                    bits = bitmap.get(place // 32768 + 1)
+                    if bits is None or not bits[place % 32768 >> 3] >> (place & 7) & 1:
+                        continue
+                s = shingles(text.as_py(), width)
+                if len(s):
+                    keys.append(digest(s))
+                    sets.append(s.view(np.int64))
                 if len(sets) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "elements"])
                     keys, sets = [], []
@@ -188,16 +189,17 @@ def grouped(docs: DataFrame, percent: int = 80, width: int = WIDTH, rows: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "component")
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, elements) of the classes ``wanted`` (node, key, doc_id)."""
-
-    def place(doc_id):
-        return F.pmod(F.xxhash64(doc_id), F.lit(BITS))
-
-    at = place(F.col("doc_id"))
-    bitmap = wanted.groupBy(F.bitmap_bucket_number(at + 1).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1)).alias("bits"))
-    held = {r["number"]: bytes(r["bits"]) for r in bitmap.collect()}
-    made = texts.select(at.alias("place"), "text").mapInArrow(_sets(width, held), "key binary, elements array<long>")
+def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, few: int = FEW) -> DataFrame:
+    """(node, elements) of the classes ``wanted`` (node, key, doc_id), read from the row of each that has its doc_id."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    wanted = cut(wanted)
+    if wanted.count() <= few:
+        bitmap = wanted.groupBy(F.bitmap_bucket_number(place + 1).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
+        held, rows = {r["number"]: bytes(r["bits"]) for r in bitmap.collect()}, texts
+    else:  # rows without an id share one hash of it
+        ids = wanted.select(F.xxhash64("doc_id").alias("place")).distinct()
+        held, rows = None, texts.withColumn("place", F.xxhash64("doc_id")).join(ids, "place", "left_semi")
+    made = rows.select(place.alias("place"), "text").mapInArrow(_sets(width, held), "key binary, elements array<long>")
     return cut(made.join(wanted.select("key", "node"), "key").groupBy("key", "node").agg(F.first("elements").alias("elements")).select("node", "elements"))
 
 
@@ -229,16 +231,19 @@ def _by_prefix(sets: DataFrame, percent: int) -> DataFrame:
     With each set's elements in the order (frequency, element), linked sets share an element among their first
     size - ceil(size * percent / 100) + 1, and at the first that they share enough elements must follow in both.  A pair
     is made at that element alone.  At each element, sets of its largest component meet only those of others.
+    Counts are written before they are joined, so that joins read exchanges of their own, whose large partitions (of a
+    frequent element) are split.
     """
     each = sets.select("node", F.explode("elements").alias("element"))
-    often = each.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
-    sorted_sets = each.join(often, "element").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("e"))
+    often = cut(each.groupBy("element").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
+    counted = each.join(often, "element", "left").select("node", F.coalesce("often", F.lit(1)).alias("n"), "element")
+    sorted_sets = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("e"))
     length = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1
     heads = cut(sorted_sets.join(sets.select("node", "size", "comp"), "node").select("node", "size", "comp", F.slice("e", F.lit(1), length).alias("e")))
     places = heads.select("node", "size", "comp", F.transform("e", lambda x: x["element"]).alias("head"), F.posexplode("e").alias("at", "x")).where("x.n > 1")
     places = places.select("node", "size", "comp", "head", "at", F.col("x.element").alias("element"))
     most = places.groupBy("element", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("element").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    met = places.join(most.select("element", "main"), "element")
+    met = cut(places.join(cut(most.select("element", "main")), "element"))
     one = met.where("comp <> main").select("element", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("comp").alias("cx"), F.col("head").alias("hx"), F.col("at").alias("px"))
     two = met.select("element", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("comp").alias("cy"), F.col("head").alias("hy"), F.col("at").alias("py"), (F.col("comp") == F.col("main")).alias("in_main"))
     left = F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py")).cast("long")
