@@ -9,8 +9,8 @@ their ids, and the ``WORDS`` words of each category that separate its documents
 and those words' presence reach the driver.  The table's labels are quality and toxic, so the default chain is low
 quality, then toxic; any 0/1 columns of a labels table may form a chain.
 
-Defined cases: a null or empty text has no words; of repeated labels of a document the largest counts; documents with
-a null label are not learned from; a category with one class in the sample is predicted by its share; repeated rows
+Defined cases: a null or empty text has no words; of repeated labels of a document the largest counts, of several texts
+of one doc_id the model learns from the smallest; documents with a null label are not learned from; a category with one class in the sample is predicted by its share; repeated rows
 keep their count, other columns are ignored.
 """
 
@@ -34,7 +34,7 @@ THRESHOLD = 0.4
 
 def words_of(text: str | None) -> set:
     """The distinct lower-case words (runs of letters), and their beginnings marked with a star."""
-    whole = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    whole = {m[0] for m in re.finditer(r"[^\W\d_]+", (text or "").lower())}
     return whole.union(*[{w[:n] + "*" for w in whole if len(w) >= n} for n in STEMS])
 
 
@@ -85,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, sample: int
     known = labels.where("doc_id is not null").dropna(subset=list(chain)).groupBy("doc_id").agg(*[F.max(F.col(c).cast("double")).alias(c) for c in chain])
     drawn = cut(known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample))
     # the sample's size is bounded, so its ids may be broadcast: texts are not shuffled
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = cut(texts.mapInArrow(_worded, f"doc_id {kind}, words array<string>").join(drawn, "doc_id"))
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in chain]).first()
