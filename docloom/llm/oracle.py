@@ -6,7 +6,7 @@ spans from whole texts.
 
 from __future__ import annotations
 
-from docloom.llm.urlfilter import HOST
+from docloom.llm.urlfilter import ADDRESS, HOST
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,16 +82,16 @@ def _number(text: str, start: int) -> str:
 
 #: Each list has one interval of a pattern, as the query's made-up events have one addition and one removal.
 URLS = rf"""
-WITH c AS (SELECT DISTINCT page_id, url, {_number("page_id::VARCHAR", 1)} % 365 AS day, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host FROM pages),
+WITH c AS (SELECT row_number() OVER () AS row, page_id, url, {_number("page_id::VARCHAR", 1)} % 365 AS day, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host FROM pages),
 h AS (SELECT DISTINCT host FROM c WHERE host IS NOT NULL),
 p AS (SELECT DISTINCT regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS parent FROM h),
 e AS (SELECT 'block' AS list, host AS pattern, {_number("host", 5)} % 300 AS since, {_number("host", 5)} % 300 + {_number("host", 9)} % 200 + 1 AS until FROM h WHERE {_number("host", 1)} % 3 = 0
       UNION ALL SELECT 'allow', parent, {_number("parent", 17)} % 300, {_number("parent", 17)} % 300 + {_number("parent", 21)} % 200 + 1 FROM p WHERE parent <> '' AND {_number("parent", 13)} % 10 = 0),
-l AS (SELECT page_id, url, day, string_split(host, '.') AS labels FROM c WHERE host IS NOT NULL),
-k AS (SELECT page_id, url, day, url AS key FROM c
-      UNION ALL SELECT page_id, url, day, array_to_string(labels[i:], '.') FROM (SELECT *, unnest(range(1, greatest(len(labels), 2))) AS i FROM l)),
+l AS (SELECT row, page_id, url, day, string_split(host, '.') AS labels, regexp_matches(host, '{ADDRESS}') AS address FROM c WHERE host IS NOT NULL),
+k AS (SELECT row, page_id, url, day, url AS key FROM c
+      UNION ALL SELECT row, page_id, url, day, array_to_string(labels[i:], '.') FROM (SELECT *, unnest(range(1, CASE WHEN address THEN 2 ELSE greatest(len(labels), 2) END)) AS i FROM l)),
 f AS (SELECT page_id, url, day, count(pattern) AS n_active, max(CASE WHEN pattern IS NOT NULL THEN {{'size': length(pattern), 'allows': list = 'allow', 'pattern': pattern, 'list': list}} END) AS best
-      FROM k LEFT JOIN e ON key = pattern AND day >= since AND day < until GROUP BY page_id, url, day)
+      FROM k LEFT JOIN e ON key = pattern AND day >= since AND day < until GROUP BY row, page_id, url, day)
 SELECT page_id, url, day, n_active, best.pattern AS pattern, best.list AS list, coalesce(best.list = 'block', false) AS blocked FROM f
 """
 
