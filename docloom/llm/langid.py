@@ -47,7 +47,9 @@ def grams(text: str | None, letters):
     spaced = np.concatenate(([0], np.where(is_letter, points, 0), [0])).astype(np.uint64)
     held = (spaced != 0) | np.append(True, spaced[:-1] != 0)
     s = spaced[held]
-    one, two = s[s != 0], s[:-1] | (s[1:] << np.uint64(21))
+    one = s[s != 0]
+    s[s == 0] = 1  # a space is part of an n-gram's code, and no letter has code point 1
+    two = s[:-1] | (s[1:] << np.uint64(21))
     three = two[:-1] | (s[2:] << np.uint64(42))
     return np.unique(np.concatenate((one, two, three)), return_counts=True)
 
