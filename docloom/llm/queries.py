@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, maxscore, minhash, mixing, pieces, secrets, syncmers, toxicity, urlfilter, warc
+from docloom.llm import langid, maxscore, minhash, mixing, pieces, pipeline, secrets, syncmers, toxicity, urlfilter, warc
 from docloom.llm.oracle import oracle_sql as oracle_sql
 
 
@@ -93,7 +93,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     own = (op1_closed_syncmers, op2_warc, op3_source_mix, op4_minhash_dedup, op5_toxicity, op6_secret_scan, op7_maxscore, op8_pieces, op9_url_filter, op10_language_id)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}

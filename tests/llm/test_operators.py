@@ -4,6 +4,8 @@ import base64
 import hashlib
 import math
 import re
+import time
+import zlib
 
 import duckdb
 import numpy as np
@@ -64,6 +66,17 @@ def test_syncmers_equal_a_plain_scan(spark):
     assert [a["position"] for a in out["a"]] == expected
 
 
+def brute_units(text, far=16):
+    """Runs cut into four code points, in single steps while the run goes on for more than ``far``."""
+    out = []
+    for run in re.findall(r"[^\x20\x09-\x0D]+", text):
+        i = 0
+        while i < len(run):
+            out.append(run[i : i + 4])
+            i += 1 if len(run) - i > far else len(out[-1])
+    return out
+
+
 def brute_fingerprint(text, k=9, s=2):
     """Closed syncmers by a plain loop over units; hashes are xxHash64 with seed 42, folded over several values."""
 
@@ -76,7 +89,7 @@ def brute_fingerprint(text, k=9, s=2):
     def signed(h):
         return h - (1 << 64) if h >> 63 else h
 
-    units = [xxhash.xxh64_intdigest(u.encode(), 42) for u in re.findall(r"[^\x20\x09-\x0D]{1,4}", text)]
+    units = [xxhash.xxh64_intdigest(u.encode(), 42) for u in brute_units(text)]
     if len(units) < k:
         return [folded(units) >> 32] if units else []
     inner, width, out = [signed(folded(units[i : i + s])) for i in range(len(units) - s + 1)], k - s + 1, []
@@ -99,6 +112,30 @@ def test_fingerprints_equal_brute_force(request, table):
     assert sorted((str(r[0]), *r[1:]) for r in out) == sorted(expected)
 
 
+def test_positions_match(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(900)]
+    shared, far = " ".join(words[:300]), " ".join(words[300:600])
+    table = spark.createDataFrame([(1, shared + " " + far), (2, shared + " " + " ".join(words[600:])), (3, "x y " + shared), (4, " ".join(words[600:]))], "doc_id long, text string")
+    found = {(r["doc_id"], r["other_id"], r["shift"]): r["n"] for r in syncmers.matched(table, table).collect()}
+    most = {p: max((n, s) for (a, b, s), n in found.items() if (a, b) == p) for p in ((1, 2), (1, 3), (3, 1))}
+    assert most[1, 2][1] == 0 and most[1, 3][1] == 2 and most[3, 1][1] == -2 and most[1, 2][0] > 50 and (1, 4, 0) not in found
+    anchors = {r["doc_id"]: r["p"] for r in table.select("doc_id", syncmers.placed(syncmers.anchors(F.col("text"))).alias("p")).collect()}
+    own = table.select("doc_id", syncmers.placed(syncmers.anchors(F.col("text"))).alias("p"))
+    out = own.alias("a").join(own.withColumnRenamed("doc_id", "other").alias("b"), F.lit(True)).select("doc_id", "other", syncmers.aligned(F.col("a.p"), F.col("b.p")).alias("x")).collect()
+    assert all(r["x"] == len({*anchors[r["doc_id"]]} & {*anchors[r["other"]]}) / len(anchors[r["doc_id"]]) for r in out)
+
+
+def test_long_runs_do_not_depend_on_offsets(spark):
+    rng = np.random.default_rng(5)
+    data = "".join(rng.choice(list("ABCDEFGHabcdefgh0123456789+/"), 4000))
+    pairs = [(data, data[:1000] + "x" * n + data[1000:]) for n in (1, 2, 3, 5)] + [(data, "zz" + data), ("k " + data, "long " + data)]
+    near = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(syncmers.likeness(syncmers.codes(F.col("a")), syncmers.codes(F.col("b")))).collect()]
+    assert min(near) > 0.97
+    units = spark.createDataFrame([("a" * 16 + " " + "0123456789abcdefgh", )], "t string").select(F.regexp_extract_all("t", F.lit(syncmers.UNIT), F.lit(1))).first()[0]
+    assert units == brute_units("a" * 16 + " " + "0123456789abcdefgh") and units[:4] == ["aaaa"] * 4
+
+
 @pytest.mark.parametrize("first, last", [(0x4E00, 0x9FFF), (0x3041, 0x30FE), (0x0E01, 0x0E2E), (0x20000, 0x2A6D6)])
 def test_fingerprints_of_unspaced_texts_do_not_depend_on_offsets(spark, first, last):
     rng = np.random.default_rng(3)
@@ -311,11 +348,70 @@ def test_samples_follow_the_lattice():
     assert all(abs(counts.get(p, 0) / 4000 - math.exp(w) / total) < 0.03 for p, w in paths.items())
 
 
+def plain_segmentation(lattice, text, key):
+    """Forward filtering over the whole marked text by a plain loop, and backward sampling with the same draws."""
+    marked = pieces.SPACE + text.replace(pieces.SPACE, pieces.LITERAL).replace(" ", pieces.SPACE) if text else ""
+    unit_of, n = [], 0
+    for unit in pieces.UNITS.findall(marked):
+        unit_of += [(n, n + len(unit))] * len(unit)
+        n += len(unit)
+    arcs, sums = [[] for _ in marked], [0.0] * (n + 1)  # logarithms, as products of many shares underflow
+    for j in range(n):
+        begin = unit_of[j][0]
+        for span in range(1, min(lattice.longest, j + 1 - begin) + 1):
+            if (hit := lattice.arcs_of.get(marked[j + 1 - span : j + 1])) is not None:
+                arcs[j].append((span, hit[1], (hit[0],)))
+        if not any(a[0] == 1 for a in arcs[j]):
+            raw = lattice._raw(ord(marked[j]))
+            arcs[j].insert(0, (1, lattice.rare * len(raw), raw))
+        parts = [(0.0 if j + 1 - s == begin else sums[j + 1 - s]) + w for s, w, _ in arcs[j]]
+        most = max(parts)
+        sums[j + 1] = most + math.log(sum(math.exp(p - most) for p in parts))
+    out, place = [], n
+    while place:
+        begin, u = unit_of[place - 1][0], float(pieces._draw(np.uint64(key), np.array([place]))[0])
+        for span, w, ids in arcs[place - 1]:
+            u -= math.exp((0.0 if place - span == begin else sums[place - span]) + w - sums[place])
+            if u < 0:
+                break
+        out.append(ids)
+        place -= span
+    return [i for ids in out[::-1] for i in ids]
+
+
+def test_pieces_equal_a_plain_pass(monkeypatch, docs):
+    monkeypatch.setattr(pieces, "STRIDE", 100)
+    monkeypatch.setattr(pieces, "CHUNK", 5000)
+    lattice, rng = pieces.Lattice(pieces.vocabulary()), np.random.default_rng(8)
+    words = [w for r in docs.orderBy("doc_id").limit(20).collect() for w in (r["text"] or "").split()]
+    long = "".join(rng.choice(words, 400))
+    texts = [" ".join(words[:3000]), long, "a  b " + long[:700] + "   " + long[700:1500] + " c", "   ", " " * 1300, "x" * 511, "y" * 512, "数据库▁管理" * 150 + " é𝄞 " + "Ω" * 600, "", "▁ ▁"]
+    keys = [pieces.row_key(i) for i in range(len(texts))]
+    ids, ends = lattice.encode(texts, keys)
+    for text, key, a, b in zip(texts, keys, np.append(0, ends), ends):
+        assert ids[a:b].tolist() == plain_segmentation(lattice, text, key)
+        assert lattice.same(ids[a:b], text) and not lattice.same(ids[a:b], text + " ")
+    # the same pieces whatever stands before in the task
+    again, cuts = lattice.encode(texts[::-1], keys[::-1])
+    assert [again[a:b].tolist() for a, b in zip(np.append(0, cuts), cuts)] == [ids[a:b].tolist() for a, b in zip(np.append(0, ends), ends)][::-1]
+
+
+def test_a_long_text_without_spaces_is_segmented_in_time():
+    lattice, text = pieces.Lattice(pieces.vocabulary()), "".join(np.random.default_rng(1).choice(list("0123456789abcdef"), 5_000_000))
+    began = time.time()
+    ids, _ = lattice.encode([text], [1])
+    assert lattice.same(ids, text) and time.time() - began < 60
+
+
 def test_url_filter(spark):
-    events = spark.createDataFrame([("block", "a.com", "add", 10), ("block", "a.com", "remove", 20), ("block", "a.com", "add", 30), ("allow", "x.a.com", "add", 12), ("block", "http://b.org/p", "add", 0), ("block", None, "add", 0)], "list string, pattern string, action string, day int")
-    asked = [(1, "http://a.com/", 9), (2, "http://A.com:80/", 10), (3, "http://y.a.com", 19), (4, "http://a.com", 20), (5, "http://a.com", 35), (6, "http://x.a.com", 13), (7, "http://x.a.com", 11), (8, "http://b.org/p", 5), (9, "http://b.org/q", 5), (10, None, 5), (11, "http://a.com", None), (1, "http://a.com/", 9)]
-    out = {r["page_id"]: r["blocked"] for r in urlfilter.judged(spark.createDataFrame(asked, "page_id long, url string, day int"), events).collect()}
-    assert out == {1: False, 2: True, 3: True, 4: False, 5: True, 6: False, 7: True, 8: True, 9: False, 10: False, 11: False}
+    events = spark.createDataFrame([("block", "a.com", "add", 10), ("block", "a.com", "remove", 20), ("block", "a.com", "add", 30), ("allow", "x.a.com", "add", 12), ("block", "http://b.org/p", "add", 0), ("block", None, "add", 0), ("block", "0.1", "add", 0), ("block", "0.0.1", "add", 0), ("block", "localhost", "add", 0), ("block", "[::1]", "add", 0)], "list string, pattern string, action string, day int")
+    asked = [(13, "http://a.com/", 12), (13, "http://a.com/", 12), (14, "http://10.0.0.1/x", 5), (15, "http://localhost", 5), (16, "http://[::1]:80/", 5), (1, "http://a.com/", 9), (2, "http://A.com:80/", 10), (3, "http://y.a.com", 19), (4, "http://a.com", 20), (5, "http://a.com", 35), (6, "http://x.a.com", 13), (7, "http://x.a.com", 11), (8, "http://b.org/p", 5), (9, "http://b.org/q", 5), (10, None, 5), (11, "http://a.com", None), (1, "http://a.com/", 9)]
+    table = spark.createDataFrame([(*a, "clash", 1) for a in asked], "page_id long, url string, day int, rows string, copy int")
+    found = urlfilter.judged(table, events).collect()
+    assert sorted(r["page_id"] for r in found) == sorted(a[0] for a in asked)  # repeated rows stay
+    assert urlfilter.judged(table.limit(0), events).count() == 0 and urlfilter.judged(table, events.limit(0)).where("blocked").isEmpty()
+    out = {r["page_id"]: r["blocked"] for r in found}
+    assert out == {13: True, 14: False, 15: True, 16: True, 1: False, 2: True, 3: True, 4: False, 5: True, 6: False, 7: True, 8: True, 9: False, 10: False, 11: False}
 
 
 def test_language(spark, docs, edges, empty):
@@ -339,6 +435,36 @@ def test_every_language_is_learned(spark):
     assert len(out) > 20 and all(lang == f"l{i}" for i, lang in out.items())
 
 
+def plain_profile(texts):
+    counts = {}
+    for text in texts:
+        spaced = re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0].isalpha() else " ", " " + text.lower() + " ", flags=re.DOTALL)
+        spaced = re.sub(" +", " ", spaced)
+        for n in (1, 2, 3):
+            for i in range(len(spaced) - n + 1):
+                if (gram := spaced[i : i + n]) != " ":
+                    counts[gram] = counts.get(gram, 0) + 1
+    # a gram's code has its first code point lowest, a space as 1
+    code = {g: sum((1 if c == " " else ord(c)) << (21 * i) for i, c in enumerate(g)) for g in counts}
+    return sorted(counts, key=lambda g: (-counts[g], code[g]))[: langid.TOP]
+
+
+def test_language_equals_plain_loops(spark, docs):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    learned = {}
+    for d, t, lang in rows:
+        if zlib.crc32(str(d).encode()) % 4 != 2 and lang is not None and t is not None:
+            learned.setdefault(lang, []).append(t)
+    profiles = {lang: {g: i for i, g in enumerate(plain_profile(texts))} for lang, texts in learned.items()}
+    expected = []
+    for d, t, _ in rows:
+        own = plain_profile([t]) if t is not None else []
+        found = max(((1 - sum(min(abs(p[g] - i), langid.TOP) if g in p else langid.TOP for i, g in enumerate(own)) / len(own) / langid.TOP, -k, lang) for k, (lang, p) in enumerate(sorted(profiles.items()))), default=None) if own else (0.0, 0, "und")
+        expected.append((d, zlib.crc32(str(d).encode()) % 4 == 2, found[2], round(found[0], 9)))
+    out = [(r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in queries.op10_language_id(spark, SF).collect()]
+    assert sorted(out) == sorted(expected)
+
+
 def stage(name):
     return dict(corpus_pipeline.STAGES)[name]
 
