@@ -11,6 +11,11 @@ HEADING = (r"^第[一二三四五六七八九十\d]+章\s+", r"^第[一二三四
 #: Levels of headings by pattern, and by least font size.
 LEVELS = ((r"^第[一二三四五六七八九十\d]+章", 1), (r"^\d+\.\d+\.\d+\s+", 3), (r"^\d+\.\d+\s+", 2), (r"^\d+\.\s+", 1))
 SIZES, DEEPEST = ((18, 1), (16, 2), (14, 3)), 4
+#: Levels by text alone, where no font sizes are known.
+TEXT_LEVELS = (
+    (r"^第[一二三四五六七八九十\d]+章", 1), (r"^第[一二三四五六七八九十\d]+节", 2), (r"^\d+\.\d+\.\d+\.\d+\s+", 4), (r"^\d+\.\d+\.\d+\s+", 3),
+    (r"^\d+\.\d+\s+", 2), (r"^\d+\.\s+", 1), (r"^附录\s*[A-Z]?", 1),
+)
 KEYWORD = (r"\b[A-Z]{2,}\b", r"\b[a-z]+(?:[A-Z][a-z]+)+\b", r"\b[a-z]+(?:_[a-z]+)+\b", r"\bv?\d+\.\d+(?:\.\d+)?(?:-\w+)?\b", r"\b(?:0x[0-9A-Fa-f]+|ERROR_\w+|ERR_\w+)\b", r"(?:/[\w/]+|--?\w+)")
 
 
@@ -71,6 +76,30 @@ def heading_level(text: Column, font_size: Column) -> Column:
     return out
 
 
+def text_level(text: Column) -> Column:
+    """Level of a heading by its text alone; 0 for other texts."""
+    t, out = F.trim(text), F.lit(0)
+    for pattern, level in reversed(TEXT_LEVELS):
+        out = F.when(t.rlike(pattern), level).otherwise(out)
+    return out
+
+
+def prefix_sums(values: Column, bundle: int = 256) -> Column:
+    """array<bigint>: running sums of an array<int>; made in bundles, as appending to an array copies it."""
+    none = F.array().cast("array<bigint>")
+
+    def one(acc: Column, v: Column) -> Column:
+        at = acc["at"] + v
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    def part(acc: Column, i: Column) -> Column:
+        folded = F.aggregate(F.slice(values, i * bundle + 1, F.lit(bundle)), F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return let(folded, lambda f: F.struct(f["at"].alias("at"), F.concat(acc["out"], F.array(f["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(values) / bundle).cast("int")), start, part, lambda acc: F.flatten(acc["out"]))
+
+
 def keywords(text: Column) -> Column:
     """Distinct keywords of six families, sorted; letters of all scripts are parts of words, as in Python."""
     found = [F.regexp_extract_all(text, F.lit(f"(?U)({p})"), F.lit(1)) for p in KEYWORD]

@@ -35,22 +35,19 @@ def pack(items: Column, size: int, overlap: int, glue: str) -> Column:
             fits = a["go"] & (a["n"] + x["n"] <= overlap)
             return F.when(fits, F.struct(F.concat(F.array(x), a["l"]).alias("l"), (a["n"] + x["n"]).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(a["l"].alias("l"), a["n"].alias("n"), F.lit(False).alias("go")))
 
-        return F.aggregate(F.reverse(cur), start, back, lambda a: a["l"])
-
-    def total(cur: Column) -> Column:
-        return F.aggregate(cur, F.lit(0), lambda s, x: s + x["n"])
+        return F.aggregate(F.reverse(cur), start, back)
 
     def step(acc: Column, x: Column) -> Column:
         one = F.array(F.struct(x["t"].alias("t"), x["n"].alias("n")))
         held = F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(join(acc["cur"])))).otherwise(acc["done"])
-        over = (total(acc["cur"]) + x["n"] > size) & (F.size(acc["cur"]) > 0)
+        over = (acc["n"] + x["n"] > size) & (F.size(acc["cur"]) > 0)
         return (
-            F.when(x["s"], F.struct(F.concat(held, F.array(x["t"])).alias("done"), none.alias("cur")))
-            .when(over, F.struct(held.alias("done"), F.concat(tail(acc["cur"]), one).alias("cur")))
-            .otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["cur"], one).alias("cur")))
+            F.when(x["s"], F.struct(F.concat(held, F.array(x["t"])).alias("done"), none.alias("cur"), F.lit(0).alias("n")))
+            .when(over, T.let(tail(acc["cur"]), lambda t: F.struct(held.alias("done"), F.concat(t["l"], one).alias("cur"), (t["n"] + x["n"]).alias("n"))))
+            .otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["cur"], one).alias("cur"), (acc["n"] + x["n"]).alias("n")))
         )
 
-    zero = F.struct(F.array().cast("array<string>").alias("done"), none.alias("cur"))
+    zero = F.struct(F.array().cast("array<string>").alias("done"), none.alias("cur"), F.lit(0).alias("n"))
     return F.aggregate(rows, zero, step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(join(a["cur"])))).otherwise(a["done"]))
 
 
@@ -71,6 +68,25 @@ def children(parent_rows: DataFrame, size: int = CHILD, overlap: int = CHILD_OVE
     return rows.withColumn("chunk_id", T.short_id(F.col("doc_id").cast("string"), F.lit("0"), suffix)).withColumn("tokens", count_tokens(F.col("content")))
 
 
+def with_introduction(elements: DataFrame) -> DataFrame:
+    """Elements (doc_id, pos, page, kind, level, content) with the heading that each stands under.
+
+    Adds heading_pos (the last heading of level 1 or more at or before the element; -1 before the first), section_title
+    ("Introduction" there) and in_section (elements that are no heading of their own).
+    """
+    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    heads = (F.col("kind") == "heading") & (F.col("level") > 0)
+    last = F.last(F.when(heads, F.struct("pos", "content")), True).over(order)
+    return elements.withColumn("_h", last).select(*elements.columns, F.coalesce("_h.pos", F.lit(-1)).alias("heading_pos"), F.coalesce("_h.content", F.lit("Introduction")).alias("section_title"), (~heads).alias("in_section"))
+
+
+def section_text(elements: DataFrame) -> DataFrame:
+    """(doc_id, heading_pos, section_title, page_start, n_elements, content): the text of each section, its elements in order."""
+    rows = with_introduction(elements)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("in_section"), F.struct("pos", "content")))), lambda s: s["content"]), "\n\n")
+    return rows.groupBy("doc_id", "heading_pos", "section_title").agg(F.min("page").alias("page_start"), F.count_if("in_section").alias("n_elements"), body.alias("content"))
+
+
 def section_paths(headings: DataFrame, deepest: int = 6) -> DataFrame:
     """section_path, parent_pos and page_end of headings (doc_id, pos, level, page) by running windows in each document."""
     order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -12,6 +12,26 @@ def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.join(rows.select(key), key, "left_anti").unionByName(rows)
 
 
+def stamped(table: DataFrame, rows: DataFrame, key: str, now: Column) -> DataFrame:
+    """``upsert`` into a table with created_at and updated_at: a row of known key keeps when it was created."""
+    known = table.select(key, F.col("created_at").alias("_since"))
+    fresh = rows.join(known, key, "left").withColumn("created_at", F.coalesce("_since", now)).withColumn("updated_at", now).drop("_since")
+    return upsert(table, fresh.select(*table.columns), key)
+
+
+def found(table: DataFrame, key: str, value) -> DataFrame:
+    """The row of one key, or none."""
+    return table.where(F.col(key) == value).limit(1)
+
+
+def chunk_info(chunks: DataFrame) -> DataFrame:
+    """doc_id, parents, children, orphans and tokens of (chunk_id, doc_id, parent_id, tokens): orphans name a parent that is not there."""
+    above = chunks.select(F.col("chunk_id").alias("parent_id"), F.lit(True).alias("known"))
+    rows = chunks.join(above, "parent_id", "left")
+    child = F.col("parent_id").isNotNull()
+    return rows.groupBy("doc_id").agg(F.count_if(~child).alias("parents"), F.count_if(child).alias("children"), F.count_if(child & F.col("known").isNull()).alias("orphans"), F.sum("tokens").alias("tokens"))
+
+
 def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(key).orderBy(order.desc())
@@ -27,11 +47,20 @@ def delete(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return table.join(ids.select(key), key, "left_anti")
 
 
+def condition(where: dict) -> Column:
+    """All of a filter's conditions: a list means any of its values, a dictionary of $gt, $gte, $lt, $lte, $ne and $eq a range."""
+    tests = {"$gt": Column.__gt__, "$gte": Column.__ge__, "$lt": Column.__lt__, "$lte": Column.__le__, "$ne": Column.__ne__, "$eq": Column.__eq__}
+    out = F.lit(True)
+    for name, wanted in where.items():
+        c = F.col(name)
+        for own in [tests[op](c, v) for op, v in wanted.items()] if isinstance(wanted, dict) else [c.isin(wanted) if isinstance(wanted, list) else c == wanted]:
+            out = out & own
+    return out
+
+
 def listed(table: DataFrame, where: dict, newest: Column, key: str, limit: int) -> DataFrame:
     """Rows that fulfil all conditions (a list means any of its values), newest first, up to the limit."""
-    for c, v in where.items():
-        table = table.where(F.col(c).isin(v) if isinstance(v, list) else F.col(c) == v)
-    return table.orderBy(newest.desc(), key).limit(limit)
+    return table.where(condition(where)).orderBy(newest.desc(), key).limit(limit)
 
 
 def find_term(terms: DataFrame, wanted: str) -> DataFrame:

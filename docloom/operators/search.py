@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
+from docloom.sources.shared import held, shared_folder
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 SHARD, BLOCK = 4096, 256
+#: Rows up to which a side of a join may be broadcast.
+FEW = 1 << 18
 
 
 def best(rows: DataFrame, k: int, score: str = "score", query: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -22,33 +26,144 @@ def best(rows: DataFrame, k: int, score: str = "score", query: str = "query_id",
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, dl) from (doc_id, text)."""
-    toks = docs.select("doc_id", T.tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    return toks.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+def term_counts(tokens: Column) -> Column:
+    """array<struct<term string, tf int>>: the distinct tokens in order, and how often each occurs.
+
+    Sorted tokens stand in runs, and a term's count is where the next run begins less where its own does.
+    """
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        return T.let(begins, lambda b: F.zip_with(b, F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(n + 1)), lambda at, after: F.struct(F.element_at(s, at).alias("term"), (after - at).alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, T.let(F.sort_array(tokens), runs)).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+
+
+def postings(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf, dl) from (doc_id, text), counted in each row without a shuffle; of the terms in ``asked`` only."""
+    toks = docs.select("doc_id", T.tokens(F.col("text")).alias("t"))
+    each = toks.select("doc_id", F.size("t").alias("dl"), F.explode(term_counts(F.col("t"))).alias("p")).select("doc_id", "p.term", F.col("p.tf").cast("long").alias("tf"), "dl")
+    return each if asked is None else each.join(asked, "term", "left_semi")
 
 
 def term_stats(post: DataFrame) -> DataFrame:
+    """(term, df, cf) of postings."""
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, keep: Column | None = None) -> DataFrame:
-    """query_id, doc_id, score and rank; statistics are of all docs, ``keep`` filters candidates before ranking.
+def corpus_stats(docs: DataFrame) -> DataFrame:
+    """(term, df, words): df of each term; the row without a term has the number of documents and of all their words.
+
+    One pass over the texts; counts are made on the map side first, so a term that is in every document costs no more.
+    """
+    toks = docs.select(T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    each = toks.select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl")).otherwise(0)).alias("words"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of (query_id, text)."""
+    return queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def small(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """``rows`` marked for broadcast if they are counted to be few, else as they are, for the optimizer to join."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def scored(post: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, score and rank from postings, corpus statistics and (query_id, text).
 
     Terms of negative idf get EPSILON times the mean idf.  Only one row of totals goes to the driver.
     """
-    post = postings(docs)
-    n, avgdl = docs.select(F.size(T.tokens(F.coalesce("text", F.lit("")))).alias("dl")).agg(F.count(F.lit(1)), F.avg("dl")).first()
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    idf = term_stats(post).select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = idf.agg(F.avg("raw")).first()[0] or 0.0
-    idf = idf.join(asked.select("term").distinct(), "term", "left_semi").select("term", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    hits = post if keep is None else post.join(docs.where(keep).select("doc_id"), "doc_id", "left_semi")
-    scores = hits.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    totals = F.max(F.when(F.col("term").isNull(), F.struct("df", "words"))).alias("of")
+    n, words = (lambda r: (r["of"]["df"], r["of"]["words"]) if r["of"] else (0, 0))(stats.agg(totals).first())
+    raw = stats.where("term is not null").select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    asked = query_terms(queries)
+    weights = raw.join(asked, "term").select("term", "query_id", (F.col("qtf") * F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))).alias("w"))
+    # queries are grouped by term, so that a posting meets its term once
+    weights = small(weights.groupBy("term").agg(F.collect_list(F.struct("query_id", "w")).alias("asked")))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(words / max(n, 1))))
+    met = post.join(weights, "term").select("doc_id", tf.alias("tf"), F.explode("asked").alias("q"))
+    scores = met.groupBy(F.col("q.query_id").alias("query_id"), "doc_id").agg(F.round(F.sum(F.col("tf") * F.col("q.w")), 6).alias("score"))
     return best(scores.where("score > 0"), k)
 
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, keep: Column | None = None) -> DataFrame:
+    """query_id, doc_id, score and rank; statistics are of all docs, ``keep`` filters candidates before ranking.
+
+    Texts are read twice, for the statistics and for the postings of asked terms.
+    """
+    stats = held(corpus_stats(docs))
+    terms = small(query_terms(queries).select("term").distinct())
+    return scored(postings(docs if keep is None else docs.where(keep), terms), stats, queries, k)
+
+
+class Index:
+    """Postings and statistics of a corpus in a folder that all executors share.
+
+    Parts are added under a name: adding one again replaces it, so a retried load changes nothing.  Files hold whole
+    documents, evenly dealt, so that scores are summed where postings are read; they are sorted by term, so that a search
+    reads the row groups of asked terms.  Deleted ids are a part of their own.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(f"{schema}, part string").parquet(f"{self.folder}/{name}").drop("part")
+
+    def add(self, docs: DataFrame, part: str = "0") -> None:
+        """Index ``docs`` (doc_id, text) as a part."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        postings(docs).repartition(n, "doc_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.folder}/postings/part={part}")
+        corpus_stats(docs).write.mode("overwrite").parquet(f"{self.folder}/stats/part={part}")
+
+    def delete(self, docs: DataFrame, part: str = "0") -> None:
+        """Take documents (doc_id, text) out of results and statistics."""
+        docs.select("doc_id").write.mode("overwrite").parquet(f"{self.folder}/gone/part={part}")
+        corpus_stats(docs).select("term", (-F.col("df")).alias("df"), (-F.col("words")).alias("words")).write.mode("overwrite").parquet(f"{self.folder}/stats/part=gone-{part}")
+
+    def stats(self) -> DataFrame:
+        rows = self._table("stats", "term string, df long, words long")
+        return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")).where("df > 0")
+
+    def postings(self) -> DataFrame:
+        rows, gone = self._table("postings", "doc_id long, term string, tf long, dl int"), self._table("gone", "doc_id long")
+        return rows if gone.isEmpty() else rows.join(gone, "doc_id", "left_anti")
+
+    def search(self, queries: DataFrame, k: int = 10, keep: DataFrame | None = None) -> DataFrame:
+        """As ``bm25`` over all that is indexed; of the documents in ``keep`` (doc_id), if given, and with the statistics of all."""
+        post = self.postings().join(small(query_terms(queries).select("term").distinct()), "term", "left_semi")
+        return scored(post if keep is None else post.join(keep.select("doc_id"), "doc_id", "left_semi"), self.stats(), queries, k)
+
+
+_INDEXES: dict = {}
+
+
+def index_of(docs: DataFrame) -> Index:
+    """The index of a table of files (doc_id, text), written at its first use in a session.
+
+    Files' names, lengths and times of change tell tables apart, so a table that has changed is indexed anew.
+    """
+    spark, files = docs.sparkSession, []
+    for f in sorted(docs.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        files.append((f, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, hashlib.sha256(repr(files).encode()).hexdigest())
+    if key not in _INDEXES:
+        index = Index(spark, shared_folder(spark, "index"))
+        index.add(docs)
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def cosine(a: Column, b: Column) -> Column:
     def dot(x, y):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -56,12 +171,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Exact cosine search: the stated query set against all rows; (vec_id, embedding) and (query_id, q)."""
-    scores = vectors.join(queries, vectors["vec_id"] != queries["query_id"]).select("query_id", F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return best(scores, k)
-
-
 def _directions(vectors):
     """A list of vectors as rows of length 1, and their widths; null, unbounded and zero vectors are rows of NaN."""
     widths = np.array([len(v or ()) for v in vectors])
@@ -90,10 +199,11 @@ def _block_against_shard(k: int):
     return run
 
 
-def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """As ``nearest``, for query sets that grow with the table: blocks of queries meet every shard by an equality join.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Exact cosine search of (query_id, q) in (vec_id, embedding): blocks of queries meet every shard by an equality join.
 
-    Each pair of a block and a shard gives k rows a query, so neither all pairs of rows nor all queries are in one place.
+    Each pair of a block and a shard gives k rows a query, so neither all pairs of rows nor all queries are in one place;
+    norms are computed once for each row of a pair.
     """
 
     def packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
@@ -150,20 +260,21 @@ def first_variant(variants: DataFrame) -> DataFrame:
 
 def keyword_rerank(rows: DataFrame, k: int | None = None) -> DataFrame:
     """0.7 * score + 0.3 * share of the query's words that the text has as substrings; rows have query and text."""
-    terms = T.words(F.col("query"))
-    share = F.size(F.filter(terms, lambda w: F.contains(F.lower("text"), w))) / F.greatest(F.size(terms), F.lit(1))
+    text = F.lower("text")
+    share = T.let(T.words(F.col("query")), lambda own: T.let(text, lambda t: F.size(F.filter(own, lambda w: F.contains(t, w)))) / F.greatest(F.size(own), F.lit(1)))
     out = rows.withColumn("rerank_score", F.round(0.7 * F.col("score") + 0.3 * share, 4)).drop("rank")
     return best(out, k, "rerank_score") if k else out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "doc_id")))
 
 
 def ladder(*steps: DataFrame, least: int = 3) -> DataFrame:
-    """Results of the first step that has at least ``least`` rows for a query, else of the one with most (first on ties)."""
+    """Results of the first step but the last that has at least ``least`` rows for a query, else of the step with most (first on ties)."""
     tagged = None
     for i, s in enumerate(steps):
         s = s.select("query_id", "doc_id", "score", "rank", F.lit(i).alias("step"))
         tagged = s if tagged is None else tagged.union(s)
     sized = tagged.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id", "step")))
-    pick = F.min(F.struct(F.when(F.col("n") >= least, 0).otherwise(-F.col("n") + least).alias("a"), "step")).over(Window.partitionBy("query_id"))
+    enough = (F.col("n") >= least) & (F.col("step") < len(steps) - 1)
+    pick = F.min(F.struct(F.when(enough, 0).otherwise(1).alias("short"), F.when(enough, 0).otherwise(-F.col("n")).alias("less"), "step")).over(Window.partitionBy("query_id"))
     return sized.withColumn("p", pick).where("step = p.step").drop("n", "p")
 
 

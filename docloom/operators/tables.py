@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.functions.text import matches_any
+from docloom.functions.text import let, matches_any
 
 # Keywords and patterns that decide results.
 HEADER_WORDS = ("名称", "参数", "说明", "类型", "值", "描述", "name", "type", "value", "description", "id")
@@ -15,6 +15,7 @@ STEP_WORDS = ("步骤", "序号", "step", "no", "#", "操作")
 BOOLEAN_WORDS = ("true", "false", "yes", "no", "是", "否", "√", "×", "✓", "✗")
 DATES = (r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", r"\d{1,2}[-/]\d{1,2}[-/]\d{4}", r"\d{4}年\d{1,2}月\d{1,2}日")
 CODES = (r"^[A-Za-z_][A-Za-z0-9_]*\s*\(", r"^[A-Za-z_][A-Za-z0-9_]*\s*=", r"^--\w+", r"^\$\w+", r"^[A-Z_]+$")
+TITLES = (r"表\s*\d+[.:：]\s*([^\n]+)", r"Table\s*\d+[.:]\s*([^\n]+)", r"图表\s*\d+[.:：]\s*([^\n]+)")
 NOT_A_NAME = r"^[\d,.\-+%]+$"
 #: What stands for a floating-point number, the words in any case.
 NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
@@ -107,6 +108,45 @@ def markdown(raw: Column, title: Column | None = None) -> Column:
     return text if title is None else F.concat(F.lit("**"), title, F.lit("**\n\n"), text)
 
 
+def records(raw: Column) -> Column:
+    """JSON records of a table whose first row is its header: a row's cells beyond the header, and names without a cell, are
+    left out; of cells under one name the last counts."""
+
+    def record(names: Column, row: Column) -> Column:
+        n = F.least(F.size(names), F.size(row))
+        pairs = F.zip_with(F.slice(names, F.lit(1), n), F.slice(row, F.lit(1), n), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+        return F.map_from_entries(F.transform(F.array_distinct(F.slice(names, F.lit(1), n)), lambda k: F.struct(k, F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])))
+
+    return let(headers(raw), lambda names: F.to_json(F.transform(F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 1, F.lit(0))), lambda r: record(names, r))))
+
+
+def padded_markdown(raw: Column) -> Column:
+    """A table as markdown, cells on one line and rows padded to the widest; without rows the empty text."""
+
+    def cell(c: Column) -> Column:
+        return F.trim(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|")))
+
+    def line(cells: Column) -> Column:
+        return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+    def text(n: Column) -> Column:
+        rows = F.transform(raw, lambda r: line(F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), n - F.size(r)))))
+        return F.array_join(F.concat(F.slice(rows, 1, 1), F.array(line(F.array_repeat(F.lit("---"), n))), F.slice(rows, F.lit(2), F.size(rows) - 1)), "\n")
+
+    return F.when(F.size(raw) > 0, let(F.array_max(F.transform(raw, lambda r: F.size(r))), text)).otherwise("")
+
+
+def table_title(text: Column) -> Column:
+    """The first title of the first pattern that a page's text has, else the empty text."""
+    found = [F.nullif(F.trim(F.regexp_extract(text, p, 0)), F.lit("")) for p in TITLES]
+    return F.coalesce(*found, F.lit(""))
+
+
+def column_counts(raw: Column) -> Column:
+    """The distinct numbers of cells of a table's rows, in order."""
+    return F.array_sort(F.array_distinct(F.transform(raw, lambda r: F.size(r))))
+
+
 def described(names: Column, row: Column) -> Column:
     pairs = F.zip_with(F.slice(names, F.lit(1), F.least(F.size(names), F.size(row))), F.slice(row, F.lit(1), F.least(F.size(names), F.size(row))), lambda h, v: F.when(v != "", F.concat(h, F.lit(": "), v)))
     return F.array_join(F.filter(pairs, lambda p: p.isNotNull()), " | ")

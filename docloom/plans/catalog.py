@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from docloom.functions import text as T
 from docloom.operators import chunking, generation, layout, metadata, quality, search, tables, telemetry, terms
 from docloom.sources import readers
+from docloom.sources.shared import shared_folder
 from docloom.streaming import telemetry as streams
 
 RANKED = ("bm25_topk", "bm25_filtered", "bm25_post_filtered", "vector_topk", "vector_filtered", "fused_topk", "keyword_rerank", "multi_query_rrf", "variant_dedup", "fallback_ladder")
@@ -18,27 +19,18 @@ _QUERIES: dict = {}
 _ORACLES: dict = {}
 
 
-def query(sql: str | None = None, whole: bool = False):
-    """Register a function of (read, spark) under its name; ``read`` gives a table of the folder.
-
-    ``whole`` also registers it as NAME_whole, with True as a third argument: a search of the whole query set.
-    """
+def query(sql: str | None = None):
+    """Register a function of (read, spark) under its name; ``read`` gives a table of the folder."""
 
     def add(f):
-        def register(name: str, sql: str | None, *more) -> None:
-            @wraps(f)
-            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark, *more)
-
-            run.__name__ = name
-            _QUERIES[name] = run
-            if sql:
-                ranked = f.__name__ in RANKED  # ranks are INT in Spark
-                _ORACLES[name] = f"SELECT * REPLACE (rank::INT AS rank) FROM ({sql})" if ranked else sql
-
-        register(f.__name__, sql)
-        if whole:
-            register(f"{f.__name__}_whole", sql.replace("q.vec_id < 20", "q.vec_id % 50 = 0").replace("FROM bm WHERE query_id < 20", "FROM bm"), True)
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            # ranks are INT in Spark
+            _ORACLES[f.__name__] = f"SELECT * REPLACE (rank::INT AS rank) FROM ({sql})" if f.__name__ in RANKED else sql
         return f
 
     return add
@@ -81,11 +73,17 @@ def _asked(read) -> DataFrame:
     return read("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _search(read, k: int, keep: Column | None = None) -> DataFrame:
+    """BM25 search of every benchmark passage in the index of the documents."""
+    docs = read("documents")
+    return search.index_of(docs).search(_asked(read), k, None if keep is None else docs.where(keep))
+
+
 @query(f"WITH {_BM25} SELECT bm.query_id, bm.doc_id, score, rank, substring(text, 1, 100) preview FROM bm JOIN documents USING (doc_id) WHERE rank <= 10")
 def bm25_topk(read, spark):
     """BM25 search of every benchmark passage, with previews joined after ranking."""
     docs = read("documents")
-    hits = search.bm25(docs, _asked(read), 10)
+    hits = _search(read, 10)
     return hits.join(docs.select("doc_id", F.substring("text", 1, 100).alias("preview")), "doc_id").select("query_id", "doc_id", "score", "rank", "preview")
 
 
@@ -97,72 +95,68 @@ def bm25_stats(read, spark):
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM sc WHERE score > 0 AND lang IN ('de', 'fr')) WHERE rank <= 10")
 def bm25_filtered(read, spark):
     """The filter goes before ranking, so k results are found where there are k."""
-    return search.bm25(read("documents"), _asked(read), 10, F.col("lang").isin("de", "fr"))
+    return _search(read, 10, F.col("lang").isin("de", "fr"))
 
 
 @query(f"WITH {_BM25} SELECT bm.query_id, bm.doc_id, bm.score, bm.rank FROM bm JOIN documents USING (doc_id) WHERE lang IN ('de', 'fr')")
 def bm25_post_filtered(read, spark):
     """The filter goes after the cut to twice k, so fewer than k may be left."""
     docs = read("documents")
-    return search.bm25(docs, _asked(read), 20).join(docs.where(F.col("lang").isin("de", "fr")).select("doc_id"), "doc_id", "left_semi").select("query_id", "doc_id", "score", "rank")
+    return _search(read, 20).join(docs.where(F.col("lang").isin("de", "fr")).select("doc_id"), "doc_id", "left_semi").select("query_id", "doc_id", "score", "rank")
 
 
 def _cos(where: str = "TRUE", k: int = 10) -> str:
     return f"""SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM (
-SELECT q.vec_id query_id, d.vec_id doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) score FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id < 20 AND {where})) WHERE rank <= {k}"""
+SELECT q.vec_id query_id, d.vec_id doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) score FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 AND {where})) WHERE rank <= {k}"""
 
 
-def _vectors(read, k: int = 10, keep: Column | None = None, whole: bool = False) -> DataFrame:
-    """Vectors of ids below 20 are the queries, or of the whole query set, in blocks, every id divisible by 50."""
+def _vectors(read, k: int = 10, keep: Column | None = None) -> DataFrame:
+    """The query set are the vectors whose id is divisible by 50, against all vectors."""
     rows = read("embeddings")
-    asked = rows.where("vec_id % 50 = 0" if whole else "vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return (search.nearest_in_blocks if whole else search.nearest)(rows if keep is None else rows.where(keep), asked, k).select("query_id", "doc_id", "score", "rank")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return search.nearest(rows if keep is None else rows.where(keep), asked, k).select("query_id", "doc_id", "score", "rank")
 
 
-@query(_cos(), whole=True)
-def vector_topk(read, spark, whole=False):
-    return _vectors(read, whole=whole)
+@query(_cos())
+def vector_topk(read, spark):
+    return _vectors(read)
 
 
-@query(_cos("d.label IN (1, 2)"), whole=True)
-def vector_filtered(read, spark, whole=False):
-    return _vectors(read, 10, F.col("label").isin(1, 2), whole)
+@query(_cos("d.label IN (1, 2)"))
+def vector_filtered(read, spark):
+    return _vectors(read, 10, F.col("label").isin(1, 2))
 
 
-_LISTS = f"WITH {_BM25}, vec AS ({_cos(k=20)}), bq AS (SELECT * FROM bm WHERE query_id < 20), bo AS (SELECT coalesce(v.query_id, b.query_id) query_id, coalesce(v.doc_id, b.doc_id) doc_id, v.score vs, b.score bs, v.rank rv, b.rank rb, CASE WHEN v.rank IS NULL THEN 'bm25' WHEN b.rank IS NULL THEN 'vector' ELSE 'both' END source FROM vec v FULL JOIN bq b ON v.query_id = b.query_id AND v.doc_id = b.doc_id)"
+_LISTS = f"WITH {_BM25}, vec AS ({_cos(k=20)}), bq AS (SELECT * FROM bm), bo AS (SELECT coalesce(v.query_id, b.query_id) query_id, coalesce(v.doc_id, b.doc_id) doc_id, v.score vs, b.score bs, v.rank rv, b.rank rb, CASE WHEN v.rank IS NULL THEN 'bm25' WHEN b.rank IS NULL THEN 'vector' ELSE 'both' END source FROM vec v FULL JOIN bq b ON v.query_id = b.query_id AND v.doc_id = b.doc_id)"
 _RRF = "rrf AS (SELECT query_id, doc_id, source, round(coalesce(0.6 / (60 + rv), 0) + coalesce(0.4 / (60 + rb), 0), 8) score FROM bo)"
 
 
-def _two_lists(read, whole: bool = False):
-    """The vector list and the BM25 list of queries below 20, or of every fiftieth vector and of all passages.
-
-    vec_id stands for doc_id, as the tables have no link.
-    """
-    asked = _asked(read)
-    return _vectors(read, 20, whole=whole), search.bm25(read("documents"), asked if whole else asked.where("query_id < 20"), 20)
+def _two_lists(read):
+    """The vector list of every fiftieth vector and the BM25 list of every passage; vec_id stands for doc_id, as the tables have no link."""
+    return _vectors(read, 20), _search(read, 20)
 
 
-@query(f"{_LISTS}, {_RRF} SELECT * FROM rrf", whole=True)
-def rrf_fusion(read, spark, whole=False):
-    return search.rrf(*_two_lists(read, whole))
+@query(f"{_LISTS}, {_RRF} SELECT * FROM rrf")
+def rrf_fusion(read, spark):
+    return search.rrf(*_two_lists(read))
 
 
-@query(f"{_LISTS}, s AS (SELECT *, min(vs) OVER w lv, max(vs) OVER w hv, min(bs) OVER w lb, max(bs) OVER w hb FROM bo WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, source, round(0.6 * coalesce((vs - lv) / CASE WHEN hv > lv THEN hv - lv ELSE 1 END, 0) + 0.4 * coalesce((bs - lb) / CASE WHEN hb > lb THEN hb - lb ELSE 1 END, 0), 6) score FROM s", whole=True)
-def weighted_fusion(read, spark, whole=False):
-    return search.weighted(*_two_lists(read, whole))
+@query(f"{_LISTS}, s AS (SELECT *, min(vs) OVER w lv, max(vs) OVER w hv, min(bs) OVER w lb, max(bs) OVER w hb FROM bo WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, source, round(0.6 * coalesce((vs - lv) / CASE WHEN hv > lv THEN hv - lv ELSE 1 END, 0) + 0.4 * coalesce((bs - lb) / CASE WHEN hb > lb THEN hb - lb ELSE 1 END, 0), 6) score FROM s")
+def weighted_fusion(read, spark):
+    return search.weighted(*_two_lists(read))
 
 
-@query(f"{_LISTS}, {_RRF} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM rrf) WHERE rank <= 10", whole=True)
-def fused_topk(read, spark, whole=False):
-    return search.best(search.rrf(*_two_lists(read, whole)), 10)
+@query(f"{_LISTS}, {_RRF} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM rrf) WHERE rank <= 10")
+def fused_topk(read, spark):
+    return search.best(search.rrf(*_two_lists(read)), 10)
 
 
 _RERANK = r"list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: x <> ''))"
 
 
-@query(f"{_LISTS}, {_RRF}, r AS (SELECT rrf.*, round(0.7 * score + 0.3 * len(list_filter({_RERANK}, lambda x: contains(lower(d.text), x))) / len({_RERANK}), 4) rerank_score FROM rrf JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = rrf.query_id) SELECT query_id, doc_id, score, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) rank FROM r) WHERE rank <= 5", whole=True)
-def keyword_rerank(read, spark, whole=False):
-    fused = search.rrf(*_two_lists(read, whole)).join(read("documents").select("doc_id", "text"), "doc_id").join(_asked(read).select("query_id", F.col("text").alias("query")), "query_id")
+@query(f"{_LISTS}, {_RRF}, r AS (SELECT rrf.*, round(0.7 * score + 0.3 * len(list_filter({_RERANK}, lambda x: contains(lower(d.text), x))) / len({_RERANK}), 4) rerank_score FROM rrf JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = rrf.query_id) SELECT query_id, doc_id, score, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) rank FROM r) WHERE rank <= 5")
+def keyword_rerank(read, spark):
+    fused = search.rrf(*_two_lists(read)).join(read("documents").select("doc_id", "text"), "doc_id").join(_asked(read).select("query_id", F.col("text").alias("query")), "query_id")
     return search.keyword_rerank(fused.withColumn("rank", F.lit(0)), 5).select("query_id", "doc_id", "score", "rerank_score", "rank")
 
 
@@ -171,10 +165,13 @@ _VARIANTS = _BM25.replace("FROM benchmark)", "FROM (SELECT item_id * 10 + v item
 _BY_VARIANT = f"WITH {_VARIANTS}, va AS (SELECT query_id // 10 query_id, query_id % 10 variant, doc_id, score, rank FROM bm)"
 
 
-def _variants(read) -> DataFrame:
+def variant_queries(read) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("v"), t.alias("text")) for i, t in enumerate((F.col("text"), F.substring("text", 1, 60), F.right("text", F.lit(60))))]))
-    asked = read("benchmark").select("item_id", each.alias("e")).select((F.col("item_id") * 10 + F.col("e.v")).alias("query_id"), "e.text")
-    hits = search.bm25(read("documents"), asked, 20)
+    return read("benchmark").select("item_id", each.alias("e")).select((F.col("item_id") * 10 + F.col("e.v")).alias("query_id"), "e.text")
+
+
+def _variants(read) -> DataFrame:
+    hits = search.index_of(read("documents")).search(variant_queries(read), 20)
     return hits.select(F.expr("query_id div 10").alias("query_id"), (F.col("query_id") % 10).alias("variant"), "doc_id", "score", "rank")
 
 
@@ -189,11 +186,10 @@ def variant_dedup(read, spark):
     return search.first_variant(_variants(read))
 
 
-@query(f"WITH {_BM25}, a AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM sc WHERE score > 0 AND lang = 'es'), s AS (SELECT *, 0 step FROM a WHERE rank <= 10 UNION ALL SELECT *, 1 FROM bm WHERE rank <= 10), c AS (SELECT *, count(*) OVER (PARTITION BY query_id, step) n FROM s), p AS (SELECT query_id, arg_min(step, CASE WHEN n >= 3 THEN 0 ELSE 3 - n END * 10 + step) pick FROM c GROUP BY 1) SELECT query_id, doc_id, score, rank, step FROM c JOIN p USING (query_id) WHERE step = pick")
+@query(f"WITH {_BM25}, a AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM sc WHERE score > 0 AND lang = 'es'), s AS (SELECT *, 0 step FROM a WHERE rank <= 10 UNION ALL SELECT *, 1 FROM bm WHERE rank <= 10 UNION ALL SELECT *, 2 FROM ({_cos()})), c AS (SELECT *, count(*) OVER (PARTITION BY query_id, step) n FROM s), p AS (SELECT query_id, arg_min(step, CASE WHEN n >= 3 AND step < 2 THEN 0 ELSE 30 - n END * 10 + step) pick FROM c GROUP BY 1) SELECT query_id, doc_id, score, rank, step FROM c JOIN p USING (query_id) WHERE step = pick")
 def fallback_ladder(read, spark):
-    """Filtered results, or those without the filter where they are too few."""
-    docs = read("documents")
-    return search.ladder(search.bm25(docs, _asked(read), 10, F.col("lang") == "es"), search.bm25(docs, _asked(read), 10))
+    """Filtered results, or those without the filter where they are too few, or those of vectors alone where they are more."""
+    return search.ladder(_search(read, 10, F.col("lang") == "es"), _search(read, 10), _vectors(read))
 
 
 # ---- text structure --------------------------------------------------------------------------------------------------
@@ -269,25 +265,56 @@ def special_block(read, spark):
     return readers.line_elements(read("documents")).select("doc_id", "pos", T.special_block(F.col("text")).alias("special"))
 
 
+def _packed(name: str, items: str, size: int, overlap: int, glue: str) -> str:
+    """Greedy packing of items (key, i from 1, t, n tokens, s special) as a recursive query; NAME_c has (key, idx, content)."""
+    return f"""{name} AS (SELECT key, 0 AS i, []::VARCHAR[] AS cur, []::INT[] AS cn, []::VARCHAR[] AS done FROM (SELECT DISTINCT key FROM {items}) UNION ALL
+SELECT key, i, CASE WHEN s THEN [] WHEN over THEN list_append(cur[k:], t) ELSE list_append(cur, t) END, CASE WHEN s THEN [] WHEN over THEN list_append(cn[k:], n) ELSE list_append(cn, n) END, CASE WHEN s THEN list_append(held, t) WHEN over THEN held ELSE [] END
+FROM (SELECT p.key, x.i, x.t, x.n, x.s, cur, cn, CASE WHEN len(cur) > 0 THEN [array_to_string(cur, {glue})] ELSE []::VARCHAR[] END held, coalesce(list_sum(cn), 0) + x.n > {size} AND len(cur) > 0 AS over,
+coalesce(list_min(list_filter(range(1, len(cur) + 1), lambda k: list_sum(cn[k:]) <= {overlap})), len(cur) + 1) k FROM {name} p JOIN {items} x ON x.key = p.key AND x.i = p.i + 1)),
+{name}_l AS (SELECT key, i + 1 i, cur FROM {name} QUALIFY i = max(i) OVER (PARTITION BY key)),
+{name}_c AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY i, j)::INT - 1 idx, content FROM (SELECT key, i, unnest(range(len(done))) j, unnest(done) AS content FROM {name} UNION ALL SELECT key, i, 0, array_to_string(cur, {glue}) FROM {name}_l WHERE len(cur) > 0))"""
+
+
+def _count(column: str) -> str:
+    return f"len({_TOKENS.format(column)})::INT"
+
+
+def _special(column: str) -> str:
+    return f"((starts_with({column}, '|') AND contains({column}, '---')) OR starts_with({column}, '```') OR starts_with({column}, '~~~'))"
+
+
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({0}, '([。！？；.!?;])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+_CHUNKS = f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') l FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, l, array_to_string(l, chr(10) || chr(10)) AS whole FROM d), long AS (SELECT * FROM w WHERE {_count('whole')} > 1500),
+pi AS (SELECT key, i, t, {_count('t')} n, {_special('t')} s FROM (SELECT doc_id AS key, unnest(range(1, len(l) + 1)) i, unnest(l) t FROM long)),
+{_packed('pp', 'pi', 1500, 200, "chr(10) || chr(10)")},
+up AS (SELECT doc_id, parent_index, substring(md5(doc_id || '_0_p' || parent_index), 1, 16) chunk_id, {_count('content')} tokens, content FROM (SELECT key doc_id, idx parent_index, content FROM pp_c UNION ALL SELECT doc_id, 0, whole FROM w WHERE whole <> '' AND {_count('whole')} <= 1500)),
+cl AS (SELECT * FROM up WHERE tokens > 400 AND NOT {_special("trim(content, ' ')")}),
+ci AS (SELECT key, i, t, {_count('t')} n, {_special('t')} s FROM (SELECT chunk_id AS key, unnest(range(1, len(l) + 1)) i, unnest(l) t FROM (SELECT chunk_id, {_SENTENCES.format('content')} l FROM cl))),
+{_packed('cp', 'ci', 400, 50, "' '")},
+down AS (SELECT doc_id, substring(md5(doc_id || '_0_p' || parent_index || 'c' || child_index), 1, 16) chunk_id, parent_id, parent_index, child_index, {_count('content')} tokens, content
+FROM (SELECT up.doc_id, up.parent_index, up.chunk_id parent_id, c.idx child_index, c.content FROM cp_c c JOIN up ON up.chunk_id = c.key UNION ALL SELECT doc_id, parent_index, chunk_id, 0, content FROM up WHERE chunk_id NOT IN (SELECT chunk_id FROM cl)))"""
+
+
 def _chunks(read):
     items = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     up = chunking.parents(read("documents").where("text is not null"), items)
     return up, chunking.children(up)
 
 
-@query()
+@query(f"{_CHUNKS} SELECT doc_id, parent_index, chunk_id, tokens, content FROM up")
 def parent_chunks(read, spark):
-    """Lines packed to parent chunks of 1,500 tokens with 200 of overlap; tested against a plain loop."""
+    """Lines packed to parent chunks of 1,500 tokens with 200 of overlap."""
     return _chunks(read)[0].select("doc_id", "parent_index", "chunk_id", "tokens", "content")
 
 
-@query()
+@query(f"{_CHUNKS} SELECT * FROM down")
 def child_chunks(read, spark):
-    """Sentences of parents packed to child chunks of 400 tokens with 50 of overlap; tested against a plain loop."""
+    """Sentences of parents packed to child chunks of 400 tokens with 50 of overlap."""
     return _chunks(read)[1].select("doc_id", "chunk_id", "parent_id", "parent_index", "child_index", "tokens", "content")
 
 
-@query()
+@query(f"{_CHUNKS} SELECT down.chunk_id, down.parent_index, md5(up.content) context_md5 FROM down JOIN up ON up.chunk_id = down.parent_id")
 def parent_expand(read, spark):
     """Every child chunk with the text of its parent."""
     up, down = _chunks(read)
@@ -296,7 +323,7 @@ def parent_expand(read, spark):
     return search.expand_parents(hits, chunks).select(F.col("doc_id").alias("chunk_id"), "parent_index", F.md5("context").alias("context_md5"))
 
 
-@query()
+@query(f"{_CHUNKS} SELECT doc_id, count(*) FILTER (p)::BIGINT parents, count(*) FILTER (NOT p)::BIGINT children, sum(tokens)::BIGINT tokens FROM (SELECT doc_id, TRUE p, tokens FROM up UNION ALL SELECT doc_id, FALSE, tokens FROM down) GROUP BY doc_id")
 def ingestion_stats(read, spark):
     """Chunks and tokens of each document."""
     up, down = _chunks(read)
@@ -309,17 +336,9 @@ def kb_stats(read, spark):
     return read("embeddings").agg(F.count(F.lit(1)).alias("vectors")).join(read("documents").agg(F.count(F.lit(1)).alias("documents")), F.lit(True))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\b[A-Z]{2,}\b'), regexp_extract_all(text, '(?:0x[0-9A-Fa-f]+|ERROR_\w+|ERR_\w+)'), regexp_extract_all(text, '(?:/[\w/]+|--?\w+)')))), ' ') kw FROM documents WHERE text NOT SIMILAR TO '(?s).*[^\x00-\x7F].*'""")
-def ascii_keywords(read, spark):
-    """Acronyms, error codes and paths of ASCII texts, where the dialects' word borders agree."""
-    rows = read("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    found = [F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(1)) for p in (T.KEYWORD[0], r"(?:0x[0-9A-Fa-f]+|ERROR_\w+|ERR_\w+)", T.KEYWORD[5])]
-    return rows.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.concat(*found))), " ").alias("kw"))
-
-
 @query()
 def keywords(read, spark):
-    """All six families over all documents."""
+    """All six families over all documents; tested against Python's re, as word borders differ in SQL."""
     return read("documents").select("doc_id", T.keywords(F.col("text")).alias("keywords"))
 
 
@@ -333,7 +352,7 @@ def ids_and_previews(read, spark):
 def context_citations(read, spark):
     """The context of each query: its five best documents with numbered sources."""
     docs = read("documents").select("doc_id", "source", "lang", F.substring("text", 1, 100).alias("t"))
-    hits = search.bm25(read("documents"), _asked(read), 5).join(docs, "doc_id")
+    hits = _search(read, 5).join(docs, "doc_id")
     part = F.concat(F.lit("[来源 "), "rank", F.lit(": ["), "source", F.lit(" - "), "lang", F.lit(", 第1页]]\n"), "t")
     return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))), lambda s: s["p"]), "\n\n---\n\n").alias("context"))
 
@@ -374,18 +393,24 @@ def term_abbreviations(read, spark):
 _ASKS = ["API 配置", "http server", "安装 SDK", "hypertext transfer protocol", "方法 错误", "plain words", "数据库 DB", "API认证 ok", "python json"]
 
 
-@query()
+@query(f"""WITH a AS {_values([(q,) for q in _ASKS], 'q')}, ab AS {_values([(i, *x) for i, x in enumerate(terms.ABBREVIATIONS.items())], 'i, abbr, full_form')}, sy AS {_values([(i, *x) for i, x in enumerate(terms.SYNONYMS.items())], 'i, word, others')},
+s AS (SELECT q, arg_min(CASE WHEN contains(upper(q), abbr) THEN replace(replace(q, abbr, full_form), lower(abbr), full_form) ELSE replace(replace(q, full_form, abbr), lower(full_form), abbr) END, i) v FROM a, ab WHERE contains(upper(q), abbr) OR contains(upper(q), upper(full_form)) GROUP BY q),
+l AS (SELECT q, arg_min(list_transform(others, lambda o: replace(q, word, o)), i) v FROM a, sy WHERE contains(q, word) GROUP BY q)
+SELECT q, array_to_string(list_concat([q], CASE WHEN s.v IS NULL THEN []::VARCHAR[] ELSE [s.v] END, coalesce(l.v, []::VARCHAR[]))[1:4], ' / ') variants FROM a LEFT JOIN s USING (q) LEFT JOIN l USING (q)""")
 def simple_expand(read, spark):
-    """Variants by abbreviations and synonyms; tested against expected lists."""
+    """Variants by abbreviations and synonyms."""
     return spark.createDataFrame([(q,) for q in _ASKS], "q string").select("q", F.array_join(terms.simple_expand(F.col("q")), " / ").alias("variants"))
 
 
-@query()
+@query(rf"""WITH {_FORMS}, a AS {_values([(q,) for q in _ASKS], 'q')}, fs AS (SELECT canonical, arg_max(f, seq) f FROM (SELECT canonical, seq, list_sort(list_distinct(list_concat([term, canonical], aliases, abbreviations))) f FROM d) GROUP BY canonical),
+w AS (SELECT q, unnest(x) w, unnest(range(len(x))) i FROM (SELECT q, regexp_extract_all(q, '[\p{{L}}\p{{N}}_/]+') x FROM a)),
+m AS (SELECT q, w, i, canonical, list_filter(f, lambda x: lower(x) <> lower(w) AND x <> canonical) other FROM w JOIN fm ON lower(w) = form JOIN fs USING (canonical)),
+v AS (SELECT q, -1 AS i, 0 AS k, q AS v FROM a UNION ALL SELECT q, i, 0, replace(q, w, canonical) FROM m WHERE canonical <> w UNION ALL SELECT q, i, 1, replace(q, w, other[1]) FROM m WHERE len(other) > 0),
+o AS (SELECT q, v, min(i * 2 + k) place FROM v GROUP BY q, v) SELECT q, string_agg(v, ' / ' ORDER BY place) variants FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY q ORDER BY place) <= 5) GROUP BY q""")
 def query_expand(read, spark):
-    """Variants by the dictionary, word by word; tested against expected lists."""
-    forms = terms.forms(terms.dictionary(spark)).join(terms.all_forms(terms.dictionary(spark)), "canonical").orderBy("form").collect()
-    entries = [(r["form"], r["canonical"], list(r["forms"])) for r in forms]
-    return spark.createDataFrame([(q,) for q in _ASKS], "q string").select("q", F.array_join(terms.expand_query(F.col("q"), entries), " / ").alias("variants"))
+    """Variants by the dictionary, word by word."""
+    asked = spark.createDataFrame([(q,) for q in _ASKS], "q string")
+    return terms.expand_queries(asked, terms.dictionary(spark)).select("q", F.array_join("variants", " / ").alias("variants"))
 
 
 _GLOSSED = ["use the api and the DB now", "the UI of a CLI", "config of a Config", "rapid apis stay"]
@@ -415,15 +440,25 @@ def glossary_normalize_documents(read, spark):
     return _with_made(read, spark, _GLOSSED).select("doc_id", terms.normalize_text(F.col("text")).alias("standard"))
 
 
-@query()
+def _detected(texts: list[str]) -> str:
+    """Places of aliases between characters that are no parts of words, in all documents and hand-made texts."""
+    made = _values([(-i - 1, t) for i, t in enumerate(texts)], "doc_id, text")
+    word = r"[\p{L}\p{M}\p{N}_]"
+    return f"""t AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {made}), al AS {_values(terms.glossary(), 'alias, term')},
+sp AS (SELECT doc_id, text, alias, term, string_split(lower(text), lower(alias)) l FROM t, al WHERE contains(lower(text), lower(alias))),
+pl AS (SELECT doc_id, text, alias, term, (list_sum(list_transform(l[1:k], lambda x: length(x))) + (k - 1) * length(alias))::INT AS position FROM (SELECT *, unnest(range(1, len(l))) k FROM sp)),
+de AS (SELECT doc_id, term, substring(text, position + 1, length(alias)) AS variant, position FROM pl WHERE NOT regexp_matches(CASE WHEN position > 0 THEN substring(text, position, 1) ELSE '' END, '{word}') AND NOT regexp_matches(substring(text, position + length(alias) + 1, 1), '{word}'))"""
+
+
+@query(f"WITH {_detected(_GLOSSED + ['用户界面 API，api'])} SELECT * FROM de")
 def term_detect(read, spark):
-    """Every alias with its place; tested against a plain search."""
+    """Every alias with its place."""
     return terms.detect(_with_made(read, spark, _GLOSSED + ["用户界面 API，api"]))
 
 
-@query()
+@query(f"WITH {_detected(_GLOSSED)} SELECT term, list_sort(list_distinct(list(variant))) variants FROM de GROUP BY term HAVING count(DISTINCT variant) > 1")
 def term_variants(read, spark):
-    """Terms that occur in more than one surface form in all documents and the hand-made texts; tested against a plain loop."""
+    """Terms that occur in more than one surface form in all documents and the hand-made texts."""
     found = terms.detect(_with_made(read, spark, _GLOSSED)).groupBy("term").agg(F.array_sort(F.collect_set("variant")).alias("variants"))
     return found.where(F.size("variants") > 1)
 
@@ -516,11 +551,10 @@ def table_nl(read, spark):
     return _raw(read).select("table_id", F.concat(F.lit("表格共有 "), F.size("raw"), F.lit(" 行 "), F.size(F.col("raw")[0]), F.lit(" 列。\n列包括："), F.array_join(tables.headers(F.col("raw")), ", "), F.lit("。")).alias("head"))
 
 
-@query()
+@query(f"""WITH {_TABLE_SQL} SELECT table_id, '[' || array_to_string(list_transform(raw[2:], lambda r: '{{"part":' || to_json(r[1]) || ',"name":' || to_json(r[2]) || ',"type":' || to_json(r[3]) || ',"price":' || to_json(r[4]) || '}}'), ',') || ']' AS json FROM tb""")
 def table_json(read, spark):
     """Rows of each table as JSON records."""
-    body = F.slice("raw", F.lit(2), F.size("raw") - 1)
-    return _raw(read).select("table_id", F.to_json(F.transform(body, lambda r: F.map_from_arrays(tables.headers(F.col("raw")), r))).alias("json"))
+    return _raw(read).select("table_id", tables.records(F.col("raw")).alias("json"))
 
 
 # ---- telemetry -------------------------------------------------------------------------------------------------------
@@ -538,10 +572,10 @@ def source_class(read, spark):
     return streams.class_counts(_log(read))
 
 
-@query(f"WITH {_LISTS}, {_RRF} SELECT query_id, count(*) num_results, count(*) FILTER (source = 'both') num_both, count(*) FILTER (source = 'vector') num_vector, count(*) FILTER (source = 'bm25') num_bm25, round(max(score), 6) max_score, round(min(score), 6) min_score FROM rrf GROUP BY 1".replace("WITH WITH", "WITH"), whole=True)
-def retrieval_metrics(read, spark, whole=False):
+@query(f"WITH {_LISTS}, {_RRF} SELECT query_id, count(*) num_results, count(*) FILTER (source = 'both') num_both, count(*) FILTER (source = 'vector') num_vector, count(*) FILTER (source = 'bm25') num_bm25, round(max(score), 6) max_score, round(min(score), 6) min_score FROM rrf GROUP BY 1".replace("WITH WITH", "WITH"))
+def retrieval_metrics(read, spark):
     """A log row for each fused search."""
-    r = search.rrf(*_two_lists(read, whole))
+    r = search.rrf(*_two_lists(read))
     counts = [F.count_if(F.col("source") == s).alias(f"num_{s}") for s in ("both", "vector", "bm25")]
     return r.groupBy("query_id").agg(F.count(F.lit(1)).alias("num_results"), *counts, F.round(F.max("score"), 6).alias("max_score"), F.round(F.min("score"), 6).alias("min_score"))
 
@@ -580,16 +614,8 @@ def low_recall(read, spark):
     return rows.select("event_id", F.regexp_replace(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.?0*$", "").alias("seen_at"), "num_results")
 
 
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _streamed(read, spark, transform, mode: str = "append") -> DataFrame:
-    root = _shared(spark)
+    root = shared_folder(spark, "stream")
     _log(read).write.json(f"{root}/in")
     return streams.run_once(transform(streams.read_log(spark, f"{root}/in")), f"{root}/out", f"{root}/state", mode)
 
@@ -599,9 +625,9 @@ def stream_source_class(read, spark):
     return _streamed(read, spark, streams.class_counts, "complete")
 
 
-@query()
+@query(f"WITH {_LOG}, h AS (SELECT date_trunc('hour', ts) AS hour, count(*) n, round(avg(latency_ms), 4) avg_latency FROM lo GROUP BY 1) SELECT * FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM lo) - INTERVAL 10 MINUTE")
 def stream_hourly_window(read, spark):
-    """Hours that the watermark has closed; tested against the batch aggregate."""
+    """Hours that the watermark has closed."""
     return _streamed(read, spark, streams.hourly)
 
 
@@ -635,17 +661,14 @@ def rag_metrics(read, spark):
     return rows.withColumn("overall", F.round((F.col("faithfulness") + F.col("relevance") + F.col("ctx_precision") + F.col("ctx_recall")) / 4, 4))
 
 
-@query(f"WITH r AS ({_cos(k=20)}), f AS (SELECT q.vec_id query_id, min(rank) f FROM embeddings q LEFT JOIN (SELECT r.*, a.label la, b.label lb FROM r JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id) x ON x.query_id = q.vec_id AND la = lb WHERE q.vec_id < 20 GROUP BY 1) SELECT k, round(avg(coalesce(f <= k, FALSE)::INT), 6) hit_rate FROM f, (VALUES (1), (3), (5), (10), (20)) t(k) GROUP BY k", whole=True)
-def hit_rate_at_k(read, spark, whole=False):
+@query(f"WITH r AS ({_cos(k=20)}), f AS (SELECT q.vec_id query_id, min(rank) f FROM embeddings q LEFT JOIN (SELECT r.*, a.label la, b.label lb FROM r JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id) x ON x.query_id = q.vec_id AND la = lb WHERE q.vec_id % 50 = 0 GROUP BY 1) SELECT k, round(avg(coalesce(f <= k, FALSE)::INT), 6) hit_rate FROM f, (VALUES (1), (3), (5), (10), (20)) t(k) GROUP BY k")
+def hit_rate_at_k(read, spark):
     """Vectors of the query's label are relevant."""
     labels = read("embeddings").select("vec_id", "label")
-    asked = labels.where("vec_id % 50 = 0" if whole else "vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
+    asked = labels.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    found = _vectors(read, 20)  # only pairs that were found: all pairs of a label grow with the square of the table
     others = labels.withColumnRenamed("vec_id", "doc_id")
-    if whole:  # only pairs that were found: all pairs of a label grow with the square of the table
-        found = _vectors(read, 20, whole=True)
-        return quality.hit_rates(found, found.join(asked, "query_id").join(others, ["doc_id", "label"]).select("query_id", "doc_id"), asked=asked)
-    relevant = asked.join(others, "label").where("query_id <> doc_id").select("query_id", "doc_id")
-    return quality.hit_rates(_vectors(read, 20), relevant)
+    return quality.hit_rates(found, found.join(asked, "query_id").join(others, ["doc_id", "label"]).select("query_id", "doc_id"), asked=asked)
 
 
 @query(r"WITH s AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[。.!?！？]'), lambda x: len(x) >= 10 AND (regexp_matches(x, '\d+') OR regexp_matches(x, '必须|应该|需要|要求|规定|默认|配置|参数|设置')) AND NOT regexp_matches(x, '\[资料\d+\]|\[\d+\]'))) lacking FROM documents) SELECT doc_id, lacking, round(least(1.0, 2 / lacking), 6) coverage, 2 / lacking < 0.8 flagged FROM s WHERE lacking > 0")
@@ -771,7 +794,7 @@ def outline_parse(read, spark):
 @query(f"WITH {_BM25}, u AS (SELECT query_id % 5 doc_id, doc_id chunk_id, min(query_id * 100 + rank) pos FROM bm WHERE rank <= 5 GROUP BY ALL) SELECT doc_id, chunk_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos, chunk_id)::INT number FROM u")
 def citations_dedup(read, spark):
     """Benchmark queries as sections of five documents: each cited chunk once, numbered by first use."""
-    hits = search.bm25(read("documents"), _asked(read), 5)
+    hits = _search(read, 5)
     uses = hits.select((F.col("query_id") % 5).alias("doc_id"), F.col("doc_id").alias("chunk_id"), (F.col("query_id") * 100 + F.col("rank")).alias("pos"))
     return generation.numbered_citations(uses)
 
@@ -825,3 +848,6 @@ def tables_at_page_end(read, spark):
     """Parts as elements, those of one brand as tables, of fifty documents."""
     rows = read("part").select((F.col("p_partkey") % 50).alias("doc_id"), F.col("p_size").alias("page"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("content"), (F.col("p_brand") == "Brand#1").alias("table"))
     return layout.merged(rows.where("not table"), rows.where("table"))
+
+
+from docloom.plans import more as more  # noqa: E402  registers further queries

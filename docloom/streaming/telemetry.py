@@ -29,9 +29,13 @@ def slow(log: DataFrame, limit: float = T.SLOW_MS) -> DataFrame:
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what is there and return all that was written, the last state of each key in complete mode."""
+    """Process what is there and return all that was written, the last state of each key in complete mode.
+
+    A batch is written to a folder of its own, so a batch that is run again replaces what it wrote before.
+    """
+
     def write(batch: DataFrame, number: int):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
 
     stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start().awaitTermination()
-    return stream.sparkSession.read.parquet(path)
+    return stream.sparkSession.read.parquet(path).drop("batch")

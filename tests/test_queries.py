@@ -1,6 +1,8 @@
 """Every query against its SQL on the smallest tables, and those without SQL against plain loops."""
 
 import hashlib
+import json
+import math
 import os
 import re
 
@@ -9,9 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from docloom.functions import models
 from docloom.functions import text as T
-from docloom.operators import chunking, quality, search, terms
+from docloom.operators import chunking, generation, quality, ranges, search, tables, telemetry, terms
 from docloom.plans import catalog
+from docloom.sources import readers
+from docloom.streaming import telemetry as streams
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
@@ -42,21 +47,92 @@ def test_equals_sql(spark, duck, name):
 
 def test_whole_query_sets_are_searched(spark):
     ids = {r[0] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
-    out = QUERIES["vector_topk_whole"](spark, "/root/testdata/sf0.1")
+    out = QUERIES["vector_topk"](spark, "/root/testdata/sf0.1")
     assert len(ids) > 20 and {r[0]: r[1] for r in out.groupBy("query_id").count().collect()} == dict.fromkeys(ids, 10)
-    passages = {r["query_id"] for r in QUERIES["bm25_topk"](spark, SF).collect()}
-    assert {r["query_id"] for r in QUERIES["rrf_fusion_whole"](spark, SF).collect()} >= passages
-    names = {n.removesuffix("_whole") for n in QUERIES if n.endswith("_whole")}
-    assert names == {"vector_topk", "vector_filtered", "rrf_fusion", "weighted_fusion", "fused_topk", "keyword_rerank", "retrieval_metrics", "hit_rate_at_k"}
+    passages = {r[0] for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id").collect()}
+    assert {r["query_id"] for r in QUERIES["rrf_fusion"](spark, SF).collect()} >= passages
 
 
-def test_blocks_equal_one_join(spark, monkeypatch):
+def test_nearest_equals_a_plain_loop(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD", 7)
     monkeypatch.setattr(search, "BLOCK", 3)
-    rows = spark.createDataFrame([(i, [float(i % 5 + 1), float(i % 3), 1.0, -float(i % 7)]) for i in range(60)] + [(60, None)], "vec_id long, embedding array<double>")
+    held = {i: [float(i % 5 + 1), float(i % 3), 1.0, -float(i % 7)] for i in range(60)}
+    rows = spark.createDataFrame([*held.items(), (60, None)], "vec_id long, embedding array<double>")
     asked = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    one, blocks = (sorted(map(tuple, f(rows, asked, 10).select("query_id", "doc_id", "score", "rank").collect()), key=repr) for f in (search.nearest, search.nearest_in_blocks))
-    assert blocks == one and len(one) == 130
+    out = {}
+    for r in search.nearest(rows, asked, 10).collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 6)
+
+    for q in range(0, 60, 5):
+        best = sorted((-cosine(held[q], v), d) for d, v in held.items() if d != q)[:10]
+        assert sorted(out[q]) == [(n + 1, d, -s) for n, (s, d) in enumerate(best)]
+
+
+def test_an_index_equals_a_search_of_the_texts(spark, tmp_path):
+    texts = ["Python 是一种编程语言", "机器学习是人工智能的分支", "深度学习使用神经网络", "python python and 编程", "", None, "of no use " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "Python 编程"), (2, "学习"), (3, "nothing"), (4, "")], "query_id long, text string")
+
+    def rows(df):
+        return sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect()))
+
+    index = search.Index(spark, f"file://{tmp_path}/index")
+    index.add(docs.where("doc_id < 4"), "a")
+    index.add(docs.where("doc_id >= 4"), "b")
+    index.add(docs.where("doc_id >= 4"), "b")  # a load that is run again
+    assert rows(index.search(asked)) == rows(search.bm25(docs, asked)) and next(r[1] for r in rows(index.search(asked)) if r[0] == r[3] == 1) == 0
+    keep = docs.where("doc_id <> 3")
+    assert rows(index.search(asked, 10, keep)) == rows(search.bm25(docs, asked, 10, F.col("doc_id") != 3))
+    index.delete(docs.where("doc_id = 3"))
+    assert rows(index.search(asked)) == rows(search.bm25(keep, asked))
+
+
+def test_running_sums_equal_a_plain_loop(spark):
+    values = [(i * 7919) % 100 for i in range(500)]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v long")
+    out = {r["id"]: (r["n"], r["s"]) for r in ranges.running(table, ["v", "id"], {"n": F.lit(1), "s": F.col("v")}).collect()}
+    order, total = sorted(range(500), key=lambda i: (values[i], i)), 0
+    for n, i in enumerate(order):
+        total += values[i]
+        assert out[i] == (n + 1, total)
+    assert telemetry.floor_percentiles(table, "v").first().asDict() == {f"p{p}": sorted(values)[min(500 * p // 100, 499)] for p in (50, 90, 99)}
+    assert ranges.running(table.limit(0), ["v"], {"n": F.lit(1)}).count() == 0 and telemetry.floor_percentiles(table.limit(0), "v").first()["p50"] is None
+
+
+def test_records_of_ragged_tables(spark):
+    raw = [(1, [["a", "a", ""], ["1", "2"], ["3", "4", "5", "6"], []]), (2, [["x"]]), (3, [["x", "y"], [None, "1"]])]
+    out = {r[0]: json.loads(r[1]) for r in spark.createDataFrame(raw, "id int, raw array<array<string>>").select("id", tables.records(F.col("raw"))).collect()}
+    assert out == {1: [{"a": "2"}, {"a": "4", "列3": "5"}, {}], 2: [], 3: [{"x": None, "y": "1"}]}
+
+
+def test_the_first_named_product_counts(spark):
+    prompts = {"产品：Foo with 'Bar'": "Foo", "\"Bar\" 产品: Foo": "Bar", "none": "Product", "it's '": "s "}
+    out = spark.createDataFrame([(p,) for p in prompts], "p string").select("p", generation.product(F.col("p"))).collect()
+    assert {r[0]: r[1] for r in out} == prompts
+
+
+def test_a_repeated_batch_writes_its_rows_once(spark, tmp_path):
+    catalog._log(lambda t: spark.read.parquet(f"{SF}/{t}.parquet")).write.json(f"file://{tmp_path}/in")
+    first = streams.run_once(streams.slow(streams.read_log(spark, f"file://{tmp_path}/in", 1)), f"file://{tmp_path}/out", f"file://{tmp_path}/state").count()
+    again = streams.run_once(streams.slow(streams.read_log(spark, f"file://{tmp_path}/in", 1)), f"file://{tmp_path}/out", f"file://{tmp_path}/new").count()
+    assert first == again > 0
+
+
+def test_slots_for_models(spark):
+    rows = spark.createDataFrame([("a b", "ctx"), ("a b", None), (None, "x" * 600)], "q string, c string")
+    out = rows.select(models.embedder(size=8)("q").alias("v"), models.generator()("q", "c").alias("a"), models.embedder(lambda ts: [[float(len(t or ""))] for t in ts])("q").alias("own")).collect()
+    assert list(out[0]["v"]) == list(out[1]["v"]) and len(out[0]["v"]) == 8 and [r["a"] for r in out] == ["ctx", "", "x" * 500] and [r["own"][0] for r in out] == [3.0, 3.0, 0.0]
+
+
+def test_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.pdf").write_bytes(b"%PDF one")
+    (tmp_path / "sub" / "b.pdf").write_bytes(b"%PDF two")
+    (tmp_path / "c.txt").write_bytes(b"no")
+    assert sorted(bytes(r["content"]) for r in readers.files(spark, f"file://{tmp_path}").collect()) == [b"%PDF one", b"%PDF two"]
 
 
 def test_entry(spark):
