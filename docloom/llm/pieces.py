@@ -6,7 +6,7 @@ byte pieces.  The forward pass sums the probabilities of all segmentations of ea
 arc into each place in proportion to what it carries.  No piece has a space inside, so the lattice factors at the
 first space of each run of spaces into units (spaces and the word after them); forward passes run for all different
 units of one length at once, the backward pass for all units of some documents.  A unit's forward pass is held for
-later documents of the task, up to a bound on the bytes held.  Units of ``LONG`` characters or more are taken one by one
+later documents of the task, and given back at its end, up to a bound on the bytes held.  Units of ``LONG`` characters or more are taken one by one
 in blocks: the forward pass keeps only what each block needs to be run again, and the backward pass runs blocks again
 from the last to the first, so memory depends on the block.  Long texts are taken in segments that end between units.
 Pieces are looked up by a 64-bit hash; every row is decoded again, and one that is not its text is segmented by a plain
@@ -22,6 +22,7 @@ Defined cases: null and empty texts have no pieces and decode to the empty text;
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 from itertools import repeat
@@ -37,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 0.5, 8
 SPACE, LITERAL = "▁", "\udc81"
 #: Characters of text that are segmented at once, cells of a forward pass, and bytes of forward passes that are held.
-CHUNK, BLOCK, HELD = 1 << 20, 1 << 18, 64 << 20
+CHUNK, BLOCK, HELD = 1 << 20, 1 << 17, 52 << 20
 #: Characters from which a unit is taken alone, and characters of its blocks.
 LONG, STRIDE = 512, 1 << 15
 #: A running sum below LOW is lifted by LIFT; sums that stand further back count as lifted as often as they lack.
@@ -166,6 +167,7 @@ class Lattice:
                 ahead[max(0, j + 2 - width) : j + 2] /= ahead[j + 1].copy()
         counts, at = some.sum(axis=2).ravel(), np.flatnonzero(some)
         shares = shares.transpose(2, 0, 1).ravel()[at]
+        shares = shares.astype(np.float32)  # that a draw falls between a share and its rounding has odds of 1e-7
         shares[np.cumsum(counts) - 1] = 1.0  # above any draw
         return counts, shares, (at % width + 1).astype(np.int8), pieces.transpose(2, 0, 1).ravel()[at]
 
@@ -250,7 +252,7 @@ class Lattice:
     def _forget(self):
         """Hold no unit: number by unit, its length and first node; first arc by node; share, span and piece by arc."""
         self.known, self.lengths, self.first = {}, np.empty(0, np.int64), np.empty(0, np.int64)
-        self.arc_of, self.shares, self.spans, self.pieces = (np.empty(0, t) for t in (np.int64, np.float64, np.int8, np.int32))
+        self.arc_of, self.shares, self.spans, self.pieces = (np.empty(0, t) for t in (np.int64, np.float32, np.int8, np.int32))
         self.nodes = self.arcs = 0
 
     def hold(self, units: list[str]):
@@ -279,8 +281,8 @@ class Lattice:
             begin = end
 
     def held_bytes(self) -> int:
-        """What the held passes take, about: 120 bytes for a unit, 8 for a place, 13 for an arc."""
-        return 120 * len(self.known) + 8 * self.nodes + 13 * self.arcs
+        """What the held passes take, about: 120 bytes for a unit, 8 for a place, 9 for an arc."""
+        return 120 * len(self.known) + 8 * self.nodes + 9 * self.arcs
 
     def encode(self, texts: list[str], keys: list[int]):
         """(ids of all texts in one array, ends of each text in it); long texts in segments."""
@@ -455,10 +457,18 @@ def _chunks(batch):
         yield batch.slice(begin)
 
 
-#: The last lattice of this Python process, which other tasks of the same model find with what it holds.
+#: The last lattice of this Python process, which other tasks of the same model find, without forward passes.
 _LAST: dict = {}
 
 
+def _give_back(lattice: Lattice) -> None:
+    """Drop what a task held and return free memory to the system, as the process waits for other tasks."""
+    lattice._forget()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def _lattice(vocab, alpha: float = ALPHA) -> Lattice:
     value = vocab.value
     if _LAST.get("of") != (value["digest"], alpha):
@@ -470,6 +480,10 @@ def _lattice(vocab, alpha: float = ALPHA) -> Lattice:
 def _encoded(vocab, alpha: float, seed: int):
     def run(batches):
         lattice = _lattice(vocab, alpha)
+        yield from parts(lattice, batches)
+        _give_back(lattice)
+
+    def parts(lattice: Lattice, batches):
         for batch in batches:
             for part in _chunks(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
