@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import langid, maxscore, minhash, mixing, oracle, pieces, queries, secrets, syncmers, toxicity, urlfilter, warc
+from docloom.llm import common, langid, maxscore, minhash, mixing, oracle, pieces, queries, secrets, syncmers, toxicity, urlfilter, warc
 
 SF = "/root/testdata/sf0.001"
 BASE = " ".join(f"w{i}" for i in range(200))
@@ -239,6 +239,27 @@ def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_sets_are_found_by_a_join_as_by_the_bitmap(spark, edges, monkeypatch):
+    monkeypatch.setattr(minhash._sets_of, "__defaults__", (0,))
+    expected = brute_components([(r["doc_id"], r["text"]) for r in edges.collect()], 85)
+    out = minhash.near_duplicates(edges, 85).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in out) == expected
+
+
+def test_ranks_equal_a_plain_sort(spark, monkeypatch):
+    rows = [("a" if i % 3 else None, (i * 7919) % 50, i) for i in range(400)] + [("b", 1, 1000), ("b", 1, 1000)]
+    table = spark.createDataFrame(rows, "g string, v long, i long")
+    out = common.ranked(table, ["g"], ["v", "i"], sums={"s": "v"}).collect()
+    for g in ("a", "b", None):
+        own, total = sorted((v, i) for x, v, i in rows if x == g), 0
+        expected = []
+        for n, (v, i) in enumerate(own):
+            total += v
+            expected.append((n + 1, v, i, total))
+        assert sorted((r["rank"], r["v"], r["i"], r["s"]) for r in out if r["g"] == g) == expected
+    assert common.ranked(table.limit(0), ["g"], ["v"]).count() == 0 and common.ranked(table, [], ["i"]).agg(F.max("rank")).first()[0] == len(rows)
+
+
 def test_sketches_fill_and_estimate():
     a = np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     one, two = minhash.sketch(a[:900], 512), minhash.sketch(a[100:], 512)
@@ -257,6 +278,69 @@ def test_toxicity(spark, docs, edges, empty):
     assert [len(w) for w in weights] == [4, 5]
 
 
+def test_toxicity_equals_a_plain_loop(spark, docs, edges):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
+    model = toxicity.train(docs, labels)
+    assert len(model["words"]) <= len(model["chain"]) * toxicity.WORDS and [len(w) for w in model["weights"]] == [len(model["words"]) + 1 + i for i in range(len(model["chain"]))]
+    for table in (docs, edges):
+        expected = []
+        for r in table.collect():
+            words = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+            features, chance = set(words) | {w[:n] + "*" for w in words for n in toxicity.STEMS if len(w) >= n}, []
+            for weights in model["weights"]:
+                n = len(model["words"])
+                z = sum(weights[i] for w, i in model["words"].items() if w in features) + sum(a * b for a, b in zip(weights[n:-1], chance)) + weights[-1]
+                chance.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+            expected.append((str(r["doc_id"]), *(round(c, 9) for c in chance), chance[-1] >= toxicity.THRESHOLD))
+        out = toxicity.score(table, model).collect()
+        assert sorted((str(r["doc_id"]), round(r["p_low_quality"], 9), round(r["p_toxic"], 9), r["toxic"]) for r in out) == sorted(expected)
+
+
+def test_labels_that_repeat_or_lack(spark):
+    texts = [(i, f"calm word{i % 7} text") for i in range(60)] + [(i, f"foul word{i % 5} text") for i in range(60, 120)] + [(5, "another foul text"), (5, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = [(i, int(i >= 60), int(i >= 60)) for i in range(120)] + [(7, None, 1), (None, 1, 1), (8, 0, 0), (8, 0, 0), (900, 1, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, low_quality int, toxic int")
+    models = [toxicity.train(docs, labels), toxicity.train(docs.repartition(5), labels.repartition(3))]
+    assert models[0]["words"] == models[1]["words"] and all(np.allclose(a, b) for a, b in zip(models[0]["weights"], models[1]["weights"]))
+    out = toxicity.score(docs, models[0]).collect()
+    assert all(r["toxic"] == (r["doc_id"] >= 60) for r in out if r["doc_id"] != 5) and len(out) == len(texts)
+    none = toxicity.train(docs, labels.limit(0))
+    assert toxicity.score(docs, none).count() == len(texts)
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(4000)]
+    long = " ".join(rng.choice(words, 200_000))  # 1.4 MB, beyond what is read at once
+    assert len(long) > 2 * minhash.LONG
+    texts = [(1, long), (2, long + " end"), (3, "token=abcdefgh " * 5000), (4, "x" * 1_000_000), (5, "z" * 999_999 + " password: hunter2hunter")]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(table, 85).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in texts)}
+    assert near == {i: (len(s), 1 if i == 2 else i) for i, s in sets.items()}
+    found = {r["doc_id"]: r for r in secrets.findings(table).collect()}
+    assert {i: r["spans"] for i, r in found.items()} == {i: brute_spans(t) for i, t in texts} and found[3]["n_assign"] == 5000
+    clean = {r["doc_id"]: r["t"] for r in secrets.BlobLedger(spark).scan(table).select("doc_id", secrets.redacted(F.col("text"), F.col("_spans")).alias("t")).collect()}
+    assert clean[3] == "[SECRET] " * 5000 and clean[1] == long and clean[5] == "z" * 999_999 + " [SECRET]"
+    assert pieces.encode(table).where("not lossless").isEmpty()
+    assert langid.identify(table, langid.train(table.withColumn("lang", F.lit("en")))).where("lang_pred <> 'en'").isEmpty()
+    assert {r["doc_id"]: r["n_chars"] for r in syncmers.fingerprint_edits(table).collect()} == {i: len(t) for i, t in texts}
+    assert mixing.mix(table.withColumn("source", F.lit("s"))).where("taken > 2 * size").isEmpty()
+
+
+def test_versions_and_paths_share_findings(spark):
+    rows = [("a.txt", 1, "token=abcdefgh"), ("a.txt", 2, "clean"), ("b.txt", 1, "token=abcdefgh"), ("b.txt", 2, None), ("c.txt", 1, "clean")]
+    history, ledger = spark.createDataFrame(rows, "path string, version int, text string"), secrets.BlobLedger(spark)
+    ledger.update(history.where("version = 1"))
+    ledger.update(history.where("version = 1").union(history.where("version = 1")))
+    assert ledger.entries().count() == 2
+    history.limit(1).select(secrets._address(F.col("text")).alias("blob"), secrets.spans(F.col("text")).alias("spans")).write.mode("append").parquet(ledger.path)  # as a second writer would
+    out = [(r["path"], r["version"], len(r["_spans"])) for r in ledger.scan(history).collect()]
+    assert sorted(out) == [("a.txt", 1, 1), ("a.txt", 2, 0), ("b.txt", 1, 1), ("b.txt", 2, 0), ("c.txt", 1, 0)]
+    assert secrets.RULE_VERSION.startswith("base-") and len(secrets.RULE_VERSION) == 17
+
+
 def test_toxicity_on_documents_that_were_not_learned_from(spark):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
