@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -18,6 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 _APPLICATIONS: set = set()
+BATCH_ROWS, _ROWS = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -62,6 +65,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _give_back() -> None:
+    """Return a Python worker's free memory to the system, as the process waits for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def in_batches(rows: DataFrame, run, schema) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` with batches of BATCH_ROWS rows, where the session has not chosen another number.
+
+    Texts are long, and Spark's 10,000 rows of them would be held several times, by the JVM and by the worker.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(_ROWS) == "10000":
+        conf.set(_ROWS, str(BATCH_ROWS))
+
+    def task(batches):
+        yield from run(batches)
+        _give_back()
+
+    return rows.mapInArrow(task, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 from pyspark.sql.window import Window
 
-from docloom.llm.common import unused
+from docloom.llm.common import in_batches, unused
 
 TOP, SAMPLE = 400, 2000
 UNKNOWN = "und"
@@ -81,7 +81,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> dict:
     rates = labelled.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count(F.lit(1))).alias("rate"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
     drawn = labelled.join(F.broadcast(rates), "lang").where(draw < F.col("rate"))
-    counts = drawn.select("lang", "text").mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = in_batches(drawn.select("lang", "text"), _counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     out: dict = {}
@@ -127,7 +127,7 @@ def _classified(profiles: dict, top: int, names: tuple = ("lang_pred", "score"))
 def identify(docs: DataFrame, profiles: dict, top: int = TOP) -> DataFrame:
     """doc_id, lang_pred and score of each row of ``docs`` (doc_id, text)."""
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(_classified(profiles, top), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return in_batches(rows, _classified(profiles, top), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, profiles: dict, top: int = TOP) -> DataFrame:
@@ -135,5 +135,6 @@ def accepted(docs: DataFrame, profiles: dict, top: int = TOP) -> DataFrame:
     names, (lang, score) = [c for c in docs.columns if c != "text"], (unused(docs, c) for c in ("_lang_pred", "_score"))
     held = unused(docs, "_text")
     schema = StructType([docs.schema[c] for c in names]).add(held, StringType()).add(lang, StringType()).add(score, DoubleType())
-    rows = docs.select(*names, F.col("text").alias(held), "text").mapInArrow(_classified(profiles or ANY, top, (lang, score)), schema)
+    rows = docs.select(*names, F.col("text").alias(held), "text")
+    rows = in_batches(rows, _classified(profiles or ANY, top, (lang, score)), schema)
     return rows.where(F.col(lang) != UNKNOWN).select(*[F.col(held).alias("text") if c == "text" else F.col(c) for c in docs.columns])

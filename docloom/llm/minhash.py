@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import cut, in_batches
 
 WIDTH = 5
 ROWS = 5
@@ -176,7 +176,7 @@ def grouped(docs: DataFrame, percent: int = 80, width: int = WIDTH, rows: int =
     bands = bands_for(percent, rows, miss)
     texts = docs.select("doc_id", "text")
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
-    rows_of = cut(hashed.mapInArrow(_sketched(bands, rows, width), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, key binary, bands array<long>"))
+    rows_of = cut(in_batches(hashed, _sketched(bands, rows, width), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, key binary, bands array<long>"))
     alike = rows_of.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "bands")).alias("r"))
     # numbers are given once, when the table is written
     classes = cut(alike.select("key", "r.doc_id", F.col("r.n_shingles").cast("int").alias("size"), "r.bands", F.monotonically_increasing_id().alias("node")))
@@ -199,7 +199,7 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, few: int = FEW) ->
     else:  # rows without an id share one hash of it
         ids = wanted.select(F.xxhash64("doc_id").alias("place")).distinct()
         held, rows = None, texts.withColumn("place", F.xxhash64("doc_id")).join(ids, "place", "left_semi")
-    made = rows.select(place.alias("place"), "text").mapInArrow(_sets(width, held), "key binary, elements array<long>")
+    made = in_batches(rows.select(place.alias("place"), "text"), _sets(width, held), "key binary, elements array<long>")
     return cut(made.join(wanted.select("key", "node"), "key").groupBy("key", "node").agg(F.first("elements").alias("elements")).select("node", "elements"))
 
 

@@ -22,7 +22,6 @@ Defined cases: null and empty texts have no pieces and decode to the empty text;
 
 from __future__ import annotations
 
-import ctypes
 import math
 import re
 from itertools import repeat
@@ -34,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import in_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 0.5, 8
 SPACE, LITERAL = "▁", "\udc81"
@@ -461,14 +462,6 @@ def _chunks(batch):
 _LAST: dict = {}
 
 
-def _give_back(lattice: Lattice) -> None:
-    """Drop what a task held and return free memory to the system, as the process waits for other tasks."""
-    lattice._forget()
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def _lattice(vocab, alpha: float = ALPHA) -> Lattice:
     value = vocab.value
     if _LAST.get("of") != (value["digest"], alpha):
@@ -481,7 +474,7 @@ def _encoded(vocab, alpha: float, seed: int):
     def run(batches):
         lattice = _lattice(vocab, alpha)
         yield from parts(lattice, batches)
-        _give_back(lattice)
+        lattice._forget()
 
     def parts(lattice: Lattice, batches):
         for batch in batches:
@@ -517,11 +510,11 @@ def encode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, seed: int
     """
     vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(_encoded(vocab, alpha, seed), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, lossless boolean")
+    return in_batches(rows, _encoded(vocab, alpha, seed), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, lossless boolean")
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and text of rows of (doc_id, ids)."""
     vocab = rows.sparkSession.sparkContext.broadcast(vocabulary(model))
     rows = rows.select("doc_id", "ids")
-    return rows.mapInArrow(_decoded(vocab), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return in_batches(rows, _decoded(vocab), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")

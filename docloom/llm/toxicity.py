@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import cut, in_batches
 
 SAMPLE, WORDS, FOLDS, RIDGE, ROUNDS = 8000, 256, 5, 1.0, 12
 #: Lengths of the word beginnings that are features.
@@ -87,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, sample: int
     # the sample's size is bounded, so its ids may be broadcast: texts are not shuffled
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = cut(texts.mapInArrow(_worded, f"doc_id {kind}, words array<string>").join(drawn, "doc_id"))
+    rows = cut(in_batches(texts, _worded, f"doc_id {kind}, words array<string>").join(drawn, "doc_id"))
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in chain]).first()
     counts = rows.select(F.explode("words").alias("word"), *chain).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in chain])
     vocabulary: set = set()
@@ -131,4 +131,4 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
     rows = docs.select("doc_id", "text")
     kinds = ", ".join(f"p_{c} double" for c in model["chain"])
     last = model["chain"][-1]
-    return rows.mapInArrow(_scored(model), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kinds}").withColumn(last, F.col(f"p_{last}") >= threshold)
+    return in_batches(rows, _scored(model), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kinds}").withColumn(last, F.col(f"p_{last}") >= threshold)
