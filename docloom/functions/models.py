@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
@@ -39,3 +41,25 @@ def generator(answer=None):
         return pd.Series([answer(q, c) if answer else (c or "")[:500] for q, c in zip(questions, contexts)])
 
     return generate
+
+
+def prefixed(query: Column) -> Column:
+    """A query as the embedding model wants it; passages are embedded as they are."""
+    return F.concat(F.lit(QUERY_PREFIX), query)
+
+
+def reranker(score=None):
+    """A column function (query, passage) -> double; ``score`` takes a list of pairs, the stand-in is the share of common words."""
+
+    def stand_in(pairs):
+        for pair in pairs:
+            a, b = (set(re.findall(r"\S+", t.lower(), re.ASCII)) for t in pair)
+            yield len(a & b) / max(len(a | b), 1)
+
+    run = score or stand_in
+
+    @F.pandas_udf("double")
+    def rank(queries: pd.Series, passages: pd.Series) -> pd.Series:
+        return pd.Series([float(s) for s in run([(q or "", p or "") for q, p in zip(queries, passages)])])
+
+    return rank

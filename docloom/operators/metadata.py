@@ -67,3 +67,34 @@ def find_term(terms: DataFrame, wanted: str) -> DataFrame:
     """The first entry named so or with the text among its aliases."""
     hit = (F.col("term") == wanted) | F.contains(F.array_join("aliases", ","), F.lit(wanted))
     return terms.where(hit).orderBy("seq").limit(1)
+
+
+def vector_condition(filters: dict) -> Column:
+    """The filter of a vector store's language: equal strings, and lists; values of other types are passed over."""
+    out = F.lit(True)
+    for name, value in filters.items():
+        if isinstance(value, str):
+            out = out & (F.col(name) == value)
+        elif isinstance(value, list):
+            out = out & F.col(name).cast("string").isin([str(v) for v in value])
+    return out
+
+
+def term_condition(filters: dict) -> Column:
+    """The filter of a text store's language: one term, or any of several terms."""
+    out = F.lit(True)
+    for name, value in filters.items():
+        out = out & (F.col(name).isin(value) if isinstance(value, list) else F.col(name) == value)
+    return out
+
+
+# What is kept of a file's metadata.
+FILE_KEYS = ("title", "author", "subject", "keywords", "creator", "producer", "creationDate", "modDate")
+FILE_NAMES = {"creationDate": "creation_date", "modDate": "mod_date"}
+
+
+def file_metadata(found: Column, pages: Column, own: Column) -> Column:
+    """map<string,string> of a file's known keys, empty where it lacks them, and its pages; the caller's keys win."""
+    known = [x for k in FILE_KEYS for x in (F.lit(FILE_NAMES.get(k, k)), F.when(F.map_contains_key(found, k), found[k]).otherwise(""))]
+    base = F.create_map(*known, F.lit("total_pages"), pages.cast("string"))
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(own, k)), own)

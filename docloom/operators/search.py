@@ -230,9 +230,10 @@ def _both(vector: DataFrame, bm: DataFrame) -> DataFrame:
     return v.join(b, ["query_id", "doc_id"], "full_outer").withColumn("source", source)
 
 
-def rrf(vector: DataFrame, bm: DataFrame, wv: float = 0.6, wb: float = 0.4, k: int = RRF_K) -> DataFrame:
+def rrf(vector: DataFrame, bm: DataFrame, wv: float = 0.6, wb: float = 0.4, k: int = RRF_K, parts: tuple = ()) -> DataFrame:
+    """Weighted reciprocal ranks of two lists; ``parts`` may name vector_score and bm25_score, which are then kept."""
     score = F.coalesce(wv / (k + F.col("rv")), F.lit(0.0)) + F.coalesce(wb / (k + F.col("rb")), F.lit(0.0))
-    return _both(vector, bm).select("query_id", "doc_id", "source", F.round(score, 8).alias("score"))
+    return _both(vector, bm).select("query_id", "doc_id", "source", F.round(score, 8).alias("score"), *parts)
 
 
 def weighted(vector: DataFrame, bm: DataFrame, wv: float = 0.6, wb: float = 0.4) -> DataFrame:

@@ -851,3 +851,4 @@ def tables_at_page_end(read, spark):
 
 
 from docloom.plans import more as more  # noqa: E402  registers further queries
+from docloom.plans import slots as slots  # noqa: E402  and these

@@ -41,3 +41,13 @@ def read_log(spark: SparkSession, path: str, schema: str, first: date, last: dat
 def files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """(path, modificationTime, length, content) of the files of a folder; parsing their formats is a caller's function."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+
+
+def write_rows(rows: DataFrame, path: str, by: str | None = None) -> None:
+    """Rows as JSON lines, in one folder for each value of ``by`` if given; a load that is run again replaces what it wrote."""
+    out = rows.write.mode("overwrite")
+    (out.partitionBy(by) if by else out).json(path)
+
+
+def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)

@@ -39,3 +39,9 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 
     stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start().awaitTermination()
     return stream.sparkSession.read.parquet(path).drop("batch")
+
+
+def reset(spark: SparkSession, state: str) -> bool:
+    """Forget a stream's state: its next run reads all input again and counts from zero; False if there was none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(state)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
