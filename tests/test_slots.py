@@ -4,6 +4,8 @@ import base64
 import json
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import models
@@ -63,6 +65,17 @@ def test_embedded_search_equals_a_plain_loop(spark):
     found = catalog.queries()["embedded_search"](spark, SF)
     n = spark.read.parquet(f"{SF}/benchmark.parquet").count()
     assert found.count() == n * 10 and found.where("query_id < 0").isEmpty()
+    docs, asked = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    rows = docs.select("doc_id", embed("text").alias("v")).collect()
+    matrix = np.array([r["v"] for r in rows], float)
+    out = {}
+    for r in found.collect():
+        out.setdefault(r["query_id"], {})[r["rank"]] = r["score"]
+    for r in asked.select("item_id", embed(models.prefixed(F.col("text"))).alias("q")).collect():
+        q = np.array(r["q"], float)
+        norms = np.linalg.norm(matrix, axis=1) * np.linalg.norm(q)
+        best = sorted((matrix @ q)[norms > 0] / norms[norms > 0], reverse=True)[:10]
+        assert [out[r["item_id"]][i + 1] for i in range(10)] == pytest.approx(best, abs=2e-6)
     asked = spark.createDataFrame([("q", "p")], "q string, p string")
     assert asked.select(models.prefixed(F.col("q"))).first()[0] == models.QUERY_PREFIX + "q"
     assert asked.select(models.reranker(lambda pairs: [len(p) for p in pairs])("q", "p")).first()[0] == 2
