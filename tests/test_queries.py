@@ -5,6 +5,8 @@ import json
 import math
 import os
 import re
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -102,6 +104,45 @@ def test_running_sums_equal_a_plain_loop(spark):
     assert ranges.running(table.limit(0), ["v"], {"n": F.lit(1)}).count() == 0 and telemetry.floor_percentiles(table.limit(0), "v").first()["p50"] is None
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_places_in_groups_equal_a_plain_loop(spark, threshold):
+    values = [("all" if i % 3 else None if i % 2 else str(i % 50), (i * 7919) % 1000 if i % 100 else None, i) for i in range(1000)]
+    table = spark.createDataFrame(values, "g string, v long, id long").repartition(8)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:  # else so few rows are one range
+        for k, v in zip(kept, ("false", threshold)):
+            spark.conf.set(k, v)
+        out = {r["id"]: r["n"] for r in ranges.numbered(table, "g", [F.col("v").asc_nulls_last(), "id"], "n").collect()}
+        assert ranges.numbered(table.limit(0), "g", ["id"], "n").count() == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    seen, expected = {}, {}
+    for g, _, i in sorted(values, key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+        expected[i] = seen.get(g, 0)
+        seen[g] = expected[i] + 1
+    assert out == expected
+
+
+def test_row_chunks_of_a_large_table_fit_a_small_heap(tmp_path):
+    """One brand holds nearly all parts, so rows that each carry their whole table don't fit."""
+    duck = duckdb.connect()
+    brand = "CASE WHEN k % 1000 = 1 THEN NULL WHEN k % 100 = 2 THEN 'few' ELSE 'many' END"
+    duck.sql(f"COPY (SELECT (k * 7919) % 6000 p_partkey, 'name ' || k p_name, {brand} p_brand, 'TYPE' p_type, (k % 50)::INT p_size FROM range(6000) r(k)) TO '{tmp_path}/part.parquet'")
+    code = f"""
+from pyspark.sql import SparkSession
+from docloom.plans import catalog
+conf = {{"spark.driver.memory": "600m", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.checkpoint.dir": "file://{tmp_path}/shared"}}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+catalog.queries()["row_chunks"](spark, "{tmp_path}").write.parquet("{tmp_path}/out")
+"""
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_", "_PYSPARK"))} | {"PYTHONPATH": os.path.dirname(__spark_entry__.__file__)}
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, cwd=tmp_path, env=env)
+    duck.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    got = duck.sql(f"SELECT table_id, i, chunk_id, content FROM '{tmp_path}/out/*.parquet'").fetchall()
+    assert len(got) == 6000 and sorted(got, key=repr) == sorted(duck.sql(f"SELECT table_id, i, chunk_id, content FROM ({ORACLES['row_chunks']})").fetchall(), key=repr)
+
+
 def test_records_of_ragged_tables(spark):
     raw = [(1, [["a", "a", ""], ["1", "2"], ["3", "4", "5", "6"], []]), (2, [["x"]]), (3, [["x", "y"], [None, "1"]])]
     out = {r[0]: json.loads(r[1]) for r in spark.createDataFrame(raw, "id int, raw array<array<string>>").select("id", tables.records(F.col("raw"))).collect()}
